@@ -26,7 +26,7 @@ from .components import connected_components
 #: Classes of one filter that a task compares at once.
 BLOCK = 2048
 #: Classes that a filter is meant to hold on average.
-TARGET = 256
+TARGET = 1024
 
 
 def _tail(x: float) -> float:
@@ -42,51 +42,67 @@ def _height(p: float) -> float:
     return lo
 
 
-def _both(height: float, cosine: float) -> float:
-    """Chance that one of two unit vectors at this cosine is in a cap of this height, given that the other is."""
-    xs = np.linspace(height, height + 8, 400)
-    w = np.exp(-xs * xs / 2)
-    rest = math.sqrt(max(1e-12, 1 - cosine * cosine))
-    return float((w * np.array([_tail((height - cosine * x) / rest) for x in xs])).sum() / w.sum())
-
-
 class Filters:
-    """Product codes for one dimension, and the cap height that gives the wanted recall.
+    """Product codes for one dimension, with the cap height that gives the wanted recall.
 
-    n: vectors that can meet; recall: the chance that a pair at the cosine shares a filter.  Everything follows from these, so
-    all executors build the same codes from the same seed.
+    n: vectors that can meet.  Directions that share codewords are not independent, so several independently turned codes are
+    used and the recall is measured on random pairs at the cosine; the mean number of filters of a vector grows until it is
+    reached.  The number of directions follows n, so that a filter holds about ``TARGET`` vectors.
     """
 
-    def __init__(self, dim: int, n: int, cosine: float, recall: float = 0.998, blocks: int = 3, seed: int = 7):
-        self.dim, self.blocks = dim, max(1, min(blocks, dim))
-        mean = 12.0
-        for _ in range(8):
-            codes = max(64.0, n * mean / TARGET)
-            words = max(4, math.ceil(codes ** (1 / self.blocks)))
-            height = _height(min(0.5, mean / words**self.blocks))
-            # The directions share codewords, so their hits are not independent; half as many again make up for that.
-            mean = 1.5 * -math.log(1 - recall) / _both(height, cosine)
-        self.words, self.height, self.cuts = words, _height(min(0.5, mean / words**self.blocks)) / math.sqrt(dim), []
-        rng, at = np.random.default_rng([seed, dim]), 0
+    def __init__(self, dim: int, n: int, cosine: float, recall: float = 0.99, blocks: int = 2, turns: int = 16, pairs: int = 4000, seed: int = 7):
+        self.blocks = max(1, min(blocks, dim))
+        rng = np.random.default_rng([seed, dim])
+        a, z = rng.standard_normal((2, pairs, dim))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        z -= (z * a).sum(1, keepdims=True) * a
+        z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+        b = cosine * a + math.sqrt(max(0.0, 1 - cosine * cosine)) * z if dim > 1 else a
+        mean = 8.0
+        while True:
+            self.words = max(4, math.ceil(max(16.0, n * mean / TARGET / turns) ** (1 / self.blocks)))
+            self.codes = self.words**self.blocks
+            share = mean / turns / self.codes
+            self.height = _height(share) / math.sqrt(dim) if share < 0.9 else -1.0
+            rng = np.random.default_rng([seed, dim, self.words])
+            self.cuts = [self._code(dim, rng) for _ in range(turns)]
+            found = 0
+            for at in range(0, pairs, 500):
+                rows, codes = zip(self.decode(a[at : at + 500]), self.decode(b[at : at + 500]), strict=True)
+                left, right = (r * (turns * self.codes) + c for r, c in zip(rows, codes, strict=True))
+                found += len(np.unique(np.intersect1d(left, right) // (turns * self.codes)))
+            if found >= recall * pairs or self.height < 0:
+                break
+            mean *= 1.2
+
+    def _code(self, dim: int, rng: np.random.Generator) -> list[np.ndarray]:
+        out, at = [], 0
         turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         for k in range(self.blocks):
             size = (dim - at) // (self.blocks - k)
-            code = rng.standard_normal((words, size))
+            code = rng.standard_normal((self.words, size))
             code *= math.sqrt(size / dim) / np.linalg.norm(code, axis=1, keepdims=True)
-            self.cuts.append(turn[:, at : at + size] @ code.T)
+            out.append(turn[:, at : at + size] @ code.T)
             at += size
+        return out
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) of all filters that rows of unit vectors exceed, ordered by row and filter."""
-        dots = [unit @ c for c in self.cuts]
-        best = [d.max(1) for d in dots]
-        rest = [sum(best[k + 1 :], np.zeros(len(unit))) for k in range(self.blocks)]
-        row, code, total = np.arange(len(unit)), np.zeros(len(unit), np.int64), np.zeros(len(unit))
-        for k, d in enumerate(dots):
-            reach = total[:, None] + d[row]
-            i, j = np.nonzero(reach >= (self.height - rest[k][row])[:, None])
-            row, code, total = row[i], code[i] * self.words + j, reach[i, j]
-        return row, code
+        rows, filters = [], []
+        for t, cuts in enumerate(self.cuts):
+            dots = [unit @ c for c in cuts]
+            best = [d.max(1) for d in dots]
+            rest = [sum(best[k + 1 :], np.zeros(len(unit))) for k in range(self.blocks)]
+            row, code, total = np.arange(len(unit)), np.zeros(len(unit), np.int64), np.zeros(len(unit))
+            for k, d in enumerate(dots):
+                reach = total[:, None] + d[row]
+                i, j = np.nonzero(reach >= (self.height - rest[k][row])[:, None])
+                row, code, total = row[i], code[i] * self.words + j, reach[i, j]
+            rows.append(row)
+            filters.append(code + t * self.codes)
+        row, code = np.concatenate(rows), np.concatenate(filters)
+        order = np.lexsort((code, row))
+        return row[order], code[order]
 
 
 def _links(x: np.ndarray, mult: np.ndarray, lo_side: np.ndarray, same: bool, early: np.ndarray, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -131,7 +147,7 @@ def _bits(lists: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, recall: float = 0.998) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, recall: float = 0.99) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per input row.
 
     Vectors are compared when their labels are equal and not null and their lengths are equal.  A vector that is null, empty,
@@ -148,10 +164,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     classes = v.filter("emb is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("emb").alias("emb"), F.first("label").alias("label"))
     classes = cut(classes.withColumn("dim", F.size("emb")))
     # The largest set of vectors that are compared with each other sets the codes of all.
-    sizes = {r.dim: r.n for r in classes.groupBy("label", "dim").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()}
+    made = {r.dim: Filters(r.dim, r.n, cosine, recall) for r in classes.groupBy("label", "dim").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()}
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, Filters] = {}
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
@@ -161,8 +176,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                     x = part.column(part.schema.get_field_index("emb")).flatten().to_numpy().reshape(-1, dim)
                     x = x / np.abs(x).max(1, keepdims=True)
                     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                    f = made.setdefault(dim, None) or made.__setitem__(dim, Filters(dim, sizes[dim], cosine, recall)) or made[dim]
-                    row, code = f.decode(unit)
+                    row, code = made[dim].decode(unit)
                     starts = np.searchsorted(row, np.arange(len(unit)))
                     order = np.arange(len(row)) - starts[row]
                     early = [code[r - o : r] for r, o in zip(range(len(row)), order.tolist(), strict=True)]

@@ -62,12 +62,15 @@ def _gram_hash(gram: str) -> int:
 
 @dataclass
 class Model:
-    """langs; per order: sorted hashes with log probabilities, and hashes of histories with log back-off weights."""
+    """langs; per order: sorted hashes with log probabilities, and hashes of histories with log back-off weights.
+
+    floor: the log probability of an unseen character in every language; limits: the highest cross-entropies accepted.
+    """
 
     langs: list[str]
     grams: list[tuple[np.ndarray, np.ndarray]]
     back: list[tuple[np.ndarray, np.ndarray]]
-    floor: float
+    floor: np.ndarray
     limits: np.ndarray
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +157,7 @@ def kneser_ney(counts: dict[str, dict[str, int]]) -> Model:
     for k in range(1, ORDER):
         histories = {h for b in backs for h in b[k]}
         back.append(sort({h: [b[k].get(h, 1.0) for b in backs] for h in histories}))
-    floor = float(np.log(1 / (len(alphabet) + 1)))
+    floor = np.log([b[0][""] / (len(alphabet) + 1) for b in backs]).astype(np.float32)
     return Model(langs, grams, back, floor, np.full(len(langs), np.inf))
 
 

@@ -62,6 +62,15 @@ def fly(sizes: np.ndarray, chance: np.ndarray, rng: np.random.Generator) -> np.n
                 if i not in left:
                     x[i] = float(round(x[i]))
             open_ = left
+    if len(open_) == 2 and s[open_[0]] == s[open_[1]]:
+        # Two documents of one size can trade their chances without a change in words.
+        a, b = open_
+        total, first = x[a] + x[b], x[a]
+        high, low = min(1.0, total), max(0.0, total - 1)
+        x[a] = high if draws[at] * (high - low) < first - low else low
+        x[b] = total - x[a]
+        for i in open_:
+            x[i] = float(round(x[i])) if not eps < x[i] < 1 - eps else x[i]
     return np.array(x)
 
 
