@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Python workers see Arrow batches of at most so many rows; long texts are cut into smaller slices by ``slices``.
 ROWS_PER_BATCH = 1000
 #: Bytes of text that a Python worker turns into words at a time (a single longer text is still taken whole).
-BYTES_PER_SLICE = 2_000_000
+BYTES_PER_SLICE = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

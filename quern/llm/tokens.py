@@ -8,6 +8,8 @@ any store that Spark reaches will do, and a lost executor's files are written an
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,6 +27,57 @@ ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 64 << 10, 1_000
 FILE_BYTES = 128 << 20
 
 
+#: Words of these letters, with one closing mark at most, are one or two units for a lower-casing byte-level tokenizer.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level tokenizers write for the bytes of the characters up to U+00FF."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = iter(range(256, 512))
+    letter = {b: chr(b if b in shown else next(hidden)) for b in range(256)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
+
+
+def word_encoder(tokenizer_json: str):
+    """A function from words without white space to their ids, equal to the tokenizer's.
+
+    For a tokenizer whose parts are known (lower case, letters apart from marks, byte level), the model alone takes words of
+    plain letters, which is much quicker; the whole tokenizer takes all others.
+    """
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_str(tokenizer_json)
+    parts = json.loads(tokenizer_json)
+    before, cuts = (parts.get("normalizer") or {}).get("normalizers", []), (parts.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    known = [x["type"] for x in [*before, *cuts]] == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] and r"[\p{L}]+" in cuts[0]["pattern"].get("Regex", "")
+
+    def whole(words: list[str]) -> list[list[int]]:
+        return [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)]
+
+    if not known:
+        return whole
+    tokenize, letters, plain = t.model.tokenize, _byte_letters(), _PLAIN.fullmatch
+    closing = set(".,!?;:")
+    marks = {m: whole([m])[0] for m in closing} | {"": []}
+
+    def quick(words: list[str]) -> list[list[int]]:
+        out: list = [None] * len(words)
+        rest = []
+        for i, w in enumerate(words):
+            core, mark = (w[:-1], w[-1]) if w[-1:] in closing else (w, "")
+            if core.isalpha() and (core.isascii() or plain(core)):
+                core = core.lower()
+                out[i] = [x.id for x in tokenize(core if core.isascii() else core.translate(letters))] + marks[mark]
+            else:
+                rest.append(i)
+        for i, ids in zip(rest, whole([words[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    return quick
+
+
 def encode(docs: DataFrame, tokenizer_json: str, end_id: int, text_col: str = "text") -> DataFrame:
     """``docs`` (id columns and the text) with the text replaced by ``ids``, the end id appended.  Null texts are empty.
 
@@ -35,10 +88,7 @@ def encode(docs: DataFrame, tokenizer_json: str, end_id: int, text_col: str = "t
     names = [c for c in docs.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_str(tokenizer_json)
-        memo = WordMemo(lambda words: [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)])
+        memo = WordMemo(word_encoder(tokenizer_json))
         for whole in batches:
             for b in slices(whole, text_col):
                 lists = pc.ascii_split_whitespace(pc.fill_null(b.column(b.schema.get_field_index(text_col)), ""))

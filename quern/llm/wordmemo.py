@@ -2,11 +2,12 @@
 
 Tokenizers that never join characters across a cut (white space here) give a text the ids of its words in order.  A batch's
 words are made distinct by Arrow, only those not yet known go through the tokenizer, and the texts' ids are gathered by index.
-The memory of known words is bounded and starts anew when it is full; results do not depend on it.
+The memory of known words is bounded; results do not depend on it.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -21,24 +22,35 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class WordMemo:
-    """Remembers the ids of at most ``most`` words of at most ``longest`` characters."""
+    """Remembers the ids of recent words of at most ``longest`` characters, in two generations of at most ``most`` each.
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], most: int = 300_000, longest: int = 64):
+    When the younger is full it becomes the older, whose words are forgotten unless they were met again.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], most: int = 150_000, longest: int = 48):
         self.encode, self.most, self.longest = encode, most, longest
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words in order, and the number of ids of each word."""
         coded = words.dictionary_encode()
         names, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        if len(self.known) > self.most:
-            self.known = {}
-        own = dict.fromkeys(n for n in names if n not in self.known)
-        new = list(own)
-        for word, ids in zip(new, self.encode(new), strict=True):
-            own[word] = np.asarray(ids, np.int32).tobytes()
-        held = [own[n] if n in own else self.known[n] for n in names]
-        self.known.update((w, b) for w, b in own.items() if len(w) <= self.longest)
+        young, old = self.young, self.old
+        held = [young.get(n) for n in names]
+        gaps, longest = [], self.longest
+        for i in [i for i, h in enumerate(held) if h is None]:
+            held[i] = old.get(names[i])
+            if held[i] is None:
+                gaps.append(i)
+            else:
+                young[names[i]] = held[i]
+        for i, ids in zip(gaps, self.encode([names[i] for i in gaps]), strict=True):
+            held[i] = array("i", ids).tobytes()
+            if len(names[i]) <= longest:
+                young[names[i]] = held[i]
+        if len(young) > self.most:
+            self.young, self.old = {}, young
         flat = np.frombuffer(b"".join(held), np.int32)
         sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
         starts = np.cumsum(sizes) - sizes
