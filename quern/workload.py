@@ -1,10 +1,430 @@
-"""Registered queries of the engine's operators and their DuckDB texts."""
+"""Registered queries of the engine's operators, each with its DuckDB text.
+
+``_sql`` registers a query that is the same text in both dialects (or gives DuckDB's own); ``_frame`` one that is built with the
+DataFrame API or by an operator.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scalar, similarity
+from .operators import datamart, dml, match, mdm, profile, scd2
+from .plans import engine, pipeline, templates
+from .session import load, register
+from .sources import files, remote
+from .streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def _sql(name: str, text: str, duck: str | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register(spark, sf_dir)
+        return spark.sql(text)
+
+    run.__name__ = name
+    QUERIES[name], ORACLE[name] = run, duck or text
+
+
+def _frame(name: str, duck: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if duck:
+            ORACLE[name] = duck
+        return f
+
+    return add
+
+
+def shared(spark: SparkSession) -> str:
+    """A new folder under the one that all executors share; a local one only for a local master."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="quern-")
+    return f"{base}/q-{uuid.uuid4().hex}"
+
+
+# Aggregations
+_sql("agg_group_having_order", """
+SELECT c_mktsegment, o_orderpriority, count(*) AS n_lines, count(DISTINCT o_orderkey) AS n_orders,
+  round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+WHERE l_shipdate >= TIMESTAMP '1994-01-01' GROUP BY c_mktsegment, o_orderpriority HAVING sum(l_quantity) > 100 ORDER BY revenue DESC, 1, 2""")
+_sql("agg_count_distinct", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, count(nullif(event_type, 'click')) AS not_click FROM events GROUP BY event_type")
+_sql("agg_sum_avg_distinct", "SELECT l_returnflag, round(sum(DISTINCT l_quantity), 2) AS sd, round(avg(DISTINCT l_quantity), 4) AS ad, round(sum(l_quantity), 2) AS s, round(avg(l_quantity), 4) AS a FROM lineitem GROUP BY l_returnflag")
+_sql("agg_minmax_text", "SELECT c_nationkey, min(c_name) AS lo, max(c_name) AS hi, min(c_acctbal) AS lo_bal, max(c_acctbal) AS hi_bal FROM customer GROUP BY c_nationkey")
+_sql("agg_expr_over_agg", "SELECT l_returnflag, round(sum(l_extendedprice) - sum(l_discount * l_extendedprice), 2) AS net, round(avg(l_tax) * 100, 4) AS tax FROM lineitem GROUP BY l_returnflag")
+_sql("agg_empty_input", "SELECT count(*) AS n, sum(o_totalprice) AS s, max(o_orderkey) AS m FROM orders WHERE o_orderkey < 0")
+_sql("agg_global", "SELECT count(*) AS n, round(sum(o_totalprice), 2) AS s, round(avg(o_totalprice), 4) AS a, min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM orders")
+_sql("agg_null_group", "SELECT nullif(o_orderstatus, 'P') AS status, count(*) AS n FROM orders GROUP BY nullif(o_orderstatus, 'P')")
+_sql("agg_having_unselected", "SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 15 AND max(o_totalprice) > 1000")
+_sql("agg_group_by_ordinal_alias", "SELECT substr(o_orderpriority, 1, 1) AS p, count(*) AS n FROM orders GROUP BY 1 ORDER BY p")
+_sql("agg_string_agg_distinct", "SELECT n_regionkey, concat_ws('~', array_sort(collect_set(n_name))) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(DISTINCT n_name, '~' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+_sql("agg_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+_sql("agg_cube", "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY CUBE (c_mktsegment, c_nationkey)")
+_sql("agg_grouping_sets", "SELECT l_returnflag, l_linestatus, grouping(l_returnflag) AS g, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())", "SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) AS TINYINT) AS g, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+_sql("agg_pivot_case", "SELECT o_orderpriority, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS f, sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS o FROM orders GROUP BY o_orderpriority", "SELECT o_orderpriority, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS f, CAST(sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS o FROM orders GROUP BY o_orderpriority")
+_frame("agg_approx_distinct")(lambda s, d: load(s, d, "lineitem").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"), F.percentile_approx("l_extendedprice", 0.5).alias("median")))
+
+# Joins
+_sql("join_inner", "SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 200000")
+_BIG = "(SELECT * FROM orders WHERE o_totalprice > 400000)"
+for _kind in ("LEFT", "RIGHT", "FULL"):
+    _sql(f"join_{_kind.lower()}", f"SELECT c_custkey, o_orderkey, s_suppkey FROM customer {_kind} JOIN {_BIG} o ON c_custkey = o_custkey {_kind} JOIN supplier ON s_suppkey = o_orderkey AND s_acctbal > 0")
+_sql("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation WHERE n_nationkey < 5")
+_sql("join_comma", "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey")
+_sql("join_self", "SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey")
+_sql("join_multiway", """
+SELECT r_name, n_name, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey
+JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey GROUP BY r_name, n_name""")
+_sql("join_theta", "SELECT s.s_suppkey, n.n_nationkey FROM supplier s JOIN nation n ON s.s_nationkey < n.n_nationkey AND s.s_acctbal > n.n_nationkey * 300")
+_sql("join_semi", "SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey AND o_orderpriority = '1-URGENT'", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey AND o_orderpriority = '1-URGENT')")
+_sql("join_anti", "SELECT c_custkey FROM customer LEFT ANTI JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) o ON c_custkey = o_custkey", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey AND o_totalprice > 300000)")
+_sql("join_using", "SELECT k, n_name, r_name FROM (SELECT n_regionkey AS k, n_name FROM nation) a JOIN (SELECT r_regionkey AS k, r_name FROM region) b USING (k)")
+_sql("join_latest_per_key", "SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT *, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC) AS r FROM orders) WHERE r = 1", "SELECT o_custkey, o_orderkey, o_orderdate FROM orders a WHERE NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderdate > a.o_orderdate)")
+
+# Filters, predicates, projections
+_sql("filter_comparisons", "SELECT o_orderkey FROM orders WHERE o_totalprice >= 1000 AND o_totalprice <> 2000 AND NOT (o_orderstatus = 'O' OR o_orderkey <= 10)")
+_sql("filter_between", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 10000 AND 20000 AND o_orderkey NOT BETWEEN 100 AND 200")
+_sql("filter_in_list", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey NOT IN (1, 2, 3)")
+_sql("filter_in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) AND c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+_sql("filter_not_in_null", "SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT nullif(n_nationkey, 3) FROM nation)")
+_sql("filter_like", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%a_e%' AND p_type NOT LIKE 'X%'")
+_sql("filter_ilike", "SELECT c_custkey FROM customer WHERE c_mktsegment ILIKE 'b%ING' AND c_name NOT ILIKE '%99'")
+_sql("filter_is_null", "SELECT o_orderkey, nullif(o_orderstatus, 'P') IS NULL AS gone FROM orders WHERE nullif(o_orderstatus, 'F') IS NOT NULL")
+_sql("filter_null_logic", "SELECT o_orderkey FROM orders WHERE NOT (nullif(o_orderstatus, 'P') = 'O')")
+_sql("filter_case", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 END AS code, CASE WHEN o_totalprice > 200000 THEN 'big' WHEN o_totalprice > 50000 THEN 'mid' ELSE 'small' END AS size FROM orders")
+_sql("filter_exists", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > c.c_acctbal * 30)")
+_sql("filter_not_exists", "SELECT s_suppkey FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = s.s_nationkey AND c.c_acctbal > 9900)")
+_sql("filter_scalar_subquery", "SELECT c_custkey, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS top FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer)")
+_sql("proj_star", "SELECT * FROM nation")
+_sql("proj_qualified_star", "SELECT n.*, r.r_name AS region_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey")
+_sql("proj_distinct", "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer")
+_sql("proj_cast", "SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS whole, try_cast(o_orderpriority AS INT) AS bad, CAST(o_orderkey AS STRING) AS txt, CAST('1.50' AS DECIMAL(10,2)) AS money FROM orders", "SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS whole, try_cast(o_orderpriority AS INT) AS bad, CAST(o_orderkey AS VARCHAR) AS txt, CAST('1.50' AS DECIMAL(10,2)) AS money FROM orders")
+_sql("proj_arith", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_quantity * l_extendedprice - l_tax, 4) AS a, -l_quantity AS neg, try_divide(l_extendedprice, l_quantity - 1) AS per, try_mod(l_partkey, l_suppkey - 1) AS m FROM lineitem", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_quantity * l_extendedprice - l_tax, 4) AS a, -l_quantity AS neg, CASE WHEN l_quantity <> 1 THEN l_extendedprice / (l_quantity - 1) END AS per, CASE WHEN l_suppkey <> 1 THEN l_partkey % (l_suppkey - 1) END AS m FROM lineitem")
+_sql("proj_concat_operator", "SELECT c_custkey, c_name || '/' || c_mktsegment AS label, c_name || nullif(c_mktsegment, 'BUILDING') AS maybe FROM customer")
+_sql("proj_literals", "SELECT 1 AS i, 'it''s' AS s, TRUE AS t, NULL IS NULL AS n, 'a' || 'b' AS ab")
+_sql("proj_no_from", "SELECT 1 + 2 AS three, upper('x') AS x")
+_sql("derived_table", "SELECT a.seg, a.n FROM (SELECT c_mktsegment AS seg, count(*) AS n FROM customer GROUP BY c_mktsegment) a WHERE a.n > 1")
+_sql("cte_chain", "WITH a AS (SELECT o_custkey AS k, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey), b AS (SELECT k, s FROM a WHERE s > (SELECT avg(s) FROM a)) SELECT k, round(s, 2) AS s FROM b UNION ALL SELECT -1, round(max(s), 2) FROM a")
+_sql("cte_recursive", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 10) SELECT n, n * n AS sq FROM t")
+
+# Set operations
+_sql("set_union_all", "SELECT n_nationkey AS k FROM nation UNION ALL SELECT s_nationkey FROM supplier")
+_sql("set_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+_sql("set_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+_sql("set_except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
+_sql("set_intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+_sql("set_except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+_sql("set_chain", "SELECT n_nationkey AS k FROM nation UNION SELECT 100 INTERSECT SELECT 100 EXCEPT SELECT 3")
+
+# Windows
+_sql("win_row_number", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders", "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS rn FROM orders")
+_sql("win_rank", "SELECT c_custkey, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) AS r, dense_rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) AS d FROM customer", "SELECT c_custkey, CAST(rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) AS INT) AS r, CAST(dense_rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) AS INT) AS d FROM customer")
+_sql("win_lag_lead", "SELECT o_orderkey, lag(o_totalprice) OVER w AS prev, lead(o_totalprice, 2, 0.0D) OVER w AS next2 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)", "SELECT o_orderkey, lag(o_totalprice) OVER w AS prev, lead(o_totalprice, 2, 0.0) OVER w AS next2 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+_sql("win_first_last", "SELECT o_orderkey, first_value(o_orderkey) OVER w AS f, last_value(o_orderkey) OVER w AS l FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+_sql("win_running", "SELECT event_id, count(*) OVER w AS n, round(sum(value) OVER w, 3) AS s, min(value) OVER w AS lo, max(value) OVER w AS hi, round(avg(value) OVER (PARTITION BY user_id), 4) AS mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+_sql("win_rows_frame", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 3) AS s FROM events")
+_sql("win_range_frame", "SELECT c_custkey, count(*) OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey RANGE BETWEEN 2 PRECEDING AND CURRENT ROW) AS n FROM customer")
+_sql("win_expr", "SELECT o_orderkey, round(o_totalprice - lag(o_totalprice, 1, o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 2) AS delta FROM orders")
+_sql("win_ntile_percent", "SELECT o_orderkey, ntile(4) OVER w AS q, percent_rank() OVER w AS p, cume_dist() OVER w AS c, nth_value(o_orderkey, 2) OVER w AS second FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey)", "SELECT o_orderkey, CAST(ntile(4) OVER w AS INT) AS q, percent_rank() OVER w AS p, cume_dist() OVER w AS c, nth_value(o_orderkey, 2) OVER w AS second FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey)")
+
+
+@_frame("win_anomaly_zscore", """
+SELECT event_id, round(z, 4) AS z, abs(z) > 3 AS is_anomaly FROM (SELECT event_id,
+  CASE WHEN count(value) OVER w < 2 THEN 0.0 ELSE (value - avg(value) OVER w) / greatest(stddev_pop(value) OVER w, 1e-10) END AS z
+  FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 128 PRECEDING AND 1 PRECEDING))""")
+def _(spark, d):
+    return profile.anomalies(load(spark, d, "events"), ["event_type"], ["ts", "event_id"], "value").select("event_id", F.round("z", 4).alias("z"), "is_anomaly")
+
+
+# Sort and limit
+_sql("sort_multi", "SELECT c_custkey, c_mktsegment FROM customer ORDER BY c_mktsegment DESC, c_custkey ASC LIMIT 50")
+_sql("sort_nulls", "SELECT o_orderkey, nullif(o_orderstatus, 'P') AS st FROM orders ORDER BY st ASC NULLS LAST, o_orderkey DESC LIMIT 40")
+_sql("sort_ordinal", "SELECT c_custkey, c_acctbal FROM customer ORDER BY 2 DESC, 1 LIMIT 20")
+_sql("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 100")
+_sql("sort_topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+_sql("sort_topk_per_group", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 2")
+
+# Scalar functions
+_sql("fn_string_case_trim", "SELECT c_custkey, upper(c_name) AS u, lower(c_name) AS l, length(c_name) AS n, trim(concat('  ', c_name, ' ')) AS t, ltrim(concat('  ', c_name)) AS lt, rtrim(concat(c_name, '  ')) AS rt, reverse(c_name) AS r FROM customer", "SELECT c_custkey, upper(c_name) AS u, lower(c_name) AS l, CAST(length(c_name) AS INT) AS n, trim('  ' || c_name || ' ') AS t, ltrim('  ' || c_name) AS lt, rtrim(c_name || '  ') AS rt, reverse(c_name) AS r FROM customer")
+_sql("fn_string_substr", "SELECT c_custkey, substr(c_name, 3, 4) AS s, substr(c_name, 200) AS past, left(c_name, 3) AS l, right(c_name, 3) AS r, repeat(c_mktsegment, 2) AS rep FROM customer")
+_sql("fn_string_pad_find", "SELECT c_custkey, lpad(c_mktsegment, 12, '*') AS lp, rpad(c_mktsegment, 4, '*') AS rp, instr(c_name, '0') AS pos, replace(c_name, '0', 'o') AS rpl FROM customer", "SELECT c_custkey, lpad(c_mktsegment, 12, '*') AS lp, rpad(c_mktsegment, 4, '*') AS rp, CAST(instr(c_name, '0') AS INT) AS pos, replace(c_name, '0', 'o') AS rpl FROM customer")
+_sql("fn_string_concat", "SELECT c_custkey, concat_ws('', c_name, nullif(c_mktsegment, 'BUILDING'), 'x') AS skip, concat_ws('-', nullif(c_name, ''), c_mktsegment) AS ws, md5(c_name) AS h, split_part(c_name, '#', 2) AS part FROM customer")
+_sql("fn_math", "SELECT p_partkey, abs(p_size - 25) AS a, ceil(p_retailprice) AS c, floor(p_retailprice) AS f, round(p_retailprice, 1) AS r, round(sqrt(p_size), 6) AS q, round(exp(p_size / 10.0D), 4) AS e, round(ln(p_size), 6) AS l, round(log10(p_size), 6) AS l10, power(p_size, 2) AS p, p_size % 7 AS m FROM part", "SELECT p_partkey, abs(p_size - 25) AS a, CAST(ceil(p_retailprice) AS BIGINT) AS c, CAST(floor(p_retailprice) AS BIGINT) AS f, round(p_retailprice, 1) AS r, round(sqrt(p_size), 6) AS q, round(exp(p_size / 10.0), 4) AS e, round(ln(p_size), 6) AS l, round(log10(p_size), 6) AS l10, CAST(power(p_size, 2) AS DOUBLE) AS p, p_size % 7 AS m FROM part")
+_sql("fn_cond", "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'P'), '?') AS c, if(o_totalprice > 100000, 'hi', 'lo') AS i, greatest(o_orderkey, o_custkey) AS g, least(o_orderkey, o_custkey, CAST(NULL AS BIGINT)) AS l FROM orders", "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'P'), '?') AS c, CASE WHEN o_totalprice > 100000 THEN 'hi' ELSE 'lo' END AS i, greatest(o_orderkey, o_custkey) AS g, least(o_orderkey, o_custkey) AS l FROM orders")
+_sql("fn_convert", "SELECT o_orderkey, try_cast(substr(o_orderpriority, 1, 1) AS DOUBLE) AS num, try_cast(o_orderpriority AS DOUBLE) AS bad, lower(o_orderstatus) IN ('true', 'o') AS flag FROM orders")
+_sql("fn_date", "SELECT o_orderkey, date_format(o_orderdate, 'yyyy-MM') AS month, year(o_orderdate) AS y, date_trunc('MONTH', o_orderdate) AS m, datediff(DATE '1998-12-31', CAST(o_orderdate AS DATE)) AS age FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month, CAST(year(o_orderdate) AS INT) AS y, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m, CAST(DATE '1998-12-31' - CAST(o_orderdate AS DATE) AS INT) AS age FROM orders")
+_sql("fn_json", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+_sql("fn_levenshtein", "SELECT a.p_partkey AS a, b.p_partkey AS b, levenshtein(a.p_name, b.p_name) AS d FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey", "SELECT a.p_partkey AS a, b.p_partkey AS b, CAST(levenshtein(a.p_name, b.p_name) AS INT) AS d FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
+_WORD_SIMILARITY = "CASE WHEN length({q}) < 3 AND length({d}) < 3 THEN CAST(lower({q}) = lower({d}) AS DOUBLE) WHEN length({q}) < 3 THEN 0.0 ELSE len(list_filter(generate_series(1, length({q}) - 2), lambda i: instr({d}, substr({q}, CAST(i AS BIGINT), 3)) > 0)) / CAST(length({q}) - 2 AS DOUBLE) END"
+_PAIRS = "part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey"
+
+
+def _part_pairs(spark, d):
+    p = load(spark, d, "part").select("p_brand", "p_size", F.col("p_partkey").alias("a"), F.col("p_name").alias("x"))
+    return p.join(p.withColumnsRenamed({"a": "b", "x": "y"}), ["p_brand", "p_size"]).filter("a < b")
+
+
+@_frame("fn_word_similarity", f"SELECT a.p_partkey AS a, b.p_partkey AS b, round({_WORD_SIMILARITY.format(q='a.p_name', d='b.p_name')}, 6) AS s FROM {_PAIRS}")
+def _(spark, d):
+    return _part_pairs(spark, d).select("a", "b", F.round(scalar.word_similarity(F.col("x"), F.col("y")), 6).alias("s"))
+
+
+# DuckDB rounds the halved transpositions down, so there is no SQL; tests hold it against brute force.
+@_frame("fn_jaro_winkler")
+def _(spark, d):
+    return _part_pairs(spark, d).select("a", "b", F.round(similarity.jaro_winkler("x", "y"), 6).alias("s"))
+
+
+@_frame("fn_normalize", "SELECT c_custkey, trim(regexp_replace(lower('  ' || c_name || '  X'), '[ \\t\\n\\r]+', ' ', 'g')) AS name, regexp_replace(c_name, '[^0-9]', '', 'g') AS inn FROM customer")
+def _(spark, d):
+    c = load(spark, d, "customer")
+    return c.select("c_custkey", scalar.normalize_name(F.concat(F.lit("  "), "c_name", F.lit("  X"))).alias("name"), scalar.normalize_inn(F.col("c_name")).alias("inn"))
+
+
+# Master data
+_SNAP2 = """SELECT c_custkey, c_name, CASE WHEN c_custkey % 10 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 10 = 1 THEN 1 ELSE 0 END AS is_deleted
+  FROM customer WHERE c_custkey % 10 <> 2 UNION ALL SELECT c_custkey + 1000000, c_name, c_mktsegment, 0 FROM customer WHERE c_custkey % 10 = 3"""
+_T1, _T2 = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
+
+
+def _history(spark, d, spec, again=False):
+    register(spark, d, ("customer",))
+    first = spark.sql("SELECT c_custkey, c_name, c_mktsegment, 0 AS is_deleted FROM customer")
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    h = scd2.apply_scd2(first, None, spec, at(_T1))
+    h = scd2.apply_scd2(spark.sql(_SNAP2), h, spec, at(_T2))
+    return scd2.apply_scd2(spark.sql(_SNAP2), h, spec, at("2024-03-01 00:00:00")) if again else h
+
+
+_SCD2_SQL = f"""
+WITH s1 AS (SELECT c_custkey, c_name, c_mktsegment FROM customer), s2 AS ({_SNAP2}),
+h AS (SELECT s1.*, CASE WHEN s2.is_deleted = 1 OR (s2.c_custkey IS NOT NULL AND s2.c_mktsegment IS DISTINCT FROM s1.c_mktsegment) THEN TIMESTAMP '{_T2}' END AS valid_to FROM s1 LEFT JOIN s2 USING (c_custkey))
+SELECT c_custkey, c_name, c_mktsegment, TIMESTAMP '{_T1}' AS valid_from, valid_to, valid_to IS NULL AS is_current, CAST(1 AS BIGINT) AS version FROM h
+UNION ALL SELECT s2.c_custkey, s2.c_name, s2.c_mktsegment, TIMESTAMP '{_T2}', NULL, TRUE, CASE WHEN s1.c_custkey IS NULL THEN 1 ELSE 2 END
+FROM s2 LEFT JOIN s1 USING (c_custkey) WHERE s2.is_deleted = 0 AND (s1.c_custkey IS NULL OR s1.c_mktsegment IS DISTINCT FROM s2.c_mktsegment)"""
+_SPEC = scd2.Scd2(key=("c_custkey",), deleted="is_deleted", version="version")
+_frame("scd2_initial", f"SELECT c_custkey, c_name, c_mktsegment, TIMESTAMP '{_T1}' AS valid_from, CAST(NULL AS TIMESTAMP) AS valid_to, TRUE AS is_current, CAST(1 AS BIGINT) AS version FROM customer")(
+    lambda s, d: scd2.apply_scd2(load(s, d, "customer").selectExpr("c_custkey", "c_name", "c_mktsegment", "0 AS is_deleted"), None, _SPEC, F.lit(_T1).cast("timestamp_ntz"))
+)
+_frame("scd2_changed", _SCD2_SQL)(lambda s, d: _history(s, d, _SPEC))
+_frame("scd2_idempotent", _SCD2_SQL)(lambda s, d: _history(s, d, _SPEC, again=True))
+_frame("scd2_hash", f"SELECT c_custkey, c_name, c_mktsegment, valid_from, valid_to, is_current, md5(concat(c_name, chr(31), c_mktsegment)) AS row_hash FROM ({_SCD2_SQL})")(
+    lambda s, d: _history(s, d, scd2.Scd2(key=("c_custkey",), deleted="is_deleted", hash="row_hash", compare=("c_name", "c_mktsegment")))
+)
+
+
+@_frame("match_word_similarity", f"SELECT a.c_custkey AS id_a, b.c_custkey AS id_b, 'by_name' AS rule_name, round({_WORD_SIMILARITY.format(q='lower(a.c_name)', d='lower(b.c_name)')}, 6) AS metric_value FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey WHERE {_WORD_SIMILARITY.format(q='lower(a.c_name)', d='lower(b.c_name)')} >= 0.85")
+def _(spark, d):
+    rule = match.MatchRule("by_name", "c_custkey", ("c_nationkey", "c_mktsegment"), ("c_name",), threshold=0.85)
+    return match.match(load(spark, d, "customer"), [rule]).withColumn("metric_value", F.round("metric_value", 6))
+
+
+@_frame("match_levenshtein", "SELECT a.c_custkey AS id_a, b.c_custkey AS id_b, 'lev' AS rule_name, CAST(levenshtein(regexp_replace(a.c_name, '[^0-9]', '', 'g'), regexp_replace(b.c_name, '[^0-9]', '', 'g')) AS DOUBLE) AS metric_value FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey WHERE levenshtein(regexp_replace(a.c_name, '[^0-9]', '', 'g'), regexp_replace(b.c_name, '[^0-9]', '', 'g')) < 2")
+def _(spark, d):
+    return match.match(load(spark, d, "customer"), [match.MatchRule("lev", "c_custkey", ("c_nationkey",), ("c_name",), "levenshtein", "<", 2, "inn")])
+
+
+@_frame("mdm_accept", "WITH p AS (SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority AND a.o_orderkey < b.o_orderkey) SELECT id, min(least(id, other)) AS canonical_id FROM (SELECT a AS id, b AS other FROM p UNION ALL SELECT b, a FROM p) GROUP BY id")
+def _(spark, d):
+    return mdm.accept_matches(match.match(load(spark, d, "orders"), [match.MatchRule("eq", "o_orderkey", ("o_custkey", "o_orderpriority"), ("o_orderpriority",), "equal", ">=", 1.0, "none")]))
+
+
+@_frame("mdm_docs_agg", "SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), '~' ORDER BY first) AS numbers FROM (SELECT l_orderkey, l_partkey, min((l_linenumber, CAST(l_partkey AS VARCHAR))) AS first FROM lineitem GROUP BY l_orderkey, l_partkey) GROUP BY l_orderkey")
+def _(spark, d):
+    return mdm.aggregate_documents(load(spark, d, "lineitem").withColumn("l_partkey", F.col("l_partkey").cast("string")), "l_orderkey", "l_partkey", "l_linenumber")
+
+
+@_frame("mdm_keys", "SELECT c_custkey AS id, 'FIO_BD' AS key_type, lower(c_name) || '|' || CAST(c_nationkey AS VARCHAR) AS key FROM customer UNION ALL SELECT c_custkey, 'DUL', unnest([c_mktsegment, CAST(c_nationkey AS VARCHAR)]) FROM customer UNION ALL SELECT c_custkey, 'INN', regexp_replace(c_name, '[^0-9]', '', 'g') FROM customer WHERE regexp_replace(c_name, '[^0-9]', '', 'g') <> ''")
+def _(spark, d):
+    c = load(spark, d, "customer").withColumn("numbers", F.concat_ws("~", "c_mktsegment", F.col("c_nationkey").cast("string")))
+    return mdm.match_keys(c, "c_custkey", "c_name", "c_nationkey", "numbers", "c_name")
+
+
+@_frame("mdm_clean", "SELECT c_custkey, lower(trim(c_name)) AS c_name, upper(regexp_replace(c_mktsegment || '-' || c_custkey, '[^A-Za-z0-9]', '', 'g')) AS number FROM customer WHERE c_mktsegment IN ('BUILDING', 'FURNITURE')")
+def _(spark, d):
+    c = load(spark, d, "customer").withColumn("number", F.concat_ws("-", "c_mktsegment", F.col("c_custkey").cast("string")))
+    return mdm.clean_person(mdm.clean_document(c, "number", "c_mktsegment", ["BUILDING", "FURNITURE"]), ["c_name"]).select("c_custkey", "c_name", "number")
+
+
+_frame("golden_latest_per_key", "SELECT o_custkey, o_orderkey FROM orders a WHERE NOT EXISTS (SELECT 1 FROM orders b WHERE a.o_custkey = b.o_custkey AND b.o_orderdate > a.o_orderdate)")(
+    lambda s, d: mdm.latest_per_key(load(s, d, "orders"), ["o_custkey"], "o_orderdate").select("o_custkey", "o_orderkey")
+)
+
+
+@_frame("classify_json", "SELECT event_id, CASE WHEN k IS NULL THEN 'UNKNOWN' WHEN k % 2 = 0 THEN 'PHYSICAL' ELSE 'LEGAL' END AS party_type FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)")
+def _(spark, d):
+    m = remote.parse_messages(load(spark, d, "events").select(F.col("event_id").alias("offset"), F.col("props").alias("value")), "k bigint")
+    return m.select(F.col("kafka_offset").alias("event_id"), F.when(F.col("k").isNull(), "UNKNOWN").when(F.col("k") % 2 == 0, "PHYSICAL").otherwise("LEGAL").alias("party_type"))
+
+
+# Changes, transactions, datamarts, pipelines
+_frame("dml_update", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'DEBT' ELSE c_mktsegment END AS c_mktsegment FROM customer")(
+    lambda s, d: dml.update(load(s, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), {"c_mktsegment": "DEBT"}, "c_acctbal < 0").drop("c_acctbal")
+)
+_frame("dml_delete", "SELECT o_orderkey FROM orders WHERE NOT coalesce(nullif(o_orderstatus, 'P') = 'O', FALSE)")(lambda s, d: dml.delete(load(s, d, "orders"), "nullif(o_orderstatus, 'P') = 'O'").select("o_orderkey"))
+_frame("dml_upsert", "SELECT c_custkey, 'new' AS c_mktsegment FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey + 5000000, 'new' FROM customer WHERE c_custkey % 3 = 1 UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0")(
+    lambda s, d: dml.upsert(
+        load(s, d, "customer").select("c_custkey", "c_mktsegment"),
+        load(s, d, "customer").filter("c_custkey % 3 < 2").select(F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey")).otherwise(F.col("c_custkey") + 5000000).alias("c_custkey"), F.lit("new").alias("c_mktsegment")),
+        ["c_custkey"],
+    )
+)
+
+
+@_frame("txn_commit", "SELECT s_suppkey, CASE WHEN s_acctbal > 5000 THEN 'rich' ELSE s_name END AS s_name FROM supplier WHERE NOT (s_nationkey = 3) UNION ALL SELECT -1, 'added'")
+def _(spark, d):
+    t = dml.Table(spark, shared(spark))
+    t.write(load(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"))
+    added = spark.createDataFrame([(-1, "added", 0, 0.0)], "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double")
+    dml.Transaction(t).update({"s_name": "rich"}, "s_acctbal > 5000").delete("s_nationkey = 3").insert(added).commit()
+    return t.read().select("s_suppkey", "s_name")
+
+
+@_frame("datamart_refresh", "SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS bal FROM customer GROUP BY c_mktsegment")
+def _(spark, d):
+    register(spark, d, ("customer",))
+    return datamart.Datamart("segments", "SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS bal FROM customer GROUP BY c_mktsegment", shared(spark)).refresh(spark)
+
+
+@_frame("pipeline_dag", "SELECT n_name, n_customers FROM (SELECT c_nationkey, count(*) AS n_customers FROM customer WHERE c_acctbal > 0 GROUP BY c_nationkey) JOIN nation ON n_nationkey = c_nationkey WHERE n_customers >= (SELECT min(n_regionkey) FROM nation)")
+def _(spark, d):
+    register(spark, d, ("customer", "nation"))
+    steps = [
+        pipeline.Step("joined", sql="SELECT n_name, n_customers FROM counts JOIN nation ON n_nationkey = c_nationkey WHERE n_customers >= {@step:least:k}", deps=("counts", "least")),
+        pipeline.Step("least", sql="SELECT min(n_regionkey) AS k FROM nation"),
+        pipeline.Step("counts", fn=lambda df: df.groupBy("c_nationkey").agg(F.count("*").alias("n_customers")), deps=("positive",)),
+        pipeline.Step("positive", sql="SELECT * FROM customer WHERE c_acctbal > {floor}"),
+    ]
+    return pipeline.Pipeline("demo", steps, {"floor": 0}).run(spark, only="joined")
+
+
+@_frame("template_params", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 100.5")
+def _(spark, d):
+    register(spark, d, ("customer",))
+    return spark.sql(templates.render("SELECT c_custkey FROM {t_raw} WHERE c_mktsegment = {seg} AND c_acctbal > {low}", {"t": "customer", "seg": "BUILDING", "low": 100.5}))
+
+
+@_frame("named_params", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000")
+def _(spark, d):
+    e = engine.Engine(spark)
+    e.register("orders", f"{d}/orders.parquet")
+    return e.sql("SELECT o_orderkey FROM orders WHERE o_orderstatus = :st AND o_totalprice > :low", {"st": "F", "low": 100000})
+
+
+@_frame("positional_params", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000")
+def _(spark, d):
+    e = engine.Engine(spark)
+    e.register("orders", f"{d}/orders.parquet")
+    return e.sql("SELECT o_orderkey FROM orders WHERE o_orderstatus = $2 AND o_totalprice > $1", [100000, "F"])
+
+
+@_frame("rls_filter", "SELECT o_orderkey FROM orders WHERE o_custkey = 7 UNION ALL SELECT o_orderkey FROM orders WHERE o_custkey = 7 AND o_totalprice > (SELECT avg(o_totalprice) FROM orders WHERE o_custkey = 7)")
+def _(spark, d):
+    e = engine.Engine(spark, engine.Policy({"orders": "o_custkey = {user_id}"}, (("analyst", "ord*", frozenset({"select"})),)))
+    e.register("orders", f"{d}/orders.parquet")
+    return e.sql("SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)", principal=engine.Principal("7", "analyst"))
+
+
+@_frame("incremental_watermark", "SELECT event_id, user_id FROM events WHERE event_id > 500")
+def _(spark, d):
+    return pipeline.incremental(load(spark, d, "events"), "event_id", 500)[0].select("event_id", "user_id")
+
+
+@_frame("catalog_columns", "SELECT 'nation' AS table_name, name AS column_name FROM pragma_table_info('nation') UNION ALL SELECT 'region', name FROM pragma_table_info('region')")
+def _(spark, d):
+    register(spark, d, ("nation", "region"))
+    rows = [(t, c.name) for t in ("nation", "region") for c in spark.catalog.listColumns(t)]
+    return spark.createDataFrame(rows, "table_name string, column_name string")
+
+
+@_frame("profile_columns", " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_nulls, count(DISTINCT {c}) AS n_distinct, CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")))
+def _(spark, d):
+    return profile.profile(load(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
+
+
+@_frame("quality_checks", "SELECT 'key' AS check_name, count(*) AS n_rows, count(o_orderkey) - count(DISTINCT o_orderkey) AS n_failed, count(o_orderkey) = count(DISTINCT o_orderkey) AS passed FROM orders UNION ALL SELECT 'price', count(*), count(*) FILTER (NOT o_totalprice BETWEEN 1000 AND 300000), count(*) FILTER (NOT o_totalprice BETWEEN 1000 AND 300000) = 0 FROM orders UNION ALL SELECT 'prio', count(*), count(*) FILTER (NOT regexp_matches(o_orderpriority, '^[1-4]')), count(*) FILTER (NOT regexp_matches(o_orderpriority, '^[1-4]')) = 0 FROM orders UNION ALL SELECT 'present', count(*), count(*) FILTER (o_orderstatus IS NULL), count(*) FILTER (o_orderstatus IS NULL) = 0 FROM orders UNION ALL SELECT 'own', count(*), count(*) FILTER (NOT o_orderkey > o_custkey), count(*) FILTER (NOT o_orderkey > o_custkey) = 0 FROM orders")
+def _(spark, d):
+    c = profile.Check
+    return profile.run_checks(load(spark, d, "orders"), [c("key", "UNIQUE", "o_orderkey"), c("price", "RANGE", "o_totalprice", (1000, 300000)), c("prio", "REGEX", "o_orderpriority", ("^[1-4]",)), c("present", "NOT_NULL", "o_orderstatus"), c("own", "CUSTOM", "", ("o_orderkey > o_custkey",))])
+
+
+# Files and streams
+@_frame("csv_roundtrip_nulls", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, nullif(lang, 'en') AS lang, CASE WHEN lang = 'de' THEN '' ELSE source END AS source FROM documents")
+def _(spark, d):
+    path = shared(spark)
+    docs = load(spark, d, "documents").selectExpr("cast(doc_id AS STRING) AS doc_id", "text", "nullif(lang, 'en') AS lang", "CASE WHEN lang = 'de' THEN '' ELSE source END AS source")
+    files.write_csv(docs, path)
+    return files.read_csv(spark, path, ",", strict=True)
+
+
+@_frame("parquet_roundtrip", "SELECT * FROM part")
+def _(spark, d):
+    path = shared(spark)
+    load(spark, d, "part").write.parquet(path)
+    return spark.read.parquet(f"{path}/*.parquet")
+
+
+@_frame("xml_roundtrip", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation")
+def _(spark, d):
+    path = shared(spark)
+    files.write_xml(load(spark, d, "nation").select("n_nationkey", "n_name"), path)
+    return files.read_xml(spark, path, "row").select("n_nationkey", "n_name")
+
+
+def _stream(spark, d, build):
+    """Runs a streaming query over the events, which arrive in four files one after the other, and gives what it wrote."""
+    path = shared(spark)
+    e = load(spark, d, "events")
+    lo, hi = e.agg(F.min("ts"), F.max("ts")).first()
+    for k in range(4):
+        low, high = (F.lit(lo + (hi - lo) * j / 4).cast("timestamp_ntz") for j in (k, k + 1))
+        part = e.filter((F.col("ts") >= low) & ((F.col("ts") <= high) if k == 3 else (F.col("ts") < high)))
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    out = build(events.file_stream(spark, f"{path}/in", e.schema, files_per_trigger=1))
+    out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
+
+
+_WINDOWED = "SELECT time_bucket(INTERVAL '{size}', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2"
+_frame("stream_tumbling_batch", _WINDOWED.format(size="1 hour"))(lambda s, d: events.windowed(load(s, d, "events"), "ts", "value", ["event_type"], "1 hour").withColumn("total", F.round("total", 3)))
+_frame("stream_sliding_batch", "SELECT window_start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM (SELECT time_bucket(INTERVAL '30 minutes', ts) - k * INTERVAL '30 minutes' AS window_start, event_type, value FROM events, (SELECT unnest([0, 1]) AS k)) GROUP BY 1, 2")(
+    lambda s, d: events.windowed(load(s, d, "events"), "ts", "value", ["event_type"], "1 hour", "30 minutes").withColumn("total", F.round("total", 3))
+)
+_frame("stream_session_batch", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '30 minutes' AS session_end, count(*) AS n FROM n GROUP BY user_id, k")(
+    lambda s, d: events.sessions(load(s, d, "events"), "ts", "user_id", "30 minutes")
+)
+
+
+@_frame("stream_file_incremental", "SELECT event_id, user_id, event_type FROM events WHERE value > 10")
+def _(spark, d):
+    return _stream(spark, d, lambda e: e.filter("value > 10").select("event_id", "user_id", "event_type"))
+
+
+@_frame("stream_dedup", "SELECT DISTINCT event_id FROM events")
+def _(spark, d):
+    return _stream(spark, d, lambda e: events.deduplicated(e.unionByName(e), "ts", ["event_id"], "1 day").select("event_id"))
+
+
+@_frame("stream_tumbling", f"SELECT * FROM ({_WINDOWED.format(size='1 hour')}) WHERE window_start + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '2 hours' FROM events)")
+def _(spark, d):
+    return _stream(spark, d, lambda e: events.windowed(e, "ts", "value", ["event_type"], "1 hour", late="2 hours")).withColumn("total", F.round("total", 3))
+
+
+@_frame("cdc_apply", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 1 THEN 'U2' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 4 <> 2 UNION ALL SELECT c_custkey + 9000000, 'I' FROM customer WHERE c_custkey % 4 = 3")
+def _(spark, d):
+    c = load(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    one = lambda rows, op, seg, lsn: rows.select("c_custkey", F.lit(seg).alias("c_mktsegment"), F.lit(op).alias("op"), F.lit(lsn).alias("lsn"))
+    changes = one(c.filter("c_custkey % 4 = 1"), "UPDATE", "U1", 1).unionByName(one(c.filter("c_custkey % 4 = 1"), "UPDATE", "U2", 2)).unionByName(one(c.filter("c_custkey % 4 = 2"), "DELETE", "", 3)).unionByName(one(c.filter("c_custkey % 4 = 3").withColumn("c_custkey", F.col("c_custkey") + 9000000), "INSERT", "I", 4))
+    return events.apply_changes(c, changes, ["c_custkey"])
