@@ -8,7 +8,7 @@ any store that Spark reaches will do, and a lost executor's files are written an
 
 from __future__ import annotations
 
-import json
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,6 +27,9 @@ ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 64 << 10, 1_000
 FILE_BYTES = 128 << 20
 
 
+#: The parts of the tokenizer for which ``word_encoder`` knows a quicker way.
+_LOWER = r'Sequence(normalizers=[NFC(), Replace(pattern=Regex("\s+"), content=" "), Lowercase()])'
+_UNITS = r"""Sequence(pretokenizers=[Split(pattern=Regex("'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), behavior=Removed, invert=True), ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])"""
 #: Words of these letters, with one closing mark at most, are one or two units for a lower-casing byte-level tokenizer.
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
@@ -40,7 +43,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 def word_encoder(tokenizer_json: str):
-    """A function from words without white space to their ids, equal to the tokenizer's.
+    """A function from words without white space to their ids, equal to the tokenizer's, and whether ``apart`` may precede it.
 
     For a tokenizer whose parts are known (lower case, letters apart from marks, byte level), the model alone takes words of
     plain letters, which is much quicker; the whole tokenizer takes all others.
@@ -48,15 +51,13 @@ def word_encoder(tokenizer_json: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(tokenizer_json)
-    parts = json.loads(tokenizer_json)
-    before, cuts = (parts.get("normalizer") or {}).get("normalizers", []), (parts.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    known = [x["type"] for x in [*before, *cuts]] == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] and r"[\p{L}]+" in cuts[0]["pattern"].get("Regex", "")
+    known = str(t.normalizer) == _LOWER and str(t.pre_tokenizer) == _UNITS
 
     def whole(words: list[str]) -> list[list[int]]:
         return [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)]
 
     if not known:
-        return whole
+        return whole, False
     tokenize, letters, plain = t.model.tokenize, _byte_letters(), _PLAIN.fullmatch
     closing = set(".,!?;:")
     marks = {m: whole([m])[0] for m in closing} | {"": []}
@@ -75,7 +76,24 @@ def word_encoder(tokenizer_json: str):
             out[i] = ids
         return out
 
-    return quick
+    return quick, True
+
+
+@functools.lru_cache(maxsize=1)
+def _memo(tokenizer_json: str) -> tuple[WordMemo, bool]:
+    """A Python worker keeps the tokenizer and its words from task to task."""
+    words, plain = word_encoder(tokenizer_json)
+    return WordMemo(words), plain
+
+
+def apart(texts: pa.Array) -> pa.Array:
+    """Texts in ASCII lower case, a closing mark between a letter and white space set apart: fewer distinct words, equal ids.
+
+    Texts with what may be a special token keep their case.
+    """
+    if not pc.any(pc.match_substring(texts, "<|")).as_py():
+        texts = pc.ascii_lower(texts)
+    return pc.replace_substring_regex(texts, r"(\pL)([.,!?;:])(\s|$)", r"\1 \2\3")
 
 
 def encode(docs: DataFrame, tokenizer_json: str, end_id: int, text_col: str = "text") -> DataFrame:
@@ -88,10 +106,11 @@ def encode(docs: DataFrame, tokenizer_json: str, end_id: int, text_col: str = "t
     names = [c for c in docs.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordMemo(word_encoder(tokenizer_json))
+        memo, plain = _memo(tokenizer_json)
         for whole in batches:
             for b in slices(whole, text_col):
-                lists = pc.ascii_split_whitespace(pc.fill_null(b.column(b.schema.get_field_index(text_col)), ""))
+                texts = pc.fill_null(b.column(b.schema.get_field_index(text_col)), "")
+                lists = pc.ascii_split_whitespace(apart(texts) if plain else texts)
                 offsets = lists.offsets.to_numpy()
                 ids, sizes = memo.ids(lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])))
                 ends = np.cumsum(sums(sizes, offsets - offsets[0]))

@@ -38,7 +38,7 @@ def test_token_files_match_plain_encoding(spark, tmp_path, make):
 
 def test_words_with_odd_characters_encode_alike(spark, tmp_path):
     t = Tokenizer.from_file(PATH)
-    texts = ["a\x0bb\x0cc\x1cd\x85e f g", "é ́x  'S it's IT'S don't", "<|endoftext|> x<|startoftext|>y", "İSTANBUL ΣΑΣ ß ﬁ", "1234 5,6.7!!", "a\u0000b"]
+    texts = ["a\x0bb\x0cc\x1cd\x85e f g", "é ́x  'S it's IT'S don't", "<|endoftext|> x<|startoftext|>y", "İSTANBUL ΣΑΣ ß ﬁ", "1234 5,6.7!!", "a\u0000b", "End. end, END. It's. Dr.. wait... Ünï! é, x:y z;\n", "<|ENDOFTEXT|>. A. b", "ab.\u00a0c.\x85d,"]
     tokens.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(tmp_path / "t"), Path(PATH).read_text(), 1)
     got = {r.doc_id: r.ids for r in tokens.read_tokens(spark, str(tmp_path / "t")).collect()}
     assert got == {k: [*t.encode(x, add_special_tokens=False).ids, 1] for k, x in enumerate(texts)}
