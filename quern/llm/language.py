@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import bound_batches, slices
 
 ORDER = 4
+#: Characters that are scored at once, so that memory does not follow the length of a text.
+PLACES = 1 << 18
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _FOLD: list[np.ndarray] = []
 
@@ -46,12 +48,13 @@ def _codes(text: str) -> np.ndarray:
     return np.concatenate([np.full(ORDER - 1, 32, np.uint32), raw, np.full(int(raw[-1] != 32), 32, np.uint32)])
 
 
-def _hashes(codes: np.ndarray, order: int) -> np.ndarray:
-    """The hash of the ``order`` characters that end at each place from the ORDER-th on."""
-    n, h = len(codes) - ORDER + 1, np.uint64(order)
+def _hashes(codes: np.ndarray, order: int, ends: np.ndarray | None = None) -> np.ndarray:
+    """The hash of the ``order`` characters that end at each of these places (by default from the ORDER-th on)."""
+    ends = np.arange(ORDER - 1, len(codes)) if ends is None else ends
+    h = np.full(len(ends), order, np.uint64)
     for k in range(order):
-        at = ORDER - order + k
-        h = (h ^ codes[at : at + n].astype(np.uint64)) * _MUL
+        h ^= codes[ends - (order - 1 - k)]
+        h *= _MUL
         h ^= h >> np.uint64(29)
     return h
 
@@ -75,34 +78,46 @@ class Model:
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Bits a character in every language (rows: texts), and the number of characters scored."""
-        codes = [_codes(t) if t else np.zeros(0, np.uint32) for t in texts]
-        sizes = np.array([max(0, len(c) - ORDER + 1) for c in codes], np.int64)
-        out = np.zeros((len(texts), len(self.langs)))
-        some = np.flatnonzero(sizes)
-        if not len(some):
-            return out, sizes
-        hs = [np.concatenate([_hashes(codes[i], k) for i in some]) for k in range(1, ORDER + 1)]
-        # The history of the last k characters is the hash of order k one place earlier; it is made from its own codes.
-        hist = [np.concatenate([_hashes(np.append(np.uint32(32), codes[i][:-1]), k) for i in some]) for k in range(1, ORDER)]
-        total = np.zeros((len(hs[0]), len(self.langs)), np.float32)
-        open_ = np.arange(len(total))
+        out, sizes = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+        held: list[tuple[int, np.ndarray]] = []
+        for i, t in enumerate(texts):
+            codes = _codes(t) if t else np.zeros(0, np.uint32)
+            sizes[i] = max(0, len(codes) - ORDER + 1)
+            for at in range(0, int(sizes[i]), PLACES):
+                held.append((i, codes[at : at + PLACES + ORDER - 1]))
+                if sum(len(c) for _, c in held) >= PLACES:
+                    self._add(held, out)
+                    held = []
+        self._add(held, out)
+        some = sizes > 0
+        out[some] /= -np.log(2) * sizes[some, None]
+        return out, sizes
+
+    def _add(self, parts: list[tuple[int, np.ndarray]], out: np.ndarray) -> None:
+        """Adds the log probabilities of the places of parts of texts to the texts' rows."""
+        if not parts:
+            return
+        codes = np.concatenate([c for _, c in parts])
+        sizes = np.array([len(c) - ORDER + 1 for _, c in parts])
+        stops = np.cumsum(sizes)
+        places = np.arange(stops[-1]) + np.repeat((ORDER - 1) * np.arange(1, len(parts) + 1), sizes)
+        total = np.zeros((len(places), len(self.langs)), np.float32)
+        open_ = np.arange(len(places))
         for k in range(ORDER, 0, -1):
-            keys, logs = self.grams[k - 1]
-            h = hs[k - 1][open_]
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            hit = keys[at] == h
-            total[open_[hit]] += logs[at[hit]]
-            open_ = open_[~hit]
+            open_ = open_[~self._look(self.grams[k - 1], _hashes(codes, k, places[open_]), open_, total)]
             if k > 1 and len(open_):
-                keys, logs = self.back[k - 2]
-                h = hist[k - 2][open_]
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                hit = keys[at] == h
-                total[open_[hit]] += logs[at[hit]]
+                self._look(self.back[k - 2], _hashes(codes, k - 1, places[open_] - 1), open_, total)
         total[open_] += self.floor
-        ends = np.cumsum(sizes[some])
-        out[some] = -np.add.reduceat(total, ends - sizes[some], axis=0, dtype=np.float64) / np.log(2) / sizes[some, None]
-        return out, sizes
+        np.add.at(out, [i for i, _ in parts], np.add.reduceat(total, stops - sizes, axis=0, dtype=np.float64))
+
+    @staticmethod
+    def _look(table: tuple[np.ndarray, np.ndarray], h: np.ndarray, rows: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Adds what the table has for the hashes to these rows; which hashes it has."""
+        keys, logs = table
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        hit = keys[at] == h
+        total[rows[hit]] += logs[at[hit]]
+        return hit
 
 
 def kneser_ney(counts: dict[str, dict[str, int]]) -> Model:
@@ -204,7 +219,7 @@ def fit_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", 1_000_000):
                 bits, n = model.entropies(b.column(0).to_pylist())
                 own = [float(bits[i, model.langs.index(x)]) if x in model.langs and n[i] else None for i, x in enumerate(b.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array(own, pa.float64())], ["lang", "bits"])
@@ -239,7 +254,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", 1_000_000):
                 texts = b.column(1).to_pylist()
                 if model:
                     langs, score, low, odd = _predict(model, texts)
@@ -256,7 +271,7 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, text_col):
+            for b in slices(whole, text_col, 1_000_000):
                 if model:
                     yield b.filter(pa.array(~_predict(model, b.column(b.schema.get_field_index(text_col)).to_pylist())[3]))
 

@@ -222,7 +222,7 @@ def encode_texts(docs: DataFrame, vocabulary: Pieces, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordMemo(shared.value.encode_chunks)
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", 2_000_000):
                 chunks = [_CHUNK.findall(" " + t) if t else [] for t in b.column(1).to_pylist()]
                 offsets = np.append(0, np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks))))
                 ids, sizes = memo.ids(pa.array([c for row in chunks for c in row], pa.string()))

@@ -35,6 +35,15 @@ def test_models_are_distributions():
             assert 0.5 < s <= 1 + 1e-5
 
 
+def test_long_texts_are_scored_in_parts(spark, monkeypatch):
+    docs = table(spark, SF, "documents")
+    m, texts = queries.language_model(docs), [r.text for r in docs.limit(20).collect()] + [None, "", "a", "12"]
+    whole = m.entropies(texts)
+    monkeypatch.setattr(language, "PLACES", 57)
+    parts = m.entropies(texts)
+    assert np.allclose(whole[0], parts[0], atol=1e-4) and (whole[1] == parts[1]).all()
+
+
 def test_held_out_accuracy_and_contract(spark):
     rows = queries.op5_language_id(spark, "/root/testdata/sf0.01").collect()
     docs = {r.doc_id: r for r in table(spark, "/root/testdata/sf0.01", "documents").collect()}
