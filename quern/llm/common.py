@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space and the controls 09 to 0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,6 +45,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def salted_join(many: DataFrame, one: DataFrame, key: str, by: str, salts: int = 8) -> DataFrame:
+    """An inner join of many rows with one row a key, in which a hot key's rows spread over ``salts`` tasks by a hash of ``by``."""
+    salt = F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")
+    spread = one.withColumn("salt__", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return many.withColumn("salt__", salt).join(spread, [key, "salt__"]).drop("salt__")
+
+
 def bound_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
     """Lowers the rows in an Arrow batch, for operators whose rows hold whole texts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

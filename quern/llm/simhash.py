@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, run_starts, runs
+from .common import bound_batches, cut, run_starts, runs, salted_join
 from .components import connected_components
 from .wordmemo import ragged, sums
 
@@ -268,11 +268,12 @@ def _similar(fps: np.ndarray, sets: np.ndarray, sizes: np.ndarray, radius: int,
     return out
 
 
-def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 10, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 11, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """(doc_id, component_id) of near-duplicates that are verified on the texts' shingle sets.
 
     A link is a pair within the radius whose sets of word shingles have at least this Jaccard similarity; texts without words
-    are like each other.  Coarse components by fingerprint alone come first; within one, texts are compared breadth first in
+    are like each other.  At a similarity of 0.8 fingerprints differ in 9.7 bits on average, so radius 11 finds most single links
+    and nearly all from 0.85 on.  Coarse components by fingerprint alone come first; within one, texts are compared breadth first in
     blocks, so no pairs are written out.  One row for every distinct id that is not null.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
@@ -294,11 +295,11 @@ def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     coarse = connected_components(links(cut(nodes.select("fp").distinct()), radius)).select(F.col("node").alias("fp"), "component")
     grouped = nodes.join(coarse, "fp", "left").select(F.col("doc_id"), F.coalesce("component", "fp").alias("coarse"))
     several = grouped.groupBy("coarse").agg(F.count("*").alias("n")).filter("n > 1").select("coarse")
-    members = cut(grouped.join(several, "coarse"))
+    members = cut(salted_join(grouped, several, "coarse", "doc_id"))
     measured = cut(texts.join(members.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(measure, "rep long, fp long, sets array<long>"))
     rows = measured.join(members.withColumnRenamed("doc_id", "rep"), "rep")
     total = rows.groupBy("coarse").agg(F.sum(F.size("sets") + 1).alias("total"))
-    dealt = rows.join(total, "coarse").withColumn("blocks", F.ceil(F.col("total") / SHINGLES).cast("long")).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
+    dealt = salted_join(rows, total, "coarse", "rep").withColumn("blocks", F.ceil(F.col("total") / SHINGLES).cast("long")).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     names = ["coarse", "lo", "hi"]
     dealt = dealt.select("coarse", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "rep", "fp", "sets")
