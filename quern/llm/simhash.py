@@ -30,6 +30,8 @@ from .wordmemo import ragged, sums
 BITS = 64
 #: Fingerprints of one key that a task compares at once; larger groups are dealt out by pairs of blocks.
 BLOCK = 32_768
+#: In groups of up to so many fingerprints those without a neighbour are set aside before the search.
+SMALL = 256
 #: Shingles of one coarse group that a task holds twice at most; larger groups are dealt out by pairs of blocks.
 SHINGLES = 1_000_000
 #: Cost of a probe key (emitted, shuffled, sorted) in units of one verified candidate pair.
@@ -141,8 +143,8 @@ def plan(fps: DataFrame, radius: int, parts: int | None = None) -> tuple[list[li
     n, together = _bit_statistics(fps)
     parts = parts or max(2, min(radius + 1, round(BITS / max(8.0, math.log2(max(n, 2))))))
     groups = group_bits(n, together, parts)
-    sizes = _keyed(fps, groups, [0] * parts).groupBy("part", "key").count()
-    same = {r.part: float(r.pairs) for r in sizes.groupBy("part").agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("pairs")).collect()}
+    sizes = _keyed(fps, groups, [0] * parts).groupBy("key").count()
+    same = {r.part: float(r.pairs) for r in sizes.groupBy(F.shiftright("key", 32).alias("part")).agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("pairs")).collect()}
     rate, costs = np.diag(together) / max(n, 1), []
     for i, bits in enumerate(groups):
         most = min(radius, 4, len(bits))
@@ -154,26 +156,48 @@ def plan(fps: DataFrame, radius: int, parts: int | None = None) -> tuple[list[li
     return groups, allocate(costs, radius)
 
 
+def _pack(fp: np.ndarray, bits: list[int]) -> np.ndarray:
+    """The values' bits at these places, side by side, as unsigned 32-bit numbers."""
+    at, byte = fp.view(np.uint8).reshape(-1, 8), np.arange(256)
+    out = np.zeros(len(fp), np.uint32)
+    for k in {b // 8 for b in bits}:
+        out |= sum(((byte >> b % 8 & 1) << j for j, b in enumerate(bits) if b // 8 == k)).astype(np.uint32)[at[:, k]]
+    return out
+
+
 def _keyed(fps: DataFrame, groups: list[list[int]], thresholds: list[int]) -> DataFrame:
-    """(fp, part, key): the value of every partition with up to its threshold of set bits cleared, each key once."""
+    """(fp, key): the value of every partition with up to its threshold of set bits cleared, each key once.
+
+    A key holds the partition's number above its 32 low bits and the packed value in them.
+    """
     plans = []
     for i, (bits, t) in enumerate(zip(groups, thresholds, strict=True)):
-        gone = [sum(1 << b for b in c) for k in range(t + 1) for c in itertools.combinations(bits, k)]
-        plans.append((i, np.uint64(sum(1 << b for b in bits)), ~np.array(gone, np.uint64)))
+        gone = [sum(1 << b for b in c) for k in range(t + 1) for c in itertools.combinations(range(len(bits)), k)]
+        plans.append((i, bits, ~np.array(gone, np.uint32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = b.column(0).to_numpy().view(np.uint64)
-            for i, mask, keep in plans:
+            for i, bits, keep in plans:
                 for at in range(0, len(fp) if len(keep) else 0, max(1, 200_000 // len(keep))):
                     own = fp[at : at + max(1, 200_000 // len(keep))]
-                    keys = np.sort((own & mask)[:, None] & keep[None, :], axis=1)
+                    keys = np.sort(_pack(own, bits)[:, None] & keep[None, :], axis=1)
                     new = np.ones(keys.shape, bool)
                     new[:, 1:] = keys[:, 1:] != keys[:, :-1]
                     row, col = np.nonzero(new)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[row].view(np.int64)), pa.array(np.full(len(row), i, np.int32)), pa.array(keys[row, col].view(np.int64))], ["fp", "part", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(own[row].view(np.int64)), pa.array(keys[row, col].astype(np.int64) | i << 32)], ["fp", "key"])
+
+    return fps.select("fp").mapInArrow(run, "fp long, key long")
 
-    return fps.select("fp").mapInArrow(run, "fp long, part int, key long")
+
+def _linked(fps: np.ndarray, group: np.ndarray, most: int, radius: int) -> np.ndarray:
+    """Which values have another one of their group within the radius; groups are runs of at most ``most`` values."""
+    out = np.zeros(len(fps), bool)
+    for d in range(1, min(most, len(fps))):
+        near = (group[d:] == group[:-d]) & (np.bitwise_count(fps[d:] ^ fps[:-d]) <= radius)
+        out[d:] |= near
+        out[:-d] |= near
+    return out
 
 
 def _forest(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -206,23 +230,23 @@ def links(fps: DataFrame, radius: int = 4, parts: int | None = None) -> DataFram
         return fps.select(F.col("fp").alias("src"), F.col("fp").alias("dst")).filter(F.lit(False))
     groups, thresholds = plan(fps, radius, parts)
     keyed = _keyed(fps, groups, thresholds)
-    large = cut(keyed.groupBy("part", "key").count().filter(F.col("count") > BLOCK))
-    ways = keyed.withColumns({"lo": F.lit(0).cast("long"), "hi": F.lit(0).cast("long")})
+    large = cut(keyed.groupBy("key").count().filter(F.col("count") > BLOCK))
+    ways, names = keyed, ["key"]
     if not large.isEmpty():
-        dealt = keyed.join(large, ["part", "key"], "left").withColumn("blocks", F.coalesce(F.ceil(F.col("count") / BLOCK), F.lit(1)).cast("long"))
+        dealt = keyed.join(large, "key", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("count") / BLOCK), F.lit(1)).cast("long"))
         dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        ways = dealt.select("fp", "part", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    names = ["part", "key", "lo", "hi"]
+        ways, names = dealt.select("fp", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")), ["key", "lo", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, names):
-            arrays = [t.column(k).to_numpy() for k in names]
-            fp, at = t.column("fp").to_numpy().view(np.uint64), run_starts(arrays)
+            fp, at = t.column("fp").to_numpy().view(np.uint64), run_starts([t.column(k).to_numpy() for k in names])
             size = np.diff(at)
-            pair = at[:-1][size == 2]
-            close = pair[np.bitwise_count(fp[pair] ^ fp[pair + 1]) <= radius]
-            found = [(fp[close], fp[close + 1])]
-            for a, b in zip(at[:-1][size > 2].tolist(), at[1:][size > 2].tolist(), strict=True):
+            group, small = np.repeat(np.arange(len(size)), size), np.repeat(size <= SMALL, size)
+            some = np.ones(len(fp), bool)
+            some[small] = _linked(fp[small], group[small], int(size[size <= SMALL].max(initial=0)), radius)
+            fp, at = fp[some], run_starts([group[some]])
+            found = [(fp[:0], fp[:0])]
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 found += _forest(fp[a:b], radius)
             src, dst = (np.concatenate(x).astype(np.uint64).view(np.int64) for x in zip(*found, strict=True))
             if len(src):
