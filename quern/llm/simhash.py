@@ -38,37 +38,54 @@ SHINGLES = 1_000_000
 PROBE_COST = 60.0
 
 
-def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
-    """The SimHash of a text's word shingles as an unsigned number; 0 for a text without words."""
-    if not text:
-        return 0
-    got = text.encode("utf-8", "surrogatepass").lower().split()
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Hashes whose bits are independent of those of h (the finaliser of SplitMix64)."""
+    h = h + np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+def halves(text: str | None, words: int = 4, seed: int = 42, looks: int = 1) -> list[int]:
+    """One or more independent SimHashes of a text's word shingles, of the same hashes mixed once more each; 0 without words."""
+    got = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not got:
-        return 0
+        return [0] * looks
     joined = b" ".join(got)
-    if len(got) <= words:
-        return xxhash.xxh64_intdigest(joined, seed)
     sizes = np.fromiter(map(len, got), np.int64, len(got))
     ends = np.cumsum(sizes + 1) - 1
     left, right = (ends - sizes)[: 1 - words or None].tolist(), ends[words - 1 :].tolist()
-    digest, ones, total = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64), len(left)
+    if len(got) <= words:
+        left, right = [0], [len(joined)]
+    digest, ones, total = xxhash.xxh64_intdigest, np.zeros((looks, BITS), np.int64), len(left)
     for at in range(0, total, 65536):
         part = zip(left[at : at + 65536], right[at : at + 65536], strict=True)
         h = np.fromiter((digest(joined[a:b], seed) for a, b in part), np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > total, bitorder="little").tobytes(), "little")
+        for k in range(looks):
+            ones[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            h = _mixed(h) if k + 1 < looks else h
+    return [int.from_bytes(np.packbits(2 * x > total, bitorder="little").tobytes(), "little") for x in ones]
+
+
+def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
+    """The SimHash of a text's word shingles as an unsigned number; 0 for a text without words."""
+    return halves(text, words, seed)[0]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint's bits as a signed long.  Null texts get 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, looks: int = 1) -> DataFrame:
+    """(doc_id, fp) of every row; fp is the fingerprint's bits as a signed long.  Null texts get 0.
+
+    With two looks a second, independent half follows as ``other``.
+    """
     bound_batches(docs.sparkSession)
+    names = ["fp", "other"][:looks]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), words, seed) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fp)], ["doc_id", "fp"])
+            fps = np.array([halves(t.as_py(), words, seed, looks) for t in b.column(1)], np.uint64).reshape(-1, looks).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(fps[:, k].copy()) for k in range(looks))], ["doc_id", *names])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", *names]))
 
 
 def _bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -143,7 +160,7 @@ def plan(fps: DataFrame, radius: int, parts: int | None = None) -> tuple[list[li
     n, together = _bit_statistics(fps)
     parts = parts or max(2, min(radius + 1, round(BITS / max(8.0, math.log2(max(n, 2))))))
     groups = group_bits(n, together, parts)
-    sizes = _keyed(fps, groups, [0] * parts).groupBy("key").count()
+    sizes = _keyed(fps.select("fp"), groups, [0] * parts).groupBy("key").count()
     same = {r.part: float(r.pairs) for r in sizes.groupBy(F.shiftright("key", 32).alias("part")).agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("pairs")).collect()}
     rate, costs = np.diag(together) / max(n, 1), []
     for i, bits in enumerate(groups):
@@ -168,9 +185,9 @@ def _pack(fp: np.ndarray, bits: list[int]) -> np.ndarray:
 def _keyed(fps: DataFrame, groups: list[list[int]], thresholds: list[int]) -> DataFrame:
     """(fp, key): the value of every partition with up to its threshold of set bits cleared, each key once.
 
-    A key holds the partition's number above its 32 low bits and the packed value in them.
+    Where there is ``other``, it goes along.  A key holds the partition's number above its 32 low bits and the packed value in them.
     """
-    plans = []
+    plans, names = [], [c for c in ("fp", "other") if c in fps.columns]
     for i, (bits, t) in enumerate(zip(groups, thresholds, strict=True)):
         gone = [sum(1 << b for b in c) for k in range(t + 1) for c in itertools.combinations(range(len(bits)), k)]
         plans.append((i, bits, ~np.array(gone, np.uint32)))
@@ -185,69 +202,80 @@ def _keyed(fps: DataFrame, groups: list[list[int]], thresholds: list[int]) -> Da
                     new = np.ones(keys.shape, bool)
                     new[:, 1:] = keys[:, 1:] != keys[:, :-1]
                     row, col = np.nonzero(new)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[row].view(np.int64)), pa.array(keys[row, col].astype(np.int64) | i << 32)], ["fp", "key"])
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at + row)) for c in b.columns), pa.array(keys[row, col].astype(np.int64) | i << 32)], [*names, "key"])
+
+    return fps.select(*names).mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "key"]))
 
-    return fps.select("fp").mapInArrow(run, "fp long, key long")
 
+def _close(x: np.ndarray, y: np.ndarray, radius: int, wide: int) -> np.ndarray:
+    """Which columns of x and y (a row for each half) differ in few bits, in the first half and in all."""
+    d = np.bitwise_count(x ^ y)
+    near = d[0] <= radius
+    return near if len(d) == 1 else near & (d[0] + d[1] <= wide)
 
-def _linked(fps: np.ndarray, group: np.ndarray, most: int, radius: int) -> np.ndarray:
-    """Which values have another one of their group within the radius; groups are runs of at most ``most`` values."""
-    out = np.zeros(len(fps), bool)
-    for d in range(1, min(most, len(fps))):
-        near = (group[d:] == group[:-d]) & (np.bitwise_count(fps[d:] ^ fps[:-d]) <= radius)
+
+def _linked(x: np.ndarray, group: np.ndarray, most: int, radius: int, wide: int) -> np.ndarray:
+    """Which columns have another one of their group that is close; groups are runs of at most ``most`` columns."""
+    out = np.zeros(x.shape[1], bool)
+    for d in range(1, min(most, len(out))):
+        near = (group[d:] == group[:-d]) & _close(x[:, d:], x[:, :-d], radius, wide)
         out[d:] |= near
         out[:-d] |= near
     return out
 
 
-def _forest(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Stars (smallest, others) over the components of the graph of fingerprints within the radius, by breadth-first search.
+def _forest(x: np.ndarray, radius: int, wide: int = 2 * BITS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Stars (smallest, others) over the components of the graph of close fingerprints, by breadth-first search.
 
-    Groups that overlap mostly share their smallest fingerprints, so different groups give few different links.
+    A fingerprint of two halves is named by their exclusive or.  Groups that overlap mostly share their smallest names, so
+    different groups give few different links.
     """
-    out, left = [], fps
-    while len(left) > 1:
-        queue, mine, left = [left[0]], [left[:1]], left[1:]
-        while queue and len(left):
-            x = queue.pop()
-            near = np.bitwise_count(left ^ x) <= radius
+    out, left = [], x
+    while left.shape[1] > 1:
+        queue, mine, left = [left[:, :1]], [left[:, :1]], left[:, 1:]
+        while queue and left.shape[1]:
+            near = _close(left, queue.pop(), radius, wide)
             if near.any():
-                found = left[near]
+                found = left[:, near]
                 mine.append(found)
-                queue.extend(found)
-                left = left[~near]
+                queue.extend(np.split(found, found.shape[1], 1))
+                left = left[:, ~near]
         if len(mine) > 1:
-            whole = np.concatenate(mine)
+            whole = np.bitwise_xor.reduce(np.concatenate(mine, 1), 0)
             least = whole.min()
             rest = whole[whole != least]
             out.append((np.full(len(rest), least), rest))
     return out
 
 
-def links(fps: DataFrame, radius: int = 4, parts: int | None = None) -> DataFrame:
-    """(src, dst) whose components are those of all pairs within the radius, for distinct fingerprints ``fp``."""
+def links(fps: DataFrame, radius: int = 4, parts: int | None = None, wide: int = 2 * BITS) -> DataFrame:
+    """(src, dst) whose components are those of all pairs within the radius, for distinct fingerprints ``fp``.
+
+    Where there is a column ``other`` with a second half, both halves together must differ in at most ``wide`` bits too, and
+    src and dst are the exclusive or of the halves.
+    """
     if fps.isEmpty():
         return fps.select(F.col("fp").alias("src"), F.col("fp").alias("dst")).filter(F.lit(False))
     groups, thresholds = plan(fps, radius, parts)
     keyed = _keyed(fps, groups, thresholds)
     large = cut(keyed.groupBy("key").count().filter(F.col("count") > BLOCK))
-    ways, names = keyed, ["key"]
+    ways, names, parts_of = keyed, ["key"], [c for c in ("fp", "other") if c in fps.columns]
     if not large.isEmpty():
         dealt = keyed.join(large, "key", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("count") / BLOCK), F.lit(1)).cast("long"))
-        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        ways, names = dealt.select("fp", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")), ["key", "lo", "hi"]
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks"))).withColumn("against", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        ways, names = dealt.select(*parts_of, "key", F.least("own", "against").alias("lo"), F.greatest("own", "against").alias("hi")), ["key", "lo", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, names):
-            fp, at = t.column("fp").to_numpy().view(np.uint64), run_starts([t.column(k).to_numpy() for k in names])
+            x, at = np.stack([t.column(c).to_numpy() for c in parts_of]).view(np.uint64), run_starts([t.column(k).to_numpy() for k in names])
             size = np.diff(at)
             group, small = np.repeat(np.arange(len(size)), size), np.repeat(size <= SMALL, size)
-            some = np.ones(len(fp), bool)
-            some[small] = _linked(fp[small], group[small], int(size[size <= SMALL].max(initial=0)), radius)
-            fp, at = fp[some], run_starts([group[some]])
-            found = [(fp[:0], fp[:0])]
+            some = np.ones(len(small), bool)
+            some[small] = _linked(x[:, small], group[small], int(size[size <= SMALL].max(initial=0)), radius, wide)
+            x, at = x[:, some], run_starts([group[some]])
+            found = [(x[0, :0], x[0, :0])]
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                found += _forest(fp[a:b], radius)
+                found += _forest(x[:, a:b], radius, wide)
             src, dst = (np.concatenate(x).astype(np.uint64).view(np.int64) for x in zip(*found, strict=True))
             if len(src):
                 yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
@@ -276,16 +304,16 @@ def shingles(text: str | None, words: int, seed: int = 42) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(j, seed) for j in joined], np.uint64))
 
 
-def _similar(fps: np.ndarray, sets: np.ndarray, sizes: np.ndarray, radius: int, least: float) -> list[tuple[int, np.ndarray]]:
-    """Spanning-forest links (position, positions) of pairs within the radius whose sets have the Jaccard similarity."""
+def _similar(fps: np.ndarray, sets: np.ndarray, sizes: np.ndarray, wide: int, least: float) -> list[tuple[int, np.ndarray]]:
+    """Spanning-forest links (position, positions) of pairs within ``wide`` bits of both halves whose sets have the Jaccard similarity."""
     starts, codes = np.cumsum(sizes) - sizes, np.unique(sets, return_inverse=True)[1]
-    mark, out, left = np.zeros(int(codes.max(initial=-1)) + 1, bool), [], np.arange(len(fps))
+    mark, out, left = np.zeros(int(codes.max(initial=-1)) + 1, bool), [], np.arange(fps.shape[1])
     while len(left) > 1:
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             x = queue.pop()
             own = codes[starts[x] : starts[x] + sizes[x]]
-            near = np.flatnonzero((np.bitwise_count(fps[left] ^ fps[x]) <= radius) & (np.minimum(sizes[left], sizes[x]) >= least * np.maximum(sizes[left], sizes[x]) - 1e-9))
+            near = np.flatnonzero((np.bitwise_count(fps[:, left] ^ fps[:, x : x + 1]).sum(0) <= wide) & (np.minimum(sizes[left], sizes[x]) >= least * np.maximum(sizes[left], sizes[x]) - 1e-9))
             if not len(near):
                 continue
             mark[own] = True
@@ -300,12 +328,14 @@ def _similar(fps: np.ndarray, sets: np.ndarray, sizes: np.ndarray, radius: int,
     return out
 
 
-def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 10, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 10, wide: int = 32, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """(doc_id, component_id) of near-duplicates that are verified on the texts' shingle sets.
 
-    A link is a pair within the radius whose sets of word shingles have at least this Jaccard similarity; texts without words
-    are like each other.  At a similarity of 0.8 fingerprints differ in 9.7 bits on average, so radius 10 finds three
-    in four single links there and nine in ten from 0.85 on.  Coarse components by fingerprint alone come first; within one, texts are compared breadth first in
+    A fingerprint has two independent halves of 64 bits.  Either half is probed by pigeonhole within the radius; both together
+    may differ in at most ``wide`` bits, which keeps unlike texts apart however many there are.  A link is such a pair whose
+    sets of word shingles have at least this Jaccard similarity; texts without words are like each other.  At a similarity of
+    0.8 a half differs in 9.7 bits on average and both in 19.4, so a single link there is missed where both halves lie above
+    the radius.  Coarse components by fingerprint alone come first; within one, texts are compared breadth first in
     blocks, so no pairs are written out.  One row for every distinct id that is not null.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
@@ -318,33 +348,37 @@ def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [t.as_py() for t in b.column(1)]
-            fp = np.array([fingerprint(t, words, seed) for t in got], np.uint64).view(np.int64)
+            fps = np.array([halves(t, words, seed, 2) for t in got], np.uint64).reshape(-1, 2).view(np.int64)
             sets = [shingles(t, words, seed).view(np.int64) for t in got]
             bounds = np.append(0, np.cumsum(np.fromiter(map(len, sets), np.int64, len(sets)))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))], ["rep", "fp", "sets"])
-
-    nodes = cut(fingerprints(d.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), words=words, seed=seed).groupBy("doc_id").agg(F.min("fp").alias("fp")))
-    coarse = connected_components(links(cut(nodes.select("fp").distinct()), radius)).select(F.col("node").alias("fp"), "component")
-    grouped = nodes.join(coarse, "fp", "left").select(F.col("doc_id"), F.coalesce("component", "fp").alias("coarse"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps[:, 0].copy()), pa.array(fps[:, 1].copy()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))], ["rep", "fp", "other", "sets"])
+
+    nodes = cut(fingerprints(d.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), words=words, seed=seed, looks=2).groupBy("doc_id").agg(F.min(F.struct("fp", "other")).alias("x")).select("doc_id", "x.*"))
+    distinct = cut(nodes.select("fp", "other").distinct())
+    swapped = distinct.select(F.col("other").alias("fp"), F.col("fp").alias("other"))
+    close = links(distinct, radius, wide=wide).unionByName(links(swapped, radius, wide=wide))
+    coarse = connected_components(close).select(F.col("node").alias("name"), "component")
+    named = nodes.withColumn("name", F.col("fp").bitwiseXOR(F.col("other")))
+    grouped = named.join(coarse, "name", "left").select(F.col("doc_id"), F.coalesce("component", "name").alias("coarse"))
     several = grouped.groupBy("coarse").agg(F.count("*").alias("n")).filter("n > 1").select("coarse")
     members = cut(salted_join(grouped, several, "coarse", "doc_id"))
-    measured = cut(texts.join(members.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(measure, "rep long, fp long, sets array<long>"))
+    measured = cut(texts.join(members.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(measure, "rep long, fp long, other long, sets array<long>"))
     rows = measured.join(members.withColumnRenamed("doc_id", "rep"), "rep")
     total = rows.groupBy("coarse").agg(F.sum(F.size("sets") + 1).alias("total"))
     dealt = salted_join(rows, total, "coarse", "rep").withColumn("blocks", F.ceil(F.col("total") / SHINGLES).cast("long")).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("against", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     names = ["coarse", "lo", "hi"]
-    dealt = dealt.select("coarse", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "rep", "fp", "sets")
+    dealt = dealt.select("coarse", F.least("own", "against").alias("lo"), F.greatest("own", "against").alias("hi"), "rep", "fp", "other", "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, names):
             t = t.combine_chunks()
             at = run_starts([t.column(k).to_numpy() for k in names])
-            rep, fp, sets = t.column("rep").to_numpy(), t.column("fp").to_numpy().view(np.uint64), t.column("sets").combine_chunks()
+            rep, fps, sets = t.column("rep").to_numpy(), np.stack([t.column(c).to_numpy() for c in ("fp", "other")]).view(np.uint64), t.column("sets").combine_chunks()
             offsets, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
             src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                for x, ys in _similar(fp[a:e], flat[offsets[a] : offsets[e]], np.diff(offsets[a : e + 1]), radius, similarity):
+                for x, ys in _similar(fps[:, a:e], flat[offsets[a] : offsets[e]], np.diff(offsets[a : e + 1]), wide, similarity):
                     src.append(np.full(len(ys), rep[a + x]))
                     dst.append(rep[a + ys])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], ["src", "dst"])

@@ -30,6 +30,27 @@ def plain_fingerprint(text, n):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
+def mixed(h):
+    """One step of SplitMix64 in plain integers."""
+    h = (h + 0x9E3779B97F4A7C15) % 2**64
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
+    return h ^ h >> 31
+
+
+def plain_halves(text, n):
+    words = (text or "").encode().lower().split()
+    hs = [xxhash.xxh64_intdigest(b" ".join(words[i : i + n]), 42) for i in range(max(1, len(words) - n + 1))] if words else []
+    return [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in k) > len(k)) for k in (hs, [mixed(h) for h in hs])]
+
+
+@pytest.mark.parametrize("words", [1, 5])
+def test_halves_match_plain(words):
+    for text in (None, "", "A b", "a B c d e", "one two\tthree\x0bfour five six É é " * 9):
+        assert simhash.halves(text, words, looks=2) == plain_halves(text, words)
+        assert simhash.fingerprint(text, words) == plain_fingerprint(text, words)
+
+
 def test_fingerprint_matches_plain_and_spark_hash(spark):
     for text in (None, "", "  ", "A b", "a B c d", "one two\tthree\x0bfour five six É é " * 9):
         assert simhash.fingerprint(text) == plain_fingerprint(text, 4)
@@ -66,6 +87,22 @@ def test_links_keep_components(spark, monkeypatch, radius, parts, block):
     assert roots(fps, got) == want
 
 
+@pytest.mark.parametrize("block", [4096, 16])
+def test_links_of_two_halves(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, (40, 2), np.uint64)
+    flip = lambda x, n: int(x) ^ sum(1 << int(k) for k in rng.choice(64, n, replace=False))
+    fps = sorted({(flip(a, rng.integers(0, 9)), flip(b, rng.integers(0, 9))) for a, b in np.repeat(base, 6, 0)})
+    near = lambda x, y: (x[0] ^ y[0]).bit_count() <= 6 and sum((a ^ b).bit_count() for a, b in zip(x, y, strict=True)) <= 11
+    names = [a ^ b for a, b in fps]
+    want = roots(names, [(a ^ b, c ^ d) for i, (a, b) in enumerate(fps) for c, d in fps[:i] if near((a, b), (c, d))])
+    signed = [tuple(v - 2**64 if v >> 63 else v for v in f) for f in fps]
+    got = [(r.src & (2**64 - 1), r.dst & (2**64 - 1)) for r in simhash.links(spark.createDataFrame(signed, "fp long, other long"), 6, wide=11).collect()]
+    assert roots(names, got) == want
+    assert len(set(want.values())) < len(names)
+
+
 def test_thresholds_are_a_least_cost_pigeonhole():
     costs = [[0, 5, 9, 40], [0, 1, 2, 3], [0, 7, 8, 90]]
     got = simhash.allocate(costs, 4)
@@ -79,8 +116,13 @@ def test_verified_duplicates_match_all_pairs(spark, monkeypatch, shingles):
     monkeypatch.setattr(simhash, "SHINGLES", shingles)
     docs = table(spark, SF, "documents")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    fp, sets = [plain_fingerprint(t, 5) for _, t in rows], [set(simhash.shingles(t, 5).tolist()) for _, t in rows]
-    links = [(i, j) for i in range(len(rows)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 10 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    fp, sets = [plain_halves(t, 5) for _, t in rows], [set(simhash.shingles(t, 5).tolist()) for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i)]
+    bits = {(i, j): [(a ^ b).bit_count() for a, b in zip(fp[i], fp[j], strict=True)] for i, j in pairs}
+    coarse = roots(range(len(rows)), [p for p in pairs if min(bits[p]) <= 10 and sum(bits[p]) <= 32])
+    alike = [(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    links = [(i, j) for i, j in alike if coarse[i] == coarse[j] and sum(bits[i, j]) <= 32]
+    assert len(links) >= 0.95 * len(alike)
     of = roots(range(len(rows)), links)
     least = {}
     for i, (d, _) in enumerate(rows):
