@@ -356,7 +356,7 @@ def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = cut(fingerprints(d.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), words=words, seed=seed, looks=2).groupBy("doc_id").agg(F.min(F.struct("fp", "other")).alias("x")).select("doc_id", "x.*"))
     distinct = cut(nodes.select("fp", "other").distinct())
     swapped = distinct.select(F.col("other").alias("fp"), F.col("fp").alias("other"))
-    close = links(distinct, radius, wide=wide).unionByName(links(swapped, radius, wide=wide))
+    close = cut(links(distinct, radius, wide=wide)).unionByName(cut(links(swapped, radius, wide=wide)))
     coarse = connected_components(close).select(F.col("node").alias("name"), "component")
     named = nodes.withColumn("name", F.col("fp").bitwiseXOR(F.col("other")))
     grouped = named.join(coarse, "name", "left").select(F.col("doc_id"), F.coalesce("component", "name").alias("coarse"))
