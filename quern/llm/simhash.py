@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, run_starts, runs, salted_join
+from .common import bound_batches, cut, run_starts, runs, salted_join, slices
 from .components import connected_components
 from .wordmemo import ragged, sums
 
@@ -155,7 +155,7 @@ def allocate(costs: list[list[float]], radius: int) -> list[int]:
 def plan(fps: DataFrame, radius: int, parts: int | None = None) -> tuple[list[list[int]], list[int]]:
     """Bit partitions and their thresholds for these distinct fingerprints.
 
-    The number of partitions follows the number of fingerprints: a partition is about as wide as its binary logarithm.
+    The number of partitions follows the number of fingerprints.
     """
     n, together = _bit_statistics(fps)
     parts = parts or max(2, min(radius + 1, round(BITS / max(8.0, math.log2(max(n, 2))))))
@@ -207,62 +207,65 @@ def _keyed(fps: DataFrame, groups: list[list[int]], thresholds: list[int]) -> Da
     return fps.select(*names).mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "key"]))
 
 
-def _close(x: np.ndarray, y: np.ndarray, radius: int, wide: int) -> np.ndarray:
-    """Which columns of x and y (a row for each half) differ in few bits, in the first half and in all."""
-    d = np.bitwise_count(x ^ y)
+def _close(x: np.ndarray, y: np.ndarray, radius: int, wide: int, similarity: float = 0.0) -> np.ndarray:
+    """Which columns of x and y (a row for each half) differ in few bits, in the first half and in all.
+
+    A third row has sizes, whose ratio must be ``similarity`` at least.
+    """
+    d = np.bitwise_count(x[:2] ^ y[:2])
     near = d[0] <= radius
-    return near if len(d) == 1 else near & (d[0] + d[1] <= wide)
+    if len(d) > 1:
+        near = near & (d[0] + d[1] <= wide)
+    if len(x) > 2:
+        near &= np.minimum(x[2], y[2]) >= similarity * np.maximum(x[2], y[2]) - 1e-9
+    return near
 
 
-def _linked(x: np.ndarray, group: np.ndarray, most: int, radius: int, wide: int) -> np.ndarray:
+def _linked(x: np.ndarray, group: np.ndarray, most: int, radius: int, wide: int, similarity: float = 0.0) -> np.ndarray:
     """Which columns have another one of their group that is close; groups are runs of at most ``most`` columns."""
     out = np.zeros(x.shape[1], bool)
     for d in range(1, min(most, len(out))):
-        near = (group[d:] == group[:-d]) & _close(x[:, d:], x[:, :-d], radius, wide)
+        near = (group[d:] == group[:-d]) & _close(x[:, d:], x[:, :-d], radius, wide, similarity)
         out[d:] |= near
         out[:-d] |= near
     return out
 
 
-def _forest(x: np.ndarray, radius: int, wide: int = 2 * BITS) -> list[tuple[np.ndarray, np.ndarray]]:
+def _forest(x: np.ndarray, radius: int, wide: int = 2 * BITS, similarity: float = 0.0) -> list[tuple[np.ndarray, np.ndarray]]:
     """Stars (smallest, others) over the components of the graph of close fingerprints, by breadth-first search.
 
-    A fingerprint of two halves is named by their exclusive or.  Groups that overlap mostly share their smallest names, so
+    A fingerprint of two halves is named by their exclusive or, or by the fourth row where there is one.  Groups that overlap mostly share their smallest names, so
     different groups give few different links.
     """
     out, left = [], x
     while left.shape[1] > 1:
         queue, mine, left = [left[:, :1]], [left[:, :1]], left[:, 1:]
         while queue and left.shape[1]:
-            near = _close(left, queue.pop(), radius, wide)
+            near = _close(left, queue.pop(), radius, wide, similarity)
             if near.any():
                 found = left[:, near]
                 mine.append(found)
                 queue.extend(np.split(found, found.shape[1], 1))
                 left = left[:, ~near]
         if len(mine) > 1:
-            whole = np.bitwise_xor.reduce(np.concatenate(mine, 1), 0)
+            whole = np.concatenate(mine, 1)
+            whole = whole[3] if len(whole) > 3 else np.bitwise_xor.reduce(whole, 0)
             least = whole.min()
             rest = whole[whole != least]
             out.append((np.full(len(rest), least), rest))
     return out
 
 
-def links(fps: DataFrame, radius: int = 4, parts: int | None = None, wide: int = 2 * BITS) -> DataFrame:
-    """(src, dst) whose components are those of all pairs within the radius, for distinct fingerprints ``fp``.
+def _star_links(keyed: DataFrame, counted: DataFrame, parts_of: list[str], radius: int, wide: int, similarity: float = 0.0) -> DataFrame:
+    """(src, dst): stars over the close ones of every ``key``'s group.  Large groups are dealt out by pairs of blocks.
 
-    Where there is a column ``other`` with a second half, both halves together must differ in at most ``wide`` bits too, and
-    src and dst are the exclusive or of the halves.
+    ``counted`` has all keys, or none where no group can be large.  The columns are ``fp``, perhaps ``other``, and perhaps ``size`` and a name ``rep``, in this order.
     """
-    if fps.isEmpty():
-        return fps.select(F.col("fp").alias("src"), F.col("fp").alias("dst")).filter(F.lit(False))
-    groups, thresholds = plan(fps, radius, parts)
-    keyed = _keyed(fps, groups, thresholds)
-    large = cut(keyed.groupBy("key").count().filter(F.col("count") > BLOCK))
-    ways, names, parts_of = keyed, ["key"], [c for c in ("fp", "other") if c in fps.columns]
+    large = cut(counted.groupBy("key").count().filter(F.col("count") > BLOCK))
+    ways, names = keyed, ["key"]
     if not large.isEmpty():
         dealt = keyed.join(large, "key", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("count") / BLOCK), F.lit(1)).cast("long"))
-        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks"))).withColumn("against", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64(parts_of[-1]), F.col("blocks"))).withColumn("against", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         ways, names = dealt.select(*parts_of, "key", F.least("own", "against").alias("lo"), F.greatest("own", "against").alias("hi")), ["key", "lo", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,11 +274,11 @@ def links(fps: DataFrame, radius: int = 4, parts: int | None = None, wide: int =
             size = np.diff(at)
             group, small = np.repeat(np.arange(len(size)), size), np.repeat(size <= SMALL, size)
             some = np.ones(len(small), bool)
-            some[small] = _linked(x[:, small], group[small], int(size[size <= SMALL].max(initial=0)), radius, wide)
+            some[small] = _linked(x[:, small], group[small], int(size[size <= SMALL].max(initial=0)), radius, wide, similarity)
             x, at = x[:, some], run_starts([group[some]])
             found = [(x[0, :0], x[0, :0])]
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                found += _forest(x[:, a:b], radius, wide)
+                found += _forest(x[:, a:b], radius, wide, similarity)
             src, dst = (np.concatenate(x).astype(np.uint64).view(np.int64) for x in zip(*found, strict=True))
             if len(src):
                 yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
@@ -283,6 +286,19 @@ def links(fps: DataFrame, radius: int = 4, parts: int | None = None, wide: int =
     return ways.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "src long, dst long").distinct()
 
 
+def links(fps: DataFrame, radius: int = 4, parts: int | None = None, wide: int = 2 * BITS) -> DataFrame:
+    """(src, dst) whose components are those of all pairs within the radius, for distinct fingerprints ``fp``.
+
+    Where there is a column ``other`` with a second half, both halves together must differ in at most ``wide`` bits too, and
+    src and dst are the exclusive or of the halves.
+    """
+    if fps.isEmpty():
+        return fps.select(F.col("fp").alias("src"), F.col("fp").alias("dst")).filter(F.lit(False))
+    groups, thresholds = plan(fps, radius, parts)
+    keyed = _keyed(fps, groups, thresholds)
+    return _star_links(keyed, keyed, [c for c in ("fp", "other") if c in fps.columns], radius, wide)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest id reachable by links of at most ``radius`` differing bits.
 
@@ -328,22 +344,63 @@ def _similar(fps: np.ndarray, sets: np.ndarray, sizes: np.ndarray, wide: int, le
     return out
 
 
-def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 10, wide: int = 32, similarity: float = 0.8, seed: int = 42) -> DataFrame:
-    """(doc_id, component_id) of near-duplicates that are verified on the texts' shingle sets.
+def _digest(text: Column) -> Column:
+    """The md5 of a text; null texts are empty ones."""
+    return F.coalesce(F.md5(text), F.md5(F.lit("")))
 
-    A fingerprint has two independent halves of 64 bits.  Either half is probed by pigeonhole within the radius; both together
-    may differ in at most ``wide`` bits, which keeps unlike texts apart however many there are.  A link is such a pair whose
-    sets of word shingles have at least this Jaccard similarity; texts without words are like each other.  At a similarity of
-    0.8 a half differs in 9.7 bits on average and both in 19.4, so a single link there is missed where both halves lie above
-    the radius.  Coarse components by fingerprint alone come first; within one, texts are compared breadth first in
-    blocks, so no pairs are written out.  One row for every distinct id that is not null.
+
+def _prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, by hash and common ones last; sets of at least this Jaccard similarity share one of them.
+
+    Similar sets share ``similarity`` of either one's size, so the first of what is shared is among so many of both.  A set without
+    shingles has the key 0.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    of_text = d.select("doc_id", F.coalesce(F.md5("text"), F.md5(F.lit(""))).alias("digest"))
-    exact = cut(of_text.groupBy("doc_id").agg(F.min("digest").alias("digest")))
-    reps = exact.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    texts = d.join(reps.select(F.col("rep").alias("doc_id"), "digest"), "doc_id").filter(F.coalesce(F.md5("text"), F.md5(F.lit(""))) == F.col("digest")).dropDuplicates(["doc_id"])
-    bound_batches(docs.sparkSession)
+    if not len(hashes):
+        return np.zeros(1, np.uint64)
+    late = np.isin(hashes, common)
+    return np.concatenate([hashes[~late], hashes[late]])[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
+
+
+def _common_shingles(texts: DataFrame, n: int, words: int, seed: int, docs: int = 20_000, most: int = 20_000) -> np.ndarray:
+    """Shingles of many texts of a sample, sorted; they stand last in the order of shingles, which changes costs, not links."""
+    spot = F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1_000_000))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *(shingles(t.as_py(), words, seed) for t in b.column(0))]).view(np.int64))], ["h"])
+
+    sample = texts.filter(spot < int(1_000_000 * docs / max(n, 1)) + 1).select("text")
+    least = max(8, min(n, docs) // 2_000)
+    got = sample.mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(most).select("h").toPandas()
+    return np.sort(got.h.to_numpy(np.int64).view(np.uint64))
+
+
+def _similar_texts(texts: DataFrame, words: int, wide: int, similarity: float, seed: int) -> DataFrame:
+    """(node, component) of the texts (rep, text) that have a similar one.
+
+    Candidates share one of the first shingles of their sets (prefix filter: no pair of the similarity is missed), have sizes that
+    allow it and differ in at most ``wide`` bits of two 64-bit fingerprints.  Each key's group gives stars; in the coarse
+    components of these, shingle sets are compared breadth first in blocks, so no pairs are written out.
+    """
+    bound_batches(texts.sparkSession)
+    n = texts.select("rep").count()
+    common = _common_shingles(texts, n, words, seed)
+
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *(_prefix(shingles(t.as_py(), words, seed), common, similarity) for t in b.column(0))]).view(np.int64))], ["key"])
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text"):
+                got = [t.as_py() for t in b.column(1)]
+                fps = np.array([halves(t, words, seed, 2) for t in got], np.uint64).reshape(-1, 2).view(np.int64)
+                sets = [shingles(t, words, seed) for t in got]
+                first = [_prefix(x, common, similarity) for x in sets]
+                row = np.repeat(np.arange(len(got)), [len(x) for x in first])
+                size = np.array([len(x) for x in sets], np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(fps[row, 0]), pa.array(fps[row, 1]), pa.array(size[row]), pa.array(np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64))], ["rep", "fp", "other", "size", "key"])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -353,17 +410,12 @@ def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             bounds = np.append(0, np.cumsum(np.fromiter(map(len, sets), np.int64, len(sets)))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps[:, 0].copy()), pa.array(fps[:, 1].copy()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))], ["rep", "fp", "other", "sets"])
 
-    nodes = cut(fingerprints(d.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), words=words, seed=seed, looks=2).groupBy("doc_id").agg(F.min(F.struct("fp", "other")).alias("x")).select("doc_id", "x.*"))
-    distinct = cut(nodes.select("fp", "other").distinct())
-    swapped = distinct.select(F.col("other").alias("fp"), F.col("fp").alias("other"))
-    close = cut(links(distinct, radius, wide=wide)).unionByName(cut(links(swapped, radius, wide=wide)))
-    coarse = connected_components(close).select(F.col("node").alias("name"), "component")
-    named = nodes.withColumn("name", F.col("fp").bitwiseXOR(F.col("other")))
-    grouped = named.join(coarse, "name", "left").select(F.col("doc_id"), F.coalesce("component", "name").alias("coarse"))
-    several = grouped.groupBy("coarse").agg(F.count("*").alias("n")).filter("n > 1").select("coarse")
-    members = cut(salted_join(grouped, several, "coarse", "doc_id"))
-    measured = cut(texts.join(members.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(measure, "rep long, fp long, other long, sets array<long>"))
-    rows = measured.join(members.withColumnRenamed("doc_id", "rep"), "rep")
+    keyed = texts.select("rep", "text").mapInArrow(keys, "rep long, fp long, other long, size long, key long")
+    counted = texts.select("text").mapInArrow(only, "key long") if n > BLOCK else keyed.select("key").limit(0)
+    close = cut(_star_links(keyed, counted, ["fp", "other", "size", "rep"], BITS, wide, similarity))
+    members = cut(connected_components(close).select(F.col("node").alias("rep"), F.col("component").alias("coarse")))
+    measured = cut(texts.join(members.select("rep"), "rep", "left_semi").select("rep", "text").mapInArrow(measure, "rep long, fp long, other long, sets array<long>"))
+    rows = measured.join(members, "rep")
     total = rows.groupBy("coarse").agg(F.sum(F.size("sets") + 1).alias("total"))
     dealt = salted_join(rows, total, "coarse", "rep").withColumn("blocks", F.ceil(F.col("total") / SHINGLES).cast("long")).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
     dealt = dealt.withColumn("against", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -384,6 +436,19 @@ def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], ["src", "dst"])
 
     found = dealt.repartition(*names).sortWithinPartitions(*names).mapInArrow(compare, "src long, dst long")
-    of = connected_components(found).select(F.col("node").alias("rep"), "component")
+    return connected_components(found)
+
+
+def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, wide: int = 44, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """(doc_id, component_id) of near-duplicates that are verified on the texts' shingle sets.
+
+    A link is a pair whose sets of word shingles have at least this Jaccard similarity; texts without words are like each other.
+    One row for every distinct id that is not null; of an id's texts the one of the smallest digest is compared.
+    """
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
+    exact = cut(d.select("doc_id", _digest(F.col("text")).alias("digest")).groupBy("doc_id").agg(F.min("digest").alias("digest")))
+    reps = exact.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    texts = d.join(reps.select(F.col("rep").alias("doc_id"), "digest"), "doc_id").filter(_digest(F.col("text")) == F.col("digest")).dropDuplicates(["doc_id"])
+    of = _similar_texts(texts.select(F.col("doc_id").alias("rep"), "text"), words, wide, similarity, seed).select(F.col("node").alias("rep"), "component")
     named = reps.join(of, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return exact.join(named, "digest").select("doc_id", "component_id")

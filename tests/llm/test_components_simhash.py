@@ -134,3 +134,28 @@ def test_verified_duplicates_of_awkward_rows(spark):
     got = {r.doc_id: r.component_id for r in simhash.verified_duplicates(awkward(spark)).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 6, 7: 7, 8: 8}
     assert simhash.verified_duplicates(awkward(spark).limit(0)).count() == 0
+
+
+def test_every_lone_pair_at_the_similarity_is_found(spark):
+    rng, rows = np.random.default_rng(3), []
+    for k in range(1500):
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, 94)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: 88 - k % 6] + [f"o{x}" for x in rng.integers(0, 1 << 40, 6 + k % 6)]))]
+    sets = [set(simhash.shingles(t, 5).tolist()) for _, t in rows]
+    likeness = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, len(rows), 2)]
+    alike = {2 * k for k, x in enumerate(likeness) if x >= 0.8}
+    assert len(alike) > 500 and min(x for x in likeness if x >= 0.8) < 0.85
+    got = {r.doc_id: r.component_id for r in simhash.verified_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - 1 if i % 2 and i - 1 in alike else i for i, _ in rows}
+
+
+@pytest.mark.parametrize("size", [5, 40, 1000])
+def test_first_shingles_meet(size):
+    rng = np.random.default_rng(size)
+    for _ in range(300):
+        pool = np.unique(rng.integers(0, 1 << 63, 3 * size, np.uint64))
+        a = pool[:size]
+        b = np.sort(np.append(rng.choice(a, size - size // 9, replace=False), pool[size : size + size // 9]))
+        assert len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8
+        common = np.sort(rng.choice(pool, size))
+        assert len(np.intersect1d(simhash._prefix(a, common, 0.8), simhash._prefix(b, common, 0.8)))
