@@ -452,3 +452,21 @@ def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of = _similar_texts(texts.select(F.col("doc_id").alias("rep"), "text"), words, wide, similarity, seed).select(F.col("node").alias("rep"), "component")
     named = reps.join(of, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return exact.join(named, "digest").select("doc_id", "component_id")
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, wide: int = 44, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """One row of each group of near-duplicate rows: of the smallest id, of its texts the one of the smallest digest.
+
+    Rows take part by their texts, so ids may repeat or be null; a null id stays only where its group has no other.
+    """
+    d = docs.withColumn("digest__", _digest(F.col(text_col)))
+    digests = cut(d.groupBy("digest__").agg(F.min(id_col).alias("id__")).withColumn("rep", F.monotonically_increasing_id()))
+    texts = d.select("digest__", F.col(text_col).alias("text")).join(digests.select("digest__", "rep"), "digest__").dropDuplicates(["rep"]).select("rep", "text")
+    of = _similar_texts(texts, words, wide, similarity, seed).select(F.col("node").alias("rep"), "component")
+    order = F.struct(F.col("id__").isNull().alias("none__"), "id__", "digest__")
+    named = digests.join(of, "rep", "left").groupBy(F.coalesce("component", "rep").alias("component")).agg(F.min(order).alias("x"))
+    kept = cut(named.select("x.digest__", "x.id__"))
+    out = d.join(kept, "digest__").filter(F.col(id_col).eqNullSafe(F.col("id__")))
+    if not d.groupBy("digest__", id_col).count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates(["digest__"])
+    return out.select(*docs.columns)

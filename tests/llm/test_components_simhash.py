@@ -5,6 +5,7 @@ import pytest
 import xxhash
 from helpers import SF, awkward, roots
 
+import corpus_pipeline
 from quern.llm import simhash
 from quern.llm.common import table
 from quern.llm.components import connected_components
@@ -159,3 +160,11 @@ def test_first_shingles_meet(size):
         assert len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8
         common = np.sort(rng.choice(pool, size))
         assert len(np.intersect1d(simhash._prefix(a, common, 0.8), simhash._prefix(b, common, 0.8)))
+
+
+def test_rows_of_repeated_and_null_ids_are_compared_by_text(spark):
+    one, two, three = (" ".join(f"{p}{k}" for k in range(60)) for p in "abc")
+    rows = [(7, one, "x"), (7, two, "x"), (7, two, "x"), (7, three + " end", "x"), (3, three, "x"), (None, one, "x"), (None, one + " end", "x"), (None, "words of no other row", "x"), (None, "words of no other row", "x"), (9, None, "x"), (9, "", "x")]
+    got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect()]
+    assert sorted((r[:2] for r in got if r[1]), key=repr) == sorted([(7, one), (7, two), (3, three), (None, "words of no other row")], key=repr)
+    assert len(got) == 5
