@@ -34,6 +34,8 @@ BLOCK = 32_768
 SMALL = 256
 #: Shingles of one coarse group that a task holds twice at most; larger groups are dealt out by pairs of blocks.
 SHINGLES = 1_000_000
+#: The largest threshold of a partition.
+MOST = 4
 #: Cost of a probe key (emitted, shuffled, sorted) in units of one verified candidate pair.
 PROBE_COST = 60.0
 
@@ -152,19 +154,24 @@ def allocate(costs: list[list[float]], radius: int) -> list[int]:
     return best[radius + 1][1]
 
 
+def partitions(n: int, radius: int) -> int:
+    """Number of partitions for n fingerprints: about as wide as the binary logarithm of n, and enough for the radius at the largest threshold."""
+    return max(2, math.ceil((radius + 1) / (MOST + 1)), min(radius + 1, round(BITS / max(8.0, math.log2(max(n, 2))))))
+
+
 def plan(fps: DataFrame, radius: int, parts: int | None = None) -> tuple[list[list[int]], list[int]]:
     """Bit partitions and their thresholds for these distinct fingerprints.
 
     The number of partitions follows the number of fingerprints.
     """
     n, together = _bit_statistics(fps)
-    parts = parts or max(2, min(radius + 1, round(BITS / max(8.0, math.log2(max(n, 2))))))
+    parts = parts or partitions(n, radius)
     groups = group_bits(n, together, parts)
     sizes = _keyed(fps.select("fp"), groups, [0] * parts).groupBy("key").count()
     same = {r.part: float(r.pairs) for r in sizes.groupBy(F.shiftright("key", 32).alias("part")).agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("pairs")).collect()}
     rate, costs = np.diag(together) / max(n, 1), []
     for i, bits in enumerate(groups):
-        most = min(radius, 4, len(bits))
+        most = min(radius, MOST, len(bits))
         ball, ones = _ball(rate[bits], 2 * most), rate[bits].sum()
         costs.append([0.0])
         for t in range(most + 1):

@@ -112,6 +112,13 @@ def test_thresholds_are_a_least_cost_pigeonhole():
     assert sum(r[t + 1] for r, t in zip(costs, got)) == min(costs[0][a] + costs[1][b] + costs[2][c] for a, b, c in every)
 
 
+@pytest.mark.parametrize("radius", [4, 10, 16])
+def test_partitions_reach_the_radius_at_any_size(radius):
+    for n in (0, 1, 1_000, 51_000_000, 60_000_000, 10**10, 10**15):
+        got = simhash.allocate([[float(4**k) for k in range(simhash.MOST + 2)]] * simhash.partitions(n, radius), radius)
+        assert sum(t + 1 for t in got) == radius + 1
+
+
 @pytest.mark.parametrize("shingles", [1_000_000, 3_000])
 def test_verified_duplicates_match_all_pairs(spark, monkeypatch, shingles):
     monkeypatch.setattr(simhash, "SHINGLES", shingles)
