@@ -22,6 +22,10 @@ from .common import bound_batches, slices
 ORDER = 4
 #: Characters that are scored at once, so that memory does not follow the length of a text.
 PLACES = 1 << 18
+#: Rows of a language that calibrate its limit, at least; a language with too few gives all of its rows to both ends, in folds.
+CALIBRATE = 100
+#: Folds of such languages.
+FOLDS = 5
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _FOLD: list[np.ndarray] = []
 
@@ -179,56 +183,77 @@ def kneser_ney(counts: dict[str, dict[str, int]]) -> Model:
 def fit_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", rows: int = 2_000, keep: float = 0.999, slack: float = 0.5, seed: int = 9) -> Model | None:
     """Fits models on about ``rows`` labelled rows (``rows`` over the number of languages from each, all if it has fewer).
 
-    Rows are drawn by a hash of the key, whole texts; rows without language or text are left out; None if no row is left.  Of
-    the sample four fifths give n-grams.  The other fifth calibrates the rejection: a language's limit is the quantile ``keep``
-    of its own cross-entropies plus ``slack`` bits.  Only counts of n-grams and one number a sampled row reach the driver.
+    Rows are drawn by a hash of the key, whole texts; rows without language or text are left out; None if no row is left.  Four
+    fifths give n-grams.  The other fifth, but about ``CALIBRATE`` rows a language at least, calibrates the rejection: a language's
+    limit is the quantile ``keep`` of its own cross-entropies plus ``slack`` bits.  A language with too few rows for both gives all
+    of them to the n-grams, and each fifth of them is calibrated under models without that fifth.  With fewer than 20 calibrated
+    rows the limit is the larger one of its own and of all languages pooled; with none in any language it is that of letters at
+    random.  Only counts of n-grams and one number a sampled row reach the driver.
     """
     known = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(key_col), F.lit(seed)).alias("draw")).filter("lang is not null and text is not null")
     sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
         return None
-    share = [F.when(F.col("lang") == k, F.lit(min(1_000_000, int(1_000_000 * rows / len(sizes) / n) + 1))) for k, n in sizes.items()]
-    spot = F.pmod("draw", F.lit(1_000_000))
-    sample = known.filter(spot < F.coalesce(*share)).withColumn("test", F.pmod(F.shiftright("draw", 32), F.lit(5)) == 0).select("text", "lang", "test")
+    # Twice the standard deviation above the floor, as rows are drawn independently.
+    trained, tested = 0.8 * rows / len(sizes), max(CALIBRATE + 2 * CALIBRATE**0.5, 0.2 * rows / len(sizes))
+    few = [k for k, n in sizes.items() if n < trained + tested]
+    places = lambda m: F.coalesce(*[F.when(F.col("lang") == k, F.lit(int(1_000_000 * m / n) + 1)) for k, n in sizes.items()])
+    spot, scarce = F.pmod("draw", F.lit(1_000_000)), F.col("lang").isin(few)
+    part = F.when(scarce, F.pmod(F.shiftright("draw", 32), F.lit(FOLDS))).when(spot < places(tested), -1).when(spot < places(tested) + places(trained), -2)
+    # part: a fold of a scarce language, -1 for rows that calibrate, -2 for rows that give n-grams.
+    sample = known.withColumn("part", part.cast("long")).filter("part is not null").select("text", "lang", "part")
     bound_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[str, str], int] = defaultdict(int)
+        found: dict[tuple[str, str, int], int] = defaultdict(int)
         for b in batches:
-            for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for t, lang, fold in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 codes = _codes(t)
                 if len(codes) < ORDER:
                     continue
                 _, first, n = np.unique(_hashes(codes, ORDER), return_index=True, return_counts=True)
                 whole = codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
                 for i, k in zip(first.tolist(), n.tolist(), strict=True):
-                    found[lang, whole[i : i + ORDER]] += k
+                    found[lang, whole[i : i + ORDER], fold] += k
         keys = list(found)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "gram", "n"])
-
-    def read(part: DataFrame) -> dict[str, dict[str, int]]:
-        out: dict[str, dict[str, int]] = defaultdict(dict)
-        for r in part.select("text", "lang").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect():
-            out[r.lang][r.gram] = r.n
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64()), pa.array(list(found.values()), pa.int64())], ["lang", "gram", "part", "n"])
+
+    counted = sample.filter("part <> -1").mapInArrow(count, "lang string, gram string, part long, n long").groupBy("lang", "gram", "part").agg(F.sum("n").alias("n")).collect()
+
+    def model_without(fold: int | None) -> Model | None:
+        got: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
+        for r in counted:
+            if r.part != fold:
+                got[r.lang][r.gram] += r.n
+        return kneser_ney(got) if got else None
+
+    def bits_under(model: Model, fold: int) -> dict[str, list[float]]:
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for b in slices(whole, "text", 1_000_000):
+                    bits, n = model.entropies(b.column(0).to_pylist())
+                    own = [float(bits[i, model.langs.index(x)]) if x in model.langs and n[i] else None for i, x in enumerate(b.column(1).to_pylist())]
+                    yield pa.RecordBatch.from_arrays([b.column(1), pa.array(own, pa.float64())], ["lang", "bits"])
+
+        out: dict[str, list[float]] = defaultdict(list)
+        for r in sample.filter(F.col("part") == fold).select("text", "lang").mapInArrow(measure, "lang string, bits double").dropna().collect():
+            out[r.lang].append(r.bits)
         return out
 
-    got = read(sample.filter("not test")) or read(sample)
-    if not got:
+    model = model_without(None)
+    if not model:
         return None
-    model = kneser_ney(got)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, "text", 1_000_000):
-                bits, n = model.entropies(b.column(0).to_pylist())
-                own = [float(bits[i, model.langs.index(x)]) if x in model.langs and n[i] else None for i, x in enumerate(b.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(own, pa.float64())], ["lang", "bits"])
-
-    bits = sample.filter("test").select("text", "lang").mapInArrow(measure, "lang string, bits double").dropna().toPandas()
+    found = bits_under(model, -1)
+    for fold in sorted({r.part for r in counted if r.part >= 0}):
+        if less := model_without(fold):
+            for lang, bits in bits_under(less, fold).items():
+                found[lang] += bits
+    pooled = np.concatenate([np.zeros(0), *found.values()])
+    # No row could be calibrated: letters at random have this cross-entropy.
+    common = float(np.quantile(pooled, keep)) if len(pooled) else float(np.log2(len(model.grams[0][0]) + 1))
     for k, lang in enumerate(model.langs):
-        own = bits.bits[bits.lang == lang].to_numpy()
-        if len(own) >= 20:
-            model.limits[k] = float(np.quantile(own, keep)) + slack
+        own = float(np.quantile(found[lang], keep)) if found[lang] else common
+        model.limits[k] = (own if len(found[lang]) >= 20 else max(own, common)) + slack
     return model
 
 

@@ -61,6 +61,30 @@ def test_rejects_other_languages(spark):
     assert language.keep_identified(odd, m).count() == 0
 
 
+def invented(letters, n, seed, words=120):
+    rng = np.random.default_rng(seed)
+    stems = ["".join(rng.choice(list(letters), rng.integers(3, 9))) for _ in range(60)]
+    return [" ".join(rng.choice(stems, words)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("n", [1, 8, 30, 90])
+def test_rare_languages_reject(spark, n):
+    rare = invented("klmnopqr", n + 10, 1)
+    rows = [(k, t, "common") for k, t in enumerate(invented("abcdefghij", 900, 2))] + [(5000 + k, t, "rare") for k, t in enumerate(rare[:n])]
+    m = language.fit_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert m.langs == ["common", "rare"] and np.isfinite(m.limits).all()
+    odd = invented("klmnopqrstuvwxyz", 5, 3) + ["zqxj wvkp qqzx jjvw xkcd zzpq " * 30]
+    assert language._predict(m, odd)[3].all()
+    if n >= 8:
+        assert not language._predict(m, rare[n:])[3].any()
+
+
+def test_many_languages_have_limits(spark):
+    names = [chr(97 + k) + chr(98 + k) + chr(99 + k) for k in range(22)]
+    rows = [(1000 * i + k, t, x) for i, x in enumerate(names) for k, t in enumerate(invented(x, 160, i, 20))]
+    assert np.isfinite(language.fit_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).limits).all()
+
+
 @pytest.mark.parametrize("n", [None, 0])
 def test_awkward_languages(spark, n):
     docs = awkward(spark) if n is None else awkward(spark).limit(n)
