@@ -64,6 +64,17 @@ RULES: tuple[Rule, ...] = (
     Rule("CC-BY-4.0", ("ccby",)),
 )
 
+#: Sentences that are also known where they run over several lines or hold ``;``.
+WRAPPED = (("gpl3_free", r"this program is free software[:;] you can redistribute it and/or modify it under the terms of the gnu general public licen[sc]e.* version 3.*"), *(x for x in SENTENCES if x[0] not in ("copyright", "rights")))
+WRAPPED_RULES = (*RULES, Rule("GPL-3.0-or-later", ("gpl3_free", "gpl_warranty")))
+
+#: Comment and list marks at the start of a line.
+MARKS = r"[\s#/*%>;:-]*"
+#: Starts of sentences that begin a new piece on a new line even if the line before isn't closed.
+OPENINGS = r"(?i:(?:licensed|released|available) under|you may not use this|you may obtain|unless required by|permission is hereby|the above copyright notice and|the software is provided|this program is|redistributions? (?:of|in|and)|neither the name|this software is provided|copyright (?:\(c\)|©|\d)|\(c\)|©|all rights reserved)"
+#: Pieces end at blank lines, at sentence ends, at a colon that ends a line, and before openings.
+HARD = rf"[ \t]*(?:\r?\n|\r)[ \t#/*%>;:-]*[\r\n]\s*|(?<=[.!?])\s+|(?<=:)[ \t]*[\r\n]+|[\r\n]+(?={MARKS}{OPENINGS})"
+
 #: A sentence without one of these is no licence sentence, so most texts are passed over after one search.
 HINT = r"(?i)licen[sc]e|copyright|\(c\)|©|warrant|redistribut|permission|free software|as is|reserved|endorse|released under|distributed under|available under"
 
@@ -75,9 +86,29 @@ def sentences(text: Column) -> Column:
     punctuation and case go, runs of white space are one space.
     """
     cut = F.split(text, r"[\r\n]+|(?<=[.!?;])\s+")
-    hinted = F.filter(cut, lambda s: s.rlike(HINT))
-    clean = F.transform(hinted, lambda s: F.lower(F.regexp_replace(F.regexp_replace(s, r"\s+", " "), r"^[\s#/*%>;:-]+|[\s.!?;:*/-]+$", "")))
-    return F.filter(clean, lambda s: s != "")
+    return F.filter(F.transform(F.filter(cut, lambda s: s.rlike(HINT)), _clean), lambda s: s != "")
+
+
+def _clean(s: Column) -> Column:
+    return F.lower(F.regexp_replace(F.regexp_replace(s, r"\s+", " "), r"^[\s#/*%>;:-]+|[\s.!?;:*/-]+$", ""))
+
+
+def sentence_ids(text: Column) -> Column:
+    """The identifiers of a text's hinted sentences, of sentences that run over lines too.
+
+    A piece whose lines joined, without comment marks, are a known sentence is that; if not, each part up to a ``;`` is tried
+    so, and what is left is read line by line.
+    """
+
+    def known(piece: Column, other) -> Column:
+        name = F.array(identify(_clean(F.regexp_replace(piece, rf"\s*[\r\n]{MARKS}", " ")), WRAPPED))
+        return F.flatten(F.transform(name, lambda x: F.when(x != "unknown", F.array(x)).otherwise(other(piece))))
+
+    lines = lambda p: F.transform(sentences(p), lambda s: identify(s))
+    parts = lambda p: F.flatten(F.transform(F.split(p, r"(?<=;)\s+"), lambda q: known(q, lines)))
+    linked = F.regexp_replace(text, rf"(?i)(copy of the licen[sc]e at){MARKS}(https?://)", "$1 $2")
+    pieces = F.filter(F.split(linked, HARD), lambda p: p.rlike(HINT) | p.rlike(r"(?i)redistribution|applicable\s"))
+    return F.flatten(F.transform(pieces, lambda p: known(p, parts)))
 
 
 def identify(sentence: Column, known: tuple[tuple[str, str], ...] = SENTENCES) -> Column:
@@ -110,7 +141,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     text = F.col(text_col)
     none = F.array().cast("array<string>")
-    ids = F.when(text.rlike(HINT), F.transform(sentences(text), lambda s: identify(s))).otherwise(none)
+    ids = F.when(text.rlike(HINT), sentence_ids(text)).otherwise(none)
     out = docs.select(F.col(id_col).alias("doc_id"), ids.alias("sentence_ids"))
     some = F.size("sentence_ids") > 0
-    return out.select("doc_id", "sentence_ids", F.when(some, match_rules(F.col("sentence_ids"))).otherwise(none).alias("licenses"), F.size(F.filter("sentence_ids", lambda x: x == "unknown")).cast("long").alias("n_unknown"))
+    return out.select("doc_id", "sentence_ids", F.when(some, match_rules(F.col("sentence_ids"), WRAPPED_RULES)).otherwise(none).alias("licenses"), F.size(F.filter("sentence_ids", lambda x: x == "unknown")).cast("long").alias("n_unknown"))

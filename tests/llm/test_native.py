@@ -14,6 +14,59 @@ def test_license_rules_in_order(spark):
     assert got[5].sentence_ids == ["bsd_intro", "bsd_source", "bsd_binary", "bsd_asis"] and got[6].n_unknown == 1
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+GPL = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// "])
+@pytest.mark.parametrize("head", ["", "Copyright (c) 2020 A. Person\n\n", "The licence of this file\n"])
+def test_wrapped_licenses(spark, mark, head):
+    texts = {"MIT": MIT, "BSD-3-Clause": BSD, "GPL-2.0-or-later": GPL, "GPL-3.0-or-later": GPL.replace("version 2", "version 3"), "Apache-2.0": APACHE}
+    rows = [(k, "\n".join(mark + x for x in (head + t).split("\n")) + "\n") for k, t in texts.items()]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert {k: r.licenses for k, r in got.items()} == {k: [k] for k in texts}
+    assert got["Apache-2.0"].sentence_ids[-4:] == ["apache2", "apache2_grant", "apache2_copy", "apache2_asis"]
+
+
 def test_awkward_licenses(spark):
     docs = awkward(spark)
     got = licenses.scan_licenses(docs).collect()
