@@ -364,11 +364,11 @@ def _prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.nda
     """
     if not len(hashes):
         return np.zeros(1, np.uint64)
-    late = np.isin(hashes, common)
+    late = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes if len(common) else np.zeros(len(hashes), bool)
     return np.concatenate([hashes[~late], hashes[late]])[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
 
 
-def _common_shingles(texts: DataFrame, n: int, words: int, seed: int, docs: int = 20_000, most: int = 20_000) -> np.ndarray:
+def _common_shingles(texts: DataFrame, n: int, words: int, seed: int, docs: int = 4_000, most: int = 20_000) -> np.ndarray:
     """Shingles of many texts of a sample, sorted; they stand last in the order of shingles, which changes costs, not links."""
     spot = F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1_000_000))
 
@@ -456,7 +456,7 @@ def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     exact = cut(d.select("doc_id", _digest(F.col("text")).alias("digest")).groupBy("doc_id").agg(F.min("digest").alias("digest")))
     reps = exact.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     texts = d.join(reps.select(F.col("rep").alias("doc_id"), "digest"), "doc_id").filter(_digest(F.col("text")) == F.col("digest")).dropDuplicates(["doc_id"])
-    of = _similar_texts(texts.select(F.col("doc_id").alias("rep"), "text"), words, wide, similarity, seed).select(F.col("node").alias("rep"), "component")
+    of = _similar_texts(cut(texts.select(F.col("doc_id").alias("rep"), "text")), words, wide, similarity, seed).select(F.col("node").alias("rep"), "component")
     named = reps.join(of, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return exact.join(named, "digest").select("doc_id", "component_id")
 
@@ -467,11 +467,10 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows take part by their texts, so ids may repeat or be null; a null id stays only where its group has no other.
     """
     d = docs.withColumn("digest__", _digest(F.col(text_col)))
-    digests = cut(d.groupBy("digest__").agg(F.min(id_col).alias("id__")).withColumn("rep", F.monotonically_increasing_id()))
-    texts = d.select("digest__", F.col(text_col).alias("text")).join(digests.select("digest__", "rep"), "digest__").dropDuplicates(["rep"]).select("rep", "text")
-    of = _similar_texts(texts, words, wide, similarity, seed).select(F.col("node").alias("rep"), "component")
+    digests = cut(d.groupBy("digest__").agg(F.min(id_col).alias("id__"), F.first(text_col).alias("text")).withColumn("rep", F.monotonically_increasing_id()))
+    of = _similar_texts(digests.select("rep", "text"), words, wide, similarity, seed).select(F.col("node").alias("rep"), "component")
     order = F.struct(F.col("id__").isNull().alias("none__"), "id__", "digest__")
-    named = digests.join(of, "rep", "left").groupBy(F.coalesce("component", "rep").alias("component")).agg(F.min(order).alias("x"))
+    named = digests.drop("text").join(of, "rep", "left").groupBy(F.coalesce("component", "rep").alias("component")).agg(F.min(order).alias("x"))
     kept = cut(named.select("x.digest__", "x.id__"))
     out = d.join(kept, "digest__").filter(F.col(id_col).eqNullSafe(F.col("id__")))
     if not d.groupBy("digest__", id_col).count().filter("count > 1").isEmpty():
