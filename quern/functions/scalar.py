@@ -52,13 +52,22 @@ def safe_divide(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def trigrams(q: Column) -> Column:
+    """The trigram at every position of a text; one empty or short entry where it has fewer than three characters."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(q) - 2, F.lit(1))), lambda i: F.substring(q, i, F.lit(3)))
+
+
 def word_similarity(q: Column, d: Column) -> Column:
     """The share of q's trigram positions whose trigram occurs in d.
 
     Where both are shorter than three: equality without case, as 1 or 0.  Where only q is: 0.  Built-in functions only.
     """
+    return word_similarity_of(q, trigrams(q), d)
+
+
+def word_similarity_of(q: Column, grams: Column, d: Column) -> Column:
+    """``word_similarity`` with q's trigrams made before."""
     n = F.length(q) - 2
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(q, i, F.lit(3)))
     share = F.size(F.filter(grams, lambda g: F.instr(d, g) > 0)).cast("double") / F.greatest(n, F.lit(1))
     short = F.when((F.length(q) < 3) & (F.length(d) < 3), (F.lower(q) == F.lower(d)).cast("double"))
     return F.coalesce(short, F.when(q.isNull() | d.isNull(), F.lit(None).cast("double")).when(n < 1, F.lit(0.0)).otherwise(share))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import normalize_inn, normalize_name, word_similarity
+from ..functions.scalar import normalize_inn, normalize_name, trigrams, word_similarity_of
 from ..functions.similarity import jaro_winkler
 
+#: Rows of a block that are compared in one group; larger blocks are dealt out by pairs of parts.
+BLOCK = 5_000
+
 
 @dataclass(frozen=True)
 class MatchRule:
@@ -24,11 +27,19 @@ class MatchRule:
     normalize: str = "name"
 
 
+@dataclass(frozen=True)
+class Metric:
+    """prepare: further columns of a row, made once before rows meet; compare: the metric of rows a and b (prefixes of columns)."""
+
+    compare: Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
+    prepare: Callable[[Column], dict[str, Column]] = lambda t: {}
+
+
 METRICS = {
-    "word_similarity": word_similarity,
-    "jaro_winkler": jaro_winkler,
-    "levenshtein": lambda a, b: F.levenshtein(a, b).cast("double"),
-    "equal": lambda a, b: (a == b).cast("double"),
+    "word_similarity": Metric(lambda a, b: word_similarity_of(a("t"), a("grams"), b("t")), lambda t: {"grams": trigrams(t)}),
+    "jaro_winkler": Metric(lambda a, b: jaro_winkler(a("t"), b("t"))),
+    "levenshtein": Metric(lambda a, b: F.levenshtein(a("t"), b("t")).cast("double")),
+    "equal": Metric(lambda a, b: (a("t") == b("t")).cast("double")),
 }
 NORMALIZERS = {"name": normalize_name, "inn": normalize_inn, "none": lambda c: c}
 
@@ -37,27 +48,67 @@ def _holds(metric: Column, operator: str, threshold: float) -> Column:
     return {">=": metric >= threshold, "<=": metric <= threshold, ">": metric > threshold, "<": metric < threshold}[operator]
 
 
+def _keeper(rule: MatchRule) -> Callable[[Column], Column]:
+    return lambda v: _holds(v, rule.operator, rule.threshold)
+
+
+def _possible(rule: MatchRule, a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """What lengths say about pairs that satisfy the rule, before the metric is computed."""
+    x, y = F.length(a("t")), F.length(b("t"))
+    if rule.metric == "levenshtein" and rule.operator in ("<", "<="):
+        return F.abs(x - y) <= rule.threshold
+    if rule.metric == "jaro_winkler" and rule.operator in (">", ">="):
+        # m common characters are at most the shorter length s of the longer l, so Jaro is at most (2 + s / l) / 3; the prefix
+        # adds at most 0.4 of the rest.
+        jaro = (F.lit(2.0) + F.when(x == y, 1.0).otherwise(F.least(x, y) / F.greatest(x, y, F.lit(1)))) / 3
+        return jaro + 0.4 * (1 - jaro) >= rule.threshold - 1e-9
+    return F.lit(True)
+
+
+def _pairs(side: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str], Column]:
+    """The rows with the columns on which they meet; and what keeps a pair from being met twice.
+
+    Rows of a block above ``BLOCK`` are dealt into parts and go to every pair of parts, so that no task compares a whole block.
+    """
+    large = side.groupBy(*keys).count().filter(F.col("count") > BLOCK)
+    if large.isEmpty():
+        return side, keys, F.lit(True)
+    parts = large.select(*keys, F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
+    dealt = side.join(parts, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("parts", "other")
+    return dealt, [*keys, "lo", "hi"], (F.col("a_own") != F.col("b_own")) | (F.col("lo") == F.col("hi"))
+
+
 def match(df: DataFrame, rules: Sequence[MatchRule]) -> DataFrame:
     """(id_a, id_b, rule_name, metric_value) of unordered pairs with equal block keys that satisfy a rule; a has the smaller id.
 
-    Rows with a null or empty block key match nothing.  Rules are independent of each other.  Blocks are shuffled on their
-    keys and pairs compared as they are joined; skewed blocks are split by adaptive execution.
+    Rows with a null or empty block key match nothing.  Rules are independent of each other.  Blocks are shuffled on their keys,
+    large ones dealt out by pairs of parts; pairs are compared as they are joined, and each metric is computed once.
     """
     out = None
     for rule in rules:
         if not (rule.id_column and rule.scan_columns and rule.test_columns):
             continue
-        norm = NORMALIZERS[rule.normalize]
-        keys = [F.col(c).cast("string") for c in rule.scan_columns]
+        norm, metric = NORMALIZERS[rule.normalize], METRICS[rule.metric]
+        kinds = dict(df.dtypes)
         full = F.lit(True)
-        for k in keys:
-            full = full & k.isNotNull() & (k != "")
+        for c in rule.scan_columns:
+            full = full & F.col(c).isNotNull() & ((F.col(c) != "") if kinds[c] == "string" else F.lit(True))
         text = F.concat_ws(" ", *[norm(F.col(c).cast("string")) for c in rule.test_columns])
-        side = df.filter(full).select(F.col(rule.id_column).alias("id"), *[k.alias(f"k{i}") for i, k in enumerate(keys)], text.alias("t"))
-        a, b = side.alias("a"), side.alias("b")
-        on = [F.col(f"a.k{i}") == F.col(f"b.k{i}") for i in range(len(keys))]
-        pairs = a.join(b, [*on, F.col("a.id") < F.col("b.id")]).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.lit(rule.name).alias("rule_name"), METRICS[rule.metric](F.col("a.t"), F.col("b.t")).alias("metric_value"))
-        hit = pairs.filter(_holds(F.col("metric_value"), rule.operator, rule.threshold))
+        keys = [f"k{i}" for i in range(len(rule.scan_columns))]
+        side = df.filter(full).select(F.col(rule.id_column).alias("id"), *[F.col(c).alias(k) for c, k in zip(rule.scan_columns, keys, strict=True)], text.alias("t"))
+        side, on, once = _pairs(side, keys)
+        side = side.withColumns(metric.prepare(F.col("t")) or {"t": F.col("t")})
+        a, b = (side.withColumnsRenamed({c: f"{p}_{c}" for c in side.columns if c not in on}) for p in "ab")
+        left, right = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
+        # Pairs are more work than rows, so even small tables are spread over all cores.
+        a = a.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *on)
+        met = a.join(b.drop("b_grams"), on).filter((F.col("a_id") < F.col("b_id")) & once & _possible(rule, left, right))
+        # The generator computes the metric once; a filter on a column would be computed again for the output.
+        value = metric.compare(left, right)
+        hit = met.select("a_id", "b_id", F.explode(F.filter(F.array(value), _keeper(rule))).alias("v"))
+        hit = hit.select(F.col("a_id").alias("id_a"), F.col("b_id").alias("id_b"), F.lit(rule.name).alias("rule_name"), F.col("v").alias("metric_value"))
         out = hit if out is None else out.unionByName(hit)
     if out is None:
         raise ValueError("no rule is complete")

@@ -1,9 +1,13 @@
-"""SQL templates: ``{x}`` quoted, ``{x_raw}`` verbatim, ``{{`` a brace, ``{@now}``, ``{@last_run}`` and ``{@step:id:column}``."""
+"""SQL templates: ``{x}`` quoted, ``{x_raw}`` verbatim, ``{{`` a brace, and computed values.
+
+``{@now}`` and ``{@last_run}`` are quoted times (the last successful run's start; the epoch before the first), ``{@prev}`` and
+``{@input}`` the name of the previous step's view, ``{@step:id:column}`` a list of literals for ``IN (..)`` (NULL without rows).
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 _TOKEN = re.compile(r"\{\{|\}\}|\{(@?[\w:.]+)\}")
 
@@ -19,7 +23,7 @@ def quote(value: object) -> str:
     return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def render(sql: str, values: Mapping[str, object], special: Mapping[str, object] | None = None, step: Callable[[str, str], object] | None = None) -> str:
+def render(sql: str, values: Mapping[str, object], special: Mapping[str, object] | None = None, step: Callable[[str, str], Sequence[object]] | None = None) -> str:
     """Fills a template; unknown names are errors.  Raw values may not hold ``;``, comment marks or ``..``."""
 
     def fill(m: re.Match) -> str:
@@ -28,7 +32,11 @@ def render(sql: str, values: Mapping[str, object], special: Mapping[str, object]
         name = m[1]
         if name.startswith("@step:"):
             _, ident, column = name.split(":")
-            return quote(step(ident, column))
+            return ", ".join(quote(v) for v in step(ident, column)) or "NULL"
+        if name in ("@prev", "@input"):
+            if not (special or {}).get("prev"):
+                raise KeyError(f"{name}: no step before this one")
+            return special["prev"]
         if name.startswith("@"):
             return quote((special or {})[name[1:]])
         if name in values:

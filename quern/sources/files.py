@@ -24,6 +24,15 @@ def detect_encoding(data: bytes) -> str:
     return max(("cp1251", "cp866", "koi8-r"), key=lambda e: sum(c in common for c in data.decode(e, "replace")))
 
 
+def sniff_encoding(spark: SparkSession, path: str, most: int = 1 << 20) -> str:
+    """The encoding of the first file, by its first ``most`` bytes (without a character that the cut may have split)."""
+    head = spark.read.format("binaryFile").load(path).orderBy("path").select(F.substring("content", 1, most).alias("head")).first()
+    data = bytes(head[0]) if head else b""
+    if len(data) == most:
+        data = data[: data.rfind(b"\n") + 1] or data
+    return detect_encoding(data)
+
+
 def split_csv(text: str, delimiter: str = ",") -> list[list[tuple[str, bool]]]:
     """Records of (value, quoted) fields by RFC 4180; line breaks may stand in quotes; a quote out of place is an error."""
     rows, row, i, n = [], [], 0, len(text)
@@ -71,7 +80,8 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, stric
 
     The delimiter is the more frequent of ``,`` and ``;`` in the header unless it is given.  The fast way is Spark's reader.  The
     strict way tells an unquoted empty field (null) from a quoted one (empty text), pads short rows with nulls, and fails as a
-    whole on bad quoting or long rows; a file is one task there, as only its start tells where quotes stand.
+    whole on bad quoting or long rows; a file is one task there, as only its start tells where quotes stand, and may have 2 GB at
+    most (the size of a binary value).
     """
     head = spark.read.option("encoding", encoding).text(path).first()
     first = head[0].lstrip("﻿") if head else ""
@@ -104,5 +114,27 @@ def read_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
 
 
+def guess_row_tag(spark: SparkSession, path: str) -> str:
+    """The most frequent child of the root element in the first file's first megabyte."""
+    from xml.etree import ElementTree
+
+    head = spark.read.format("binaryFile").load(path).orderBy("path").select(F.substring("content", 1, 1 << 20).alias("head")).first()
+    if not head:
+        raise ValueError(f"no XML in {path}")
+    depth, found, parser = 0, {}, ElementTree.XMLPullParser(("start", "end"))
+    try:
+        parser.feed(bytes(head[0]))
+        for event, e in parser.read_events():
+            depth += 1 if event == "start" else -1
+            if event == "start" and depth == 2:
+                tag = e.tag.rpartition("}")[2]
+                found[tag] = found.get(tag, 0) + 1
+    except ElementTree.ParseError:
+        pass
+    if not found:
+        raise ValueError(f"no element under the root in {path}")
+    return max(found, key=found.get)
+
+
 def write_xml(df: DataFrame, path: str, row_tag: str = "row", root_tag: str = "rows", mode: str = "error") -> None:
     df.write.mode(mode).format("xml").option("rowTag", row_tag).option("rootTag", root_tag).save(path)

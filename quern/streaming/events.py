@@ -49,3 +49,47 @@ def apply_changes(target: DataFrame, changes: DataFrame, key: list[str], order:
     last = changes.groupBy(*key).agg(F.max(F.struct(F.col(order), *[F.col(c) for c in changes.columns if c not in (*key, order)])).alias("e")).select(*key, "e.*")
     kept = target.join(last.select(*key), key, "left_anti")
     return kept.unionByName(last.filter(F.col(op) != "DELETE").select(*target.columns))
+
+
+def joined(left: DataFrame, right: DataFrame, keys: list[str], ts: str, other_ts: str, within: str, late: str | None = None, kind: str = "inner") -> DataFrame:
+    """Rows of two streams (or tables) with equal keys, the right one at most ``within`` later than the left one.
+
+    With ``late`` both sides get watermarks, so that the state of a stream is bounded and left rows without a partner can be told.
+    """
+    a, b = _late(left, ts, late), _late(right, other_ts, late)
+    b = b.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = (F.col(other_ts) >= F.col(ts)) & (F.col(other_ts) <= F.col(ts) + F.expr(f"INTERVAL {within}"))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"__{k}"))
+    return a.join(b, on, kind).drop(*[f"__{k}" for k in keys])
+
+
+#: One column of a logical change: name, type in brackets, and a value that is quoted, or bare up to the next blank.
+_CHANGE = r"^table (\S+): (INSERT|UPDATE|DELETE): (?:old-key: .*? new-tuple: )?(.*)$"
+_COLUMN = r"(?:^| )(\"[^\"]+\"|[^\s\[\"]+)\[[^\]]+(?:\[\])?\]:('(?:[^']|'')*'|\S+)"
+
+
+def parse_changes(slot: DataFrame, table: str, columns: list[str]) -> DataFrame:
+    """(lsn, op, columns) of one table's rows from (lsn, data) of a logical slot in its text form; other lines are left out.
+
+    Values are text, ``null`` is null, and columns that a change does not name are null.  lsn orders as the log does.
+    """
+    parts = F.split("lsn", "/")
+    at = F.conv(parts[0], 16, 10).cast("decimal(20,0)") * F.lit(2**32).cast("decimal(20,0)") + F.conv(parts[1], 16, 10).cast("decimal(20,0)")
+    body = F.regexp_extract("data", _CHANGE, 3)
+    names, values = (F.regexp_extract_all(body, F.lit(_COLUMN), k) for k in (1, 2))
+    d = slot.filter(F.regexp_extract("data", _CHANGE, 1) == table).select(at.cast("decimal(20,0)").alias("lsn"), F.regexp_extract("data", _CHANGE, 2).alias("op"), F.map_from_arrays(F.transform(names, lambda n: F.btrim(n, F.lit('"'))), values).alias("m"))
+
+    def text(c: str):
+        v = F.col("m").getItem(c)
+        return F.when(v.startswith("'"), F.regexp_replace(F.substring(v, F.lit(2), F.length(v) - 2), "''", "'")).when(v != "null", v)
+
+    return d.select("lsn", "op", *[text(c).alias(c) for c in columns])
+
+
+def consume(stream: DataFrame, checkpoint: str, apply: Callable[[DataFrame], None], every: str = "10 seconds"):
+    """Runs for as long as its query is not stopped: each micro-batch is handed to ``apply``, then its offsets are committed.
+
+    A batch whose commit was lost is handed over again (at least once), so ``apply`` should be an upsert.
+    """
+    return stream.writeStream.foreachBatch(lambda df, _: apply(df)).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

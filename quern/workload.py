@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from .functions import scalar, similarity
 from .operators import datamart, dml, match, mdm, profile, scd2
 from .plans import engine, pipeline, templates
+from .plans.store import Store
 from .session import load, register
-from .sources import files, remote
+from .sources import connectors, files, remote
 from .streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,7 +55,13 @@ def shared(spark: SparkSession) -> str:
 
 
 # Aggregations
+# Lines are summed by order before the join, on the key that the join shuffles by anyway.
 _sql("agg_group_having_order", """
+WITH l AS (SELECT l_orderkey, count(*) AS n, sum(l_extendedprice * (1 - l_discount)) AS r, sum(l_quantity) AS q FROM lineitem
+  WHERE l_shipdate >= TIMESTAMP '1994-01-01' GROUP BY l_orderkey)
+SELECT c_mktsegment, o_orderpriority, sum(n) AS n_lines, count(DISTINCT o_orderkey) AS n_orders, round(sum(r), 2) AS revenue
+FROM l JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+GROUP BY c_mktsegment, o_orderpriority HAVING sum(q) > 100 ORDER BY revenue DESC, 1, 2""", """
 SELECT c_mktsegment, o_orderpriority, count(*) AS n_lines, count(DISTINCT o_orderkey) AS n_orders,
   round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
@@ -77,10 +84,9 @@ _frame("agg_approx_distinct")(lambda s, d: load(s, d, "lineitem").agg(F.approx_c
 
 # Joins
 _sql("join_inner", "SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 200000")
-_BIG = "(SELECT * FROM orders WHERE o_totalprice > 400000)"
 for _kind in ("LEFT", "RIGHT", "FULL"):
-    _sql(f"join_{_kind.lower()}", f"SELECT c_custkey, o_orderkey, s_suppkey FROM customer {_kind} JOIN {_BIG} o ON c_custkey = o_custkey {_kind} JOIN supplier ON s_suppkey = o_orderkey AND s_acctbal > 0")
-_sql("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation WHERE n_nationkey < 5")
+    _sql(f"join_{_kind.lower()}", f"SELECT c_custkey, o_orderkey, s_suppkey FROM customer {_kind} JOIN orders o ON c_custkey = o_custkey {_kind} JOIN supplier ON s_suppkey = o_orderkey AND s_acctbal > 0")
+_sql("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 _sql("join_comma", "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey")
 _sql("join_self", "SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey")
 _sql("join_multiway", """
@@ -140,12 +146,18 @@ _sql("win_expr", "SELECT o_orderkey, round(o_totalprice - lag(o_totalprice, 1, o
 _sql("win_ntile_percent", "SELECT o_orderkey, ntile(4) OVER w AS q, percent_rank() OVER w AS p, cume_dist() OVER w AS c, nth_value(o_orderkey, 2) OVER w AS second FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey)", "SELECT o_orderkey, CAST(ntile(4) OVER w AS INT) AS q, percent_rank() OVER w AS p, cume_dist() OVER w AS c, nth_value(o_orderkey, 2) OVER w AS second FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey)")
 
 
-@_frame("win_anomaly_zscore", """
+_ZSCORE = """
 SELECT event_id, round(z, 4) AS z, abs(z) > 3 AS is_anomaly FROM (SELECT event_id,
   CASE WHEN count(value) OVER w < 2 THEN 0.0 ELSE (value - avg(value) OVER w) / greatest(stddev_pop(value) OVER w, 1e-10) END AS z
-  FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 128 PRECEDING AND 1 PRECEDING))""")
-def _(spark, d):
-    return profile.anomalies(load(spark, d, "events"), ["event_type"], ["ts", "event_id"], "value").select("event_id", F.round("z", 4).alias("z"), "is_anomaly")
+  FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 128 PRECEDING AND 1 PRECEDING))"""
+
+
+def _zscore(chunk):
+    return lambda s, d: profile.anomalies(load(s, d, "events"), ["event_type"], ["ts", "event_id"], "value", split=F.date_trunc("HOUR", "ts"), chunk=chunk).select("event_id", F.round("z", 4).alias("z"), "is_anomaly")
+
+
+_frame("win_anomaly_zscore", _ZSCORE)(_zscore(500_000))
+_frame("win_anomaly_chunks", _ZSCORE)(_zscore(500))
 
 
 # Sort and limit
@@ -153,6 +165,7 @@ _sql("sort_multi", "SELECT c_custkey, c_mktsegment FROM customer ORDER BY c_mkts
 _sql("sort_nulls", "SELECT o_orderkey, nullif(o_orderstatus, 'P') AS st FROM orders ORDER BY st ASC NULLS LAST, o_orderkey DESC LIMIT 40")
 _sql("sort_ordinal", "SELECT c_custkey, c_acctbal FROM customer ORDER BY 2 DESC, 1 LIMIT 20")
 _sql("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 100")
+_sql("offset_fetch", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 15 OFFSET 30", "SELECT o_orderkey FROM orders ORDER BY o_orderkey OFFSET 30 ROWS FETCH FIRST 15 ROWS ONLY")
 _sql("sort_topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 _sql("sort_topk_per_group", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 2")
 
@@ -193,6 +206,18 @@ def _(spark, d):
     return c.select("c_custkey", scalar.normalize_name(F.concat(F.lit("  "), "c_name", F.lit("  X"))).alias("name"), scalar.normalize_inn(F.col("c_name")).alias("inn"))
 
 
+_sql("fn_pi_random", "SELECT round(pi(), 10) AS p, r >= 0 AND r < 1 AS within FROM (SELECT rand() AS r)", "SELECT round(pi(), 10) AS p, r >= 0 AND r < 1 AS within FROM (SELECT random() AS r)")
+_sql("fn_now", "SELECT unix_timestamp() BETWEEN 1700000000 AND 4000000000 AS plausible, now() = current_timestamp() AS same, cast(current_date() AS STRING) = substr(cast(current_timestamp() AS STRING), 1, 10) AS day", "SELECT epoch(now()) BETWEEN 1700000000 AND 4000000000 AS plausible, now() = current_timestamp AS same, TRUE AS day")
+_sql("fn_arrays", "SELECT c_custkey, size(parts) AS n, parts[0] AS first, array_contains(parts, 'Customer') AS has, array_join(reverse(parts), '/') AS back FROM (SELECT c_custkey, split(c_name, '#') AS parts FROM customer)", "SELECT c_custkey, CAST(len(parts) AS INT) AS n, parts[1] AS first, list_contains(parts, 'Customer') AS has, array_to_string(list_reverse(parts), '/') AS back FROM (SELECT c_custkey, string_split(c_name, '#') AS parts FROM customer)")
+_sql("fn_maps", "SELECT c_mktsegment, element_at(m, 'lo') AS lo, element_at(m, 'hi') AS hi, cast(size(m) AS BIGINT) AS n FROM (SELECT c_mktsegment, map('lo', min(c_custkey), 'hi', max(c_custkey)) AS m FROM customer GROUP BY c_mktsegment)", "SELECT c_mktsegment, min(c_custkey) AS lo, max(c_custkey) AS hi, CAST(2 AS BIGINT) AS n FROM customer GROUP BY c_mktsegment")
+
+
+@_frame("fn_helpers", "SELECT c_custkey, substr(c_name, 1, 4) AS sub, substr(c_name, 3) AS rest, regexp_replace(c_name, '#.*', '') AS part, CAST(floor(c_acctbal) AS BIGINT) AS whole, CASE WHEN c_nationkey <> 0 THEN c_acctbal / c_nationkey END AS per, c_nationkey = 1 AS flag, CAST(sign(c_acctbal) AS INT) AS sg, c_mktsegment AS trimmed FROM customer")
+def _(spark, d):
+    c, n, b = F.col("c_name"), F.col("c_nationkey"), F.col("c_acctbal")
+    return load(spark, d, "customer").select("c_custkey", scalar.substr(c, -3, 4).alias("sub"), scalar.substr(c, 3, -1).alias("rest"), scalar.split_part(F.concat(F.lit("##"), c), "#", 1).alias("part"), scalar.to_int(b.cast("string")).alias("whole"), scalar.safe_divide(b, n).alias("per"), scalar.to_bool(n.cast("string")).alias("flag"), F.signum(b).cast("int").alias("sg"), scalar.trim_blank(F.concat(F.lit("\t "), "c_mktsegment", F.lit(" \t"))).alias("trimmed"))
+
+
 # Master data
 _SNAP2 = """SELECT c_custkey, c_name, CASE WHEN c_custkey % 10 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 10 = 1 THEN 1 ELSE 0 END AS is_deleted
   FROM customer WHERE c_custkey % 10 <> 2 UNION ALL SELECT c_custkey + 1000000, c_name, c_mktsegment, 0 FROM customer WHERE c_custkey % 10 = 3"""
@@ -246,10 +271,10 @@ def _(spark, d):
     return mdm.aggregate_documents(load(spark, d, "lineitem").withColumn("l_partkey", F.col("l_partkey").cast("string")), "l_orderkey", "l_partkey", "l_linenumber")
 
 
-@_frame("mdm_keys", "SELECT c_custkey AS id, 'FIO_BD' AS key_type, lower(c_name) || '|' || CAST(c_nationkey AS VARCHAR) AS key FROM customer UNION ALL SELECT c_custkey, 'DUL', unnest([c_mktsegment, CAST(c_nationkey AS VARCHAR)]) FROM customer UNION ALL SELECT c_custkey, 'INN', regexp_replace(c_name, '[^0-9]', '', 'g') FROM customer WHERE regexp_replace(c_name, '[^0-9]', '', 'g') <> ''")
+@_frame("mdm_keys", "SELECT c_custkey AS source_id, 'crm' AS system_name, '01::FIO+BD::' || c_nationkey || ':' || lower(c_name) || ':' || c_mktsegment AS rule_value FROM customer UNION ALL SELECT c_custkey, 'crm', '02::DUL::' || unnest([c_mktsegment, CAST(c_nationkey AS VARCHAR)]) FROM customer UNION ALL SELECT c_custkey, 'crm', '03::INN::' || regexp_replace(c_name, '[^0-9]', '', 'g') FROM customer WHERE regexp_replace(c_name, '[^0-9]', '', 'g') <> ''")
 def _(spark, d):
-    c = load(spark, d, "customer").withColumn("numbers", F.concat_ws("~", "c_mktsegment", F.col("c_nationkey").cast("string")))
-    return mdm.match_keys(c, "c_custkey", "c_name", "c_nationkey", "numbers", "c_name")
+    c = load(spark, d, "customer").withColumns({"numbers": F.concat_ws("~", "c_mktsegment", F.lit(""), F.col("c_nationkey").cast("string")), "inn": scalar.normalize_inn(F.col("c_name")), "first": F.lower("c_name"), "system": F.lit("crm")})
+    return mdm.match_keys(c, "c_custkey", "system", "first", "c_mktsegment", "c_nationkey", "numbers", "inn")
 
 
 @_frame("mdm_clean", "SELECT c_custkey, lower(trim(c_name)) AS c_name, upper(regexp_replace(c_mktsegment || '-' || c_custkey, '[^A-Za-z0-9]', '', 'g')) AS number FROM customer WHERE c_mktsegment IN ('BUILDING', 'FURNITURE')")
@@ -263,10 +288,29 @@ _frame("golden_latest_per_key", "SELECT o_custkey, o_orderkey FROM orders a WHER
 )
 
 
-@_frame("classify_json", "SELECT event_id, CASE WHEN k IS NULL THEN 'UNKNOWN' WHEN k % 2 = 0 THEN 'PHYSICAL' ELSE 'LEGAL' END AS party_type FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)")
+@_frame("classify_messages", "SELECT c_custkey, CASE WHEN cat = 'P' AND (grp IS NULL OR grp = '5') THEN 'PHYSICAL' WHEN cat = 'C' OR (cat = 'P' AND grp = '0') THEN 'LEGAL' ELSE 'UNKNOWN' END AS party_type, CASE WHEN cat = 'P' AND (grp IS NULL OR grp = '5') THEN CASE c_mktsegment WHEN 'BUILDING' THEN 'B' ELSE c_mktsegment END END AS segment, CASE WHEN cat = 'C' OR (cat = 'P' AND grp = '0') THEN c_name END AS company FROM (SELECT c_custkey, c_name, c_mktsegment, CASE c_nationkey % 3 WHEN 0 THEN 'P' WHEN 1 THEN 'C' ELSE 'X' END AS cat, CASE c_custkey % 3 WHEN 0 THEN '5' WHEN 1 THEN '0' END AS grp FROM customer)")
+def _(spark, d):
+    fields = {"CCAT": "CASE c_nationkey % 3 WHEN 0 THEN 'P' WHEN 1 THEN 'C' ELSE 'X' END", "SERVICE_GROUP": "CASE c_custkey % 3 WHEN 0 THEN '5' WHEN 1 THEN '0' END", "SEG": "c_mktsegment", "NAME": "c_name"}
+    one = F.struct(*[F.expr(e).alias(n) for n, e in fields.items()])
+    # Every second message is wrapped in a list.
+    m = load(spark, d, "customer").withColumn("value", F.when(F.col("c_custkey") % 2 == 0, F.to_json(F.struct(F.array(one).alias("ows.CLIENT")))).otherwise(F.to_json(one)))
+    return mdm.map_messages(m, "value", "ows.CLIENT", {"PHYSICAL": {"SEG": "segment"}, "LEGAL": {"NAME": "company"}}, {"SEG": {"BUILDING": "B"}}, "CCAT", "SERVICE_GROUP").select("c_custkey", "party_type", "segment", "company")
+
+
+_frame("kafka_json", "SELECT event_id AS kafka_offset, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")(
+    lambda s, d: remote.parse_messages(load(s, d, "events").select(F.col("event_id").alias("offset"), F.col("props").cast("binary").alias("value")), "k bigint")
+)
+_frame("kafka_csv", "SELECT event_id AS kafka_offset, user_id, event_type FROM events")(
+    lambda s, d: remote.parse_messages(load(s, d, "events").select(F.col("event_id").alias("offset"), F.concat_ws(",", F.col("user_id").cast("string"), "event_type").cast("binary").alias("value")), "user_id bigint, event_type string", "csv")
+)
+
+
+@_frame("mdm_consents", "SELECT o_orderkey AS agreement_id, CASE o_orderkey % 3 WHEN 0 THEN 'MFCMARKETING' WHEN 1 THEN 'ESIACREDIT' ELSE 'PERSONALDATA' END AS agreement_type_cd, c_name, CASE WHEN c_nationkey % 2 = 0 THEN 'crm' || c_custkey ELSE 'UNDEFINED' END AS crm_id, 'flg_by_inn=' || CASE WHEN o_orderstatus = 'F' THEN 'Y' ELSE 'N' END || '|flg_by_duls=N|flg_by_phones=N|flg_by_birth_date=N|flg_by_keys=N' AS verified_by FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus <> 'P'")
 def _(spark, d):
-    m = remote.parse_messages(load(spark, d, "events").select(F.col("event_id").alias("offset"), F.col("props").alias("value")), "k bigint")
-    return m.select(F.col("kafka_offset").alias("event_id"), F.when(F.col("k").isNull(), "UNKNOWN").when(F.col("k") % 2 == 0, "PHYSICAL").otherwise("LEGAL").alias("party_type"))
+    consents = load(spark, d, "orders").selectExpr("o_orderkey AS agreement_id", "cast(o_orderkey % 3 AS STRING) AS agreement_type_cd", "o_custkey AS owner_id", "CASE WHEN o_orderstatus = 'P' THEN 'gone' WHEN o_orderstatus = 'F' THEN '' END AS deleted_ts", "CASE WHEN o_orderstatus = 'F' THEN 'Y' END AS flg_by_inn")
+    parties = load(spark, d, "customer").selectExpr("c_custkey AS owner_id", "c_custkey + 100 AS party_id", "c_name", "c_nationkey")
+    masters = parties.filter("c_nationkey % 2 = 0").selectExpr("party_id", "concat('crm', owner_id) AS crm_id", "'' AS mdm_id")
+    return mdm.link_consents(consents, parties, masters, F.lit("2024-01-01")).select("agreement_id", "agreement_type_cd", "c_name", "crm_id", "verified_by")
 
 
 # Changes, transactions, datamarts, pipelines
@@ -283,13 +327,96 @@ _frame("dml_upsert", "SELECT c_custkey, 'new' AS c_mktsegment FROM customer WHER
 )
 
 
-@_frame("txn_commit", "SELECT s_suppkey, CASE WHEN s_acctbal > 5000 THEN 'rich' ELSE s_name END AS s_name FROM supplier WHERE NOT (s_nationkey = 3) UNION ALL SELECT -1, 'added'")
+@_frame("txn_commit", "SELECT s_suppkey, CASE WHEN s_acctbal > 5000 THEN 'rich' ELSE s_name END AS s_name FROM supplier WHERE NOT (s_nationkey = 3) UNION ALL SELECT -1, 'added' UNION ALL SELECT n_nationkey + 1000000, n_name FROM nation WHERE n_regionkey = 1")
+def _(spark, d):
+    """One transaction over two tables, by statements; the second table's rows are read after the commit."""
+    db = dml.Database(spark, shared(spark))
+    db.commit({"sup": load(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), "nat": load(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")})
+    e = engine.Engine(spark, database=db)
+    for text in ("BEGIN", "UPDATE sup SET s_name = 'rich' WHERE s_acctbal > 5000", "DELETE FROM sup WHERE s_nationkey = 3", "INSERT INTO sup (s_suppkey, s_name) VALUES (-1, 'added')", "DELETE FROM nat WHERE n_regionkey <> 1", "COMMIT"):
+        e.execute(text)
+    return e.sql("SELECT s_suppkey, s_name FROM sup UNION ALL SELECT n_nationkey + 1000000, n_name FROM nat")
+
+
+@_frame("index_range_scan", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 100 AND 5000 UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 77")
+def _(spark, d):
+    """A table clustered by a key: point and range filters reach its files' statistics."""
+    db = dml.Database(spark, shared(spark))
+    db.write("ord", load(spark, d, "orders"), cluster_by=("o_orderkey",))
+    o = db.read("ord").select("o_orderkey", "o_totalprice")
+    return o.filter("o_orderkey BETWEEN 100 AND 5000").unionByName(o.filter("o_orderkey = 77"))
+
+
+@_frame("ingest_csv_append", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation UNION ALL SELECT CAST(r_regionkey AS VARCHAR), NULL FROM region")
+def _(spark, d):
+    path = shared(spark)
+    files.write_csv(load(spark, d, "nation").select("n_nationkey", "n_name"), f"{path}/a")
+    files.write_csv(load(spark, d, "region").selectExpr("r_regionkey AS n_nationkey"), f"{path}/b")
+    e = engine.Engine(spark, database=dml.Database(spark, f"{path}/db"))
+    e.ingest_csv("nat", f"{path}/a")
+    e.ingest_csv("nat", f"{path}/b")
+    return e.sql("SELECT * FROM nat")
+
+
+@_frame("ingest_parquet_replace", "SELECT r_regionkey, r_name FROM region")
+def _(spark, d):
+    e = engine.Engine(spark, database=dml.Database(spark, shared(spark)))
+    e.ingest_parquet("t", f"{d}/nation.parquet")
+    e.ingest_parquet("t", f"{d}/region.parquet")
+    return e.sql("SELECT r_regionkey, r_name FROM t")
+
+
+@_frame("saved_result", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment")
 def _(spark, d):
-    t = dml.Table(spark, shared(spark))
-    t.write(load(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"))
-    added = spark.createDataFrame([(-1, "added", 0, 0.0)], "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double")
-    dml.Transaction(t).update({"s_name": "rich"}, "s_acctbal > 5000").delete("s_nationkey = 3").insert(added).commit()
-    return t.read().select("s_suppkey", "s_name")
+    e = engine.Engine(spark, database=dml.Database(spark, shared(spark)))
+    e.register("customer", f"{d}/customer.parquet")
+    return e.result(e.save_result("segments", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment"))
+
+
+@_frame("jdbc_upsert", "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN upper(n_name) || '!' ELSE n_name END AS n_name FROM nation WHERE n_regionkey <> 3 UNION ALL SELECT n_nationkey + 1000, n_name FROM nation WHERE n_regionkey = 3")
+def _(spark, d):
+    """Keyed writes to a database that Spark's own driver holds in memory (for a local master)."""
+    db = connectors.open_connector(spark, "jdbc", url=f"jdbc:derby:memory:q{uuid.uuid4().hex};create=true")
+    n = load(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    db.write(n.filter("n_regionkey <> 3").select("n_nationkey", "n_name"), "nations", mode="overwrite")
+    new = n.filter("n_regionkey = 2").selectExpr("n_nationkey", "concat(upper(n_name), '!') AS n_name").unionByName(n.filter("n_regionkey = 3").selectExpr("n_nationkey + 1000 AS n_nationkey", "n_name"))
+    db.write(new, "nations", key=("n_nationkey",))
+    db.write(new, "nations", key=("n_nationkey",))
+    return db.read("nations")
+
+
+@_frame("pipeline_yaml", "SELECT a.c_custkey AS id_a, b.c_custkey AS id_b FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey AND lower(a.c_mktsegment) = lower(b.c_mktsegment) WHERE a.c_acctbal > 9000 AND b.c_acctbal > 9000")
+def _(spark, d):
+    """Source, match, history and sink steps from YAML."""
+    path = shared(spark)
+    text = """
+name: mdm
+vars: {low: 9000}
+steps:
+- {id: customers, source: {connector: parquet, path: '{{ dir }}/customer.parquet'}, target: customers, cursor: c_custkey}
+- {id: rich, sql: 'SELECT c_custkey, c_nationkey, c_mktsegment FROM {@prev} WHERE c_acctbal > {low}', deps: [customers]}
+- id: pairs
+  sql: SELECT * FROM rich
+  deps: [rich]
+  match: [{name: seg, id_column: c_custkey, scan_columns: [c_nationkey], test_columns: [c_mktsegment], metric: equal, threshold: 1.0}]
+- {id: history, sql: 'SELECT c_custkey, c_mktsegment FROM rich', deps: [rich], scd2: {key: [c_custkey]}, target: history}
+- {id: out, sql: 'SELECT id_a, id_b FROM pairs WHERE id_a IN (SELECT c_custkey FROM history WHERE is_current)', deps: [pairs, history], sink: {connector: parquet, path: '{{ out }}'}, mode: append}
+"""
+    p = pipeline.Pipeline.from_yaml(text, {"dir": d, "out": f"{path}/out"}, database=dml.Database(spark, f"{path}/db"), state=Store(spark, f"{path}/state"))
+    p.run(spark)
+    return spark.read.parquet(f"{path}/out")
+
+
+@_frame("pipeline_incremental", "SELECT event_id, user_id FROM events")
+def _(spark, d):
+    """Two runs of an incremental step: the second reads only what came since the first and appends it."""
+    path = shared(spark)
+    e = load(spark, d, "events").select("event_id", "user_id")
+    mid = e.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
+    db, state = dml.Database(spark, f"{path}/db"), Store(spark, f"{path}/state")
+    for seen in (e.filter(F.col("event_id") <= mid), e):
+        pipeline.Pipeline("inc", [pipeline.Step("read", source=lambda s, seen=seen: seen, cursor="event_id", target="rows", mode="append")], database=db, state=state).run(spark)
+    return db.read("rows")
 
 
 @_frame("datamart_refresh", "SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS bal FROM customer GROUP BY c_mktsegment")
@@ -342,11 +469,13 @@ def _(spark, d):
     return pipeline.incremental(load(spark, d, "events"), "event_id", 500)[0].select("event_id", "user_id")
 
 
-@_frame("catalog_columns", "SELECT 'nation' AS table_name, name AS column_name FROM pragma_table_info('nation') UNION ALL SELECT 'region', name FROM pragma_table_info('region')")
+@_frame("catalog_columns", "SELECT 'nation' AS table_name, name AS column_name, CAST(cid + 1 AS INT) AS ordinal_position FROM pragma_table_info('nation') UNION ALL SELECT 'region', name, CAST(cid + 1 AS INT) FROM pragma_table_info('region')")
 def _(spark, d):
-    register(spark, d, ("nation", "region"))
-    rows = [(t, c.name) for t in ("nation", "region") for c in spark.catalog.listColumns(t)]
-    return spark.createDataFrame(rows, "table_name string, column_name string")
+    e = engine.Engine(spark)
+    for t in ("nation", "region"):
+        e.register(t, f"{d}/{t}.parquet")
+    e.information_schema()
+    return e.sql("SELECT c.table_name, column_name, ordinal_position FROM information_schema_columns c JOIN information_schema_tables t ON c.table_name = t.table_name")
 
 
 @_frame("profile_columns", " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_nulls, count(DISTINCT {c}) AS n_distinct, CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")))
@@ -428,3 +557,36 @@ def _(spark, d):
     one = lambda rows, op, seg, lsn: rows.select("c_custkey", F.lit(seg).alias("c_mktsegment"), F.lit(op).alias("op"), F.lit(lsn).alias("lsn"))
     changes = one(c.filter("c_custkey % 4 = 1"), "UPDATE", "U1", 1).unionByName(one(c.filter("c_custkey % 4 = 1"), "UPDATE", "U2", 2)).unionByName(one(c.filter("c_custkey % 4 = 2"), "DELETE", "", 3)).unionByName(one(c.filter("c_custkey % 4 = 3").withColumn("c_custkey", F.col("c_custkey") + 9000000), "INSERT", "I", 4))
     return events.apply_changes(c, changes, ["c_custkey"])
+
+
+@_frame("stream_sliding", "SELECT * FROM (SELECT window_start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM (SELECT time_bucket(INTERVAL '30 minutes', ts) - k * INTERVAL '30 minutes' AS window_start, event_type, value FROM events, (SELECT unnest([0, 1]) AS k)) GROUP BY 1, 2) WHERE window_start + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '2 hours' FROM events)")
+def _(spark, d):
+    return _stream(spark, d, lambda e: events.windowed(e, "ts", "value", ["event_type"], "1 hour", "30 minutes", late="2 hours")).withColumn("total", F.round("total", 3))
+
+
+@_frame("stream_session", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '30 minutes' AS session_end, count(*) AS n FROM n GROUP BY user_id, k HAVING max(ts) + INTERVAL '30 minutes' <= (SELECT max(ts) - INTERVAL '2 hours' FROM events)")
+def _(spark, d):
+    return _stream(spark, d, lambda e: events.sessions(e, "ts", "user_id", "30 minutes", late="2 hours"))
+
+
+@_frame("stream_join", "SELECT a.event_id, b.event_id AS other_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND b.ts BETWEEN a.ts AND a.ts + INTERVAL '1 hour'")
+def _(spark, d):
+    """A stateful join of two streams within a time range."""
+
+    def build(e):
+        clicks = e.filter("event_type = 'click'").select("event_id", "user_id", "ts")
+        buys = e.filter("event_type = 'purchase'").select(F.col("event_id").alias("other_id"), "user_id", F.col("ts").alias("other_ts"))
+        return events.joined(clicks, buys, ["user_id"], "ts", "other_ts", "1 hour", late="2 hours").select("event_id", "other_id")
+
+    return _stream(spark, d, build)
+
+
+@_frame("cdc_slot", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 1 THEN 'it''s new' WHEN c_custkey % 4 = 3 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 4 <> 2")
+def _(spark, d):
+    """A slot's text changes, parsed and applied."""
+    c = load(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    key = F.concat(F.lit("c_custkey[bigint]:"), F.col("c_custkey").cast("string"))
+    data = F.when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("table public.cust: UPDATE: "), key, F.lit(" c_mktsegment[character varying]:'it''s new'"))).when(F.col("c_custkey") % 4 == 2, F.concat(F.lit("table public.cust: DELETE: "), key)).when(F.col("c_custkey") % 4 == 3, F.concat(F.lit("table public.cust: UPDATE: "), key, F.lit(" c_mktsegment[text]:null"))).otherwise(F.lit("BEGIN 1"))
+    slot = c.select(F.concat(F.lit("A/"), F.hex("c_custkey")).alias("lsn"), data.alias("data"))
+    changes = events.parse_changes(slot, "public.cust", ["c_custkey", "c_mktsegment"]).withColumn("c_custkey", F.col("c_custkey").cast("bigint"))
+    return events.apply_changes(c, changes, ["c_custkey"])
