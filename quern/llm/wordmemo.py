@@ -7,8 +7,8 @@ The memory of known words is bounded; results do not depend on it.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,39 +22,44 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class WordMemo:
-    """Remembers the ids of recent words of at most ``longest`` characters, in two generations of at most ``most`` each.
+    """Remembers the ids of words of at most ``longest`` characters.
 
-    When the younger is full it becomes the older, whose words are forgotten unless they were met again.
+    Ids stand one after the other in an array, and a word is known by its place.  Beyond ``most`` words, or ``room`` ids, all are
+    forgotten but those of the texts at hand, among which are the frequent ones.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], most: int = 150_000, longest: int = 48):
-        self.encode, self.most, self.longest = encode, most, longest
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], most: int = 400_000, longest: int = 48, room: int = 4_000_000):
+        self.encode, self.most, self.longest, self.room = encode, most, longest, room
+        self.known: dict[str, int] = {}
+        self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words in order, and the number of ids of each word."""
         coded = words.dictionary_encode()
-        names, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        young, old = self.young, self.old
-        held = [young.get(n) for n in names]
-        gaps, longest = [], self.longest
-        for i in [i for i, h in enumerate(held) if h is None]:
-            held[i] = old.get(names[i])
-            if held[i] is None:
-                gaps.append(i)
-            else:
-                young[names[i]] = held[i]
-        for i, ids in zip(gaps, self.encode([names[i] for i in gaps]), strict=True):
-            held[i] = array("i", ids).tobytes()
-            if len(names[i]) <= longest:
-                young[names[i]] = held[i]
-        if len(young) > self.most:
-            self.young, self.old = {}, young
-        flat = np.frombuffer(b"".join(held), np.int32)
-        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
-        starts = np.cumsum(sizes) - sizes
-        return flat[ragged(starts[index], sizes[index])], sizes[index]
+        names, index = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy()
+        known = self.known
+        place = np.fromiter([known.get(n, -1) for n in names], np.int64, len(names))
+        gaps = np.flatnonzero(place < 0)
+        if len(gaps):
+            if len(known) > self.most or len(self.flat) > self.room:
+                held = np.flatnonzero(place >= 0)
+                old = place[held]
+                self.flat = self.flat[ragged(self.starts[old], self.sizes[old])]
+                self.sizes = self.sizes[old]
+                self.starts = np.cumsum(self.sizes) - self.sizes
+                place[held] = np.arange(len(held))
+                self.known = known = dict(zip(names[held].tolist(), range(len(held)), strict=True))
+            new = names[gaps].tolist()
+            lists = self.encode(new)
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            flat = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))
+            first, longest = len(self.starts), self.longest
+            place[gaps] = first + np.arange(len(gaps))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
+            known.update((n, k) for k, n in enumerate(new, first) if len(n) <= longest)
+        starts, sizes = self.starts[place], self.sizes[place]
+        return self.flat[ragged(starts[index], sizes[index])], sizes[index]
 
 
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -3,12 +3,13 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from helpers import SF, awkward
 from tokenizers import Tokenizer
 
-from quern.llm import pieces, queries, tokens
+from quern.llm import pieces, queries, tokens, wordmemo
 from quern.llm.common import table
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -36,6 +37,26 @@ def test_token_files_match_plain_encoding(spark, tmp_path, make):
     assert [r.doc_id for r in got] == [d for d, _ in rows]
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_starts_address_the_ids_of_rows_that_share_an_id(spark, tmp_path, files):
+    texts = [f"text number {k} " * (k + 1) for k in range(12)]
+    rows = [(7, x) for x in texts] + [(None, x) for x in texts] + [(3, "three"), (9, None)]
+    tokens.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "t"), Path(PATH).read_text(), 1, files=files)
+    every = [i for f in sorted((tmp_path / "t").glob("part-*")) for ids in pq.read_table(f, columns=["ids"])["ids"].to_pylist() for i in ids]
+    got = tokens.token_index(spark, str(tmp_path / "t")).collect()
+    assert len(got) == len(rows) and len({r.start for r in got}) == len(rows)
+    assert all(zlib.crc32(np.array(every[r.start : r.start + r.n_tokens], "<u4").tobytes()) == r.ids_crc32 for r in got)
+    t = Tokenizer.from_file(PATH)
+    assert sorted(tuple(every[r.start : r.start + r.n_tokens]) for r in got if r.doc_id == 7) == sorted((*t.encode(x, add_special_tokens=False).ids, 1) for x in texts)
+
+
+def test_files_have_a_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokens, "FILE_BYTES", 20_000)
+    tokens.write_tokens(table(spark, SF, "documents"), str(tmp_path / "t"), Path(PATH).read_text(), 1)
+    total = sum(len((r.text or "").encode()) for r in table(spark, SF, "documents").collect())
+    assert tokens.read_tokens(spark, str(tmp_path / "t"), ("part",)).distinct().count() > 0.5 * total / 20_000
+
+
 def test_words_with_odd_characters_encode_alike(spark, tmp_path):
     t = Tokenizer.from_file(PATH)
     texts = ["a\x0bb\x0cc\x1cd\x85e f g", "é ́x  'S it's IT'S don't", "<|endoftext|> x<|startoftext|>y", "İSTANBUL ΣΑΣ ß ﬁ", "1234 5,6.7!!", "a\u0000b", "End. end, END. It's. Dr.. wait... Ünï! é, x:y z;\n", "<|ENDOFTEXT|>. A. b", "ab.\u00a0c.\x85d,"]
@@ -130,3 +151,19 @@ def test_encode_decode_columns(spark, vocabulary):
     digest = {r.doc_id: r for r in queries.piece_digest(docs, vocabulary).collect()}
     assert digest[6].decoded_crc32 == zlib.crc32(docs.filter("doc_id = 6").first().text.encode())
     assert pieces.encode_texts(docs.limit(0), vocabulary).count() == 0
+
+
+def test_word_memory_forgets_without_a_change_of_results():
+    asked = []
+
+    def encode(words):
+        asked.append(len(words))
+        return [[len(w), *map(ord, w)] for w in words]
+
+    memo, rng = wordmemo.WordMemo(encode, most=30, longest=5, room=200), np.random.default_rng(1)
+    for k in range(60):
+        words = ["x" * int(n) for n in rng.integers(0, 9, 40)] + [f"w{i}" for i in rng.integers(0, 10 + 20 * k, 20)]
+        ids, sizes = memo.ids(pa.array(words))
+        assert ids.tolist() == [i for w in encode(words) for i in w] and sizes.tolist() == [len(w) + 1 for w in words]
+        assert len(memo.known) <= 90
+    assert memo.ids(pa.array([], pa.string()))[0].tolist() == []
