@@ -110,31 +110,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def _op1_sql() -> str:
-    hint = licenses.HINT.replace("'", "''")
-    cases = " ".join(f"WHEN regexp_full_match(s, '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}'" for n, p in licenses.SENTENCES)
-    marked = "'|' || array_to_string(list_transform(sentence_ids, lambda x: x || '|'), '|')"
-    for k, rule in enumerate(licenses.RULES):
-        marked = f"regexp_replace({marked}, '\\|{'\\|\\|'.join(rule.ids)}\\|', '|={k}|', 'g')"
-    names = "[" + ", ".join(f"'{r.license}'" for r in licenses.RULES) + "]"
-    return f"""
-WITH cuts AS (
-  SELECT doc_id, CASE WHEN regexp_matches(text, '{hint}') THEN
-    string_split(regexp_replace(regexp_replace(text, '[\\r\\n]+', chr(1), 'g'), '([.!?;])\\s+', '\\1' || chr(1), 'g'), chr(1)) ELSE []::VARCHAR[] END AS parts
+#: Written apart from the operator's patterns: the sentence forms that stand on one line, and single-sentence rules.
+_OP1_SQL = r"""
+WITH hinted AS (
+  SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '[\r\n]+', chr(1), 'g'), '([.!?;])\s+', '\1' || chr(1), 'g'), chr(1)),
+    lambda s: regexp_matches(s, '(?i)licen[cs]e|copyright|\(c\)|©|warrant|redistribut|permission|free software|as is|reserved|endorse|(released|distributed|available) under|unencumbered|public domain')) AS parts
   FROM documents),
-clean AS (
-  SELECT doc_id, list_filter(list_transform(list_filter(parts, lambda s: regexp_matches(s, '{hint}')),
-    lambda s: lower(regexp_replace(regexp_replace(s, '\\s+', ' ', 'g'), '^[\\s#/*%>;:-]+|[\\s.!?;:*/-]+$', '', 'g'))), lambda s: s <> '') AS parts
-  FROM cuts),
-ids AS (
-  SELECT doc_id, list_transform(parts, lambda s: CASE {cases} ELSE 'unknown' END) AS sentence_ids FROM clean),
-marks AS (
-  SELECT doc_id, sentence_ids, {marked} AS m FROM ids)
-SELECT doc_id, array_to_string(sentence_ids, ',') AS sentence_ids,
-  coalesce(array_to_string((SELECT list(n ORDER BY k) FROM (SELECT n, min(k) AS k FROM (SELECT ({names})[k + 1] AS n, k
-    FROM (SELECT unnest(list_distinct(list_transform(regexp_extract_all(m, '=(\\d+)\\|', 1), lambda x: CAST(x AS INTEGER)))) AS k)) GROUP BY n)), ','), '') AS licenses,
-  CAST(len(list_filter(sentence_ids, lambda x: x = 'unknown')) AS BIGINT) AS n_unknown
-FROM marks"""
+bare AS (
+  SELECT doc_id, list_filter(list_transform(parts, lambda s: lower(regexp_replace(regexp_replace(s, '\s+', ' ', 'g'), '^[\s#/*%>;:-]+|[\s.!?;:*/-]+$', '', 'g'))), lambda s: s <> '') AS parts
+  FROM hinted),
+granted AS (
+  SELECT doc_id, parts, list_transform(parts, lambda s: regexp_extract(s, '^(?:this .{1,60} is )?(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?(.*)$', 1)) AS names
+  FROM bare),
+named AS (
+  SELECT doc_id, list_transform(generate_series(1, len(parts)), lambda i: CASE
+    WHEN regexp_full_match(names[i], 'apache licen[sc]e,? (?:version |v)?2(?:\.0)?') THEN 'apache2'
+    WHEN regexp_full_match(names[i], '(?:mit|expat) licen[sc]e') THEN 'mit'
+    WHEN regexp_full_match(names[i], '(?:gnu general public licen[sc]e|gnu gpl|gpl),? (?:version |v)?2(?:\.0)?') THEN 'gpl2'
+    WHEN regexp_full_match(names[i], '(?:gnu general public licen[sc]e|gnu gpl|gpl),? (?:version |v)?3(?:\.0)?') THEN 'gpl3'
+    WHEN regexp_full_match(names[i], 'cc by-nc(?: \d(?:\.\d)?)?') THEN 'ccbync'
+    WHEN regexp_full_match(names[i], 'cc by-sa(?: \d(?:\.\d)?)?') THEN 'ccbysa'
+    WHEN regexp_full_match(names[i], 'cc by(?: \d(?:\.\d)?)?') THEN 'ccby'
+    WHEN regexp_full_match(parts[i], '(?:copyright|\(c\)|©) .{1,80}') THEN 'copyright'
+    WHEN parts[i] = 'all rights reserved' THEN 'rights' ELSE 'unknown' END) AS ids
+  FROM granted),
+rules AS (
+  SELECT * FROM (VALUES ('apache2', 'Apache-2.0', 1), ('mit', 'MIT', 2), ('gpl3', 'GPL-3.0', 3), ('gpl2', 'GPL-2.0', 4), ('ccbync', 'CC-BY-NC-4.0', 5), ('ccbysa', 'CC-BY-SA-4.0', 6), ('ccby', 'CC-BY-4.0', 7)) AS r(id, license, place))
+SELECT doc_id, array_to_string(ids, ',') AS sentence_ids,
+  coalesce((SELECT string_agg(license, ',' ORDER BY place) FROM rules WHERE list_contains(ids, id)), '') AS licenses,
+  CAST(len(list_filter(ids, lambda x: x = 'unknown')) AS BIGINT) AS n_unknown
+FROM named"""
 
 
 _OP8_SQL = r"""
@@ -152,15 +157,35 @@ FROM t JOIN kept USING (conv_id) GROUP BY t.conv_id"""
 
 
 def _op10_sql() -> str:
-    """For pages without canonical links and refresh redirects, as the given tables have none; aliases are tested by fixtures."""
-    fits = {h + p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))" for _, h, p in URL_RULES}
+    """Links of absolute, host and root forms make classes by a recursive closure; an own rule decides, then an allowed alias, then a blocked one."""
+    rest = lambda url: f"CASE WHEN position('://' IN {url}) > 0 THEN substr({url}, position('://' IN {url}) + 3) ELSE '' END"
+    host = lambda r: f"translate(regexp_extract({r}, '^[^/?#]*'), '{urls.UPPER}', '{urls.LOWER}')"
+    path = lambda r: f"regexp_extract({r}, '^[^/?#]*([^?#]*)', 1)"
+    node = lambda r: f"nullif({host(r)} || regexp_extract({r}, '^[^/?#]*([^#]*)', 1), '')"
     order = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
-    rule = " ".join(f"WHEN {fits[h + p]} THEN '{h + p}'" for _, h, p in order)
-    verdict = " ".join(f"WHEN {fits[h + p]} THEN '{v}'" for v, h, p in order)
-    return f"""
-WITH cut AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
-parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{urls.UPPER}', '{urls.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut)
-SELECT page_id, host, path, CASE {rule} ELSE NULL END AS rule, CASE {verdict} ELSE 'allow' END AS verdict FROM parts"""
 
+    def cases(r: str, k: int) -> str:
+        fits = {h + p: f"(({host(r)} = '{h}' OR ends_with({host(r)}, '.{h}')) AND starts_with({path(r)}, '{p}'))" for _, h, p in URL_RULES}
+        return " ".join(f"WHEN {fits[h + p]} THEN '{(h + p, v)[k]}'" for v, h, p in order)
 
-ORACLE: dict[str, str] = {"op1_license_scan": _op1_sql(), "op8_chat_format": _OP8_SQL, "op10_url_filter": _op10_sql()}
+    rel = r"""string_split_regex(lower(concat_ws(' ', regexp_extract(tag, '(?is)\brel\s*=\s*"([^"]*)"', 1), regexp_extract(tag, '(?is)\brel\s*=\s*''([^'']*)''', 1), regexp_extract(tag, '(?is)\brel\s*=\s*([^\s>"''/]+)', 1))), '\s+')"""
+    aim = r"""CASE WHEN regexp_matches(tag, '(?i)^<link') AND list_contains(""" + rel + r""", 'canonical') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+      WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh["''\s/>]') THEN regexp_extract(tag, '(?i)url\s*=\s*["'']?([^"''\s>]+)', 1) END"""
+    bare = r"regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>', '', 'g')"
+    tags = r"regexp_extract_all(" + bare + r", '(?is)<(?:link|meta)\b[^>]*>')"
+    return f"""
+WITH RECURSIVE p AS (SELECT page_id, html, {rest('url')} AS rest FROM pages),
+tags AS (SELECT rest, unnest({tags}) AS tag FROM p WHERE rest <> '' AND regexp_matches(html, '(?i)canonical|refresh')),
+named AS (SELECT rest, replace({aim}, '&amp;', '&') AS t FROM tags),
+aims AS (
+  SELECT rest, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {rest('t')} WHEN starts_with(t, '//') THEN substr(t, 3)
+    WHEN starts_with(t, '/') THEN regexp_extract(rest, '^[^/?#]*') || t END AS aim FROM named),
+links AS (SELECT a, b FROM (SELECT {node('rest')} AS a, {node('aim')} AS b FROM aims WHERE aim IS NOT NULL) WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b),
+sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT DISTINCT a, a FROM sides UNION SELECT r.a, l.b FROM reach r JOIN sides l ON l.a = r.b),
+told AS (SELECT a, CASE WHEN bool_or(v = 'allow') THEN 'allow' WHEN bool_or(v = 'block') THEN 'block' END AS v FROM (SELECT a, CASE {cases('b', 1)} END AS v FROM reach) GROUP BY a)
+SELECT page_id, {host('rest')} AS host, {path('rest')} AS path, CASE {cases('rest', 0)} ELSE NULL END AS rule, coalesce(CASE {cases('rest', 1)} END, told.v, 'allow') AS verdict
+FROM p LEFT JOIN told ON told.a = {node('rest')}"""
+
+
+ORACLE: dict[str, str] = {"op1_license_scan": _OP1_SQL, "op8_chat_format": _OP8_SQL, "op10_url_filter": _op10_sql()}

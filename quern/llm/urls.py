@@ -45,22 +45,53 @@ def _node(url: Column) -> Column:
     return F.nullif(F.concat(host_path(url)[0], rest), F.lit(""))
 
 
+#: A link tag whose rel list has canonical, and a meta tag that refreshes.
+CANONICAL = r"""(?is)^<link\b.*\brel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical(?=[\s/>]))"""
+REFRESH = r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh["'\s/>]"""
+
+
+def _plain_path(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments; what leads above the root stays at the root."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(x))))
+    joined = F.array_join(F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.when(joined == "", "/").otherwise(joined)).otherwise(path)
+
+
+def resolve(url: Column, to: Column) -> Column:
+    """A link's target as a URL, seen from the page's URL: absolute, ``//host``, ``/path``, ``?query`` and relative forms.
+
+    Fragments alone and other schemes (mailto and such) give null.  A base element is not looked at.
+    """
+    host, path = host_path(url)
+    folder = F.when(path.contains("/"), F.regexp_extract(path, r"(?s)^(.*/)", 1)).otherwise(F.lit("/"))
+    want, rest = F.regexp_extract(to, r"(?s)^([^?#]*)", 1), F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+    near = lambda p: F.concat(F.lit("x://"), host, _plain_path(p), rest)
+    return (
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.startswith("//"), F.concat(F.lit("x:"), to))
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | to.startswith("#") | (to == "") | (host == ""), F.lit(None).cast("string"))
+        .when(to.startswith("/"), near(want))
+        .when(to.startswith("?"), F.concat(F.lit("x://"), host, F.when(path == "", "/").otherwise(path), to))
+        .otherwise(near(F.concat(folder, want)))
+    )
+
+
 def alias_links(pages: DataFrame) -> DataFrame:
     """(src, dst) nodes of canonical links and refresh redirects in the HTML of (url, html).
 
-    Comments and scripts don't count.  Targets are absolute, start with ``//`` or with ``/``; other forms are passed over.
+    Comments and scripts don't count.  Targets are resolved against the page's URL.
     """
     html = F.col("html")
-    some = pages.filter(F.col("url").isNotNull() & html.rlike(r"""(?i)rel\s*=\s*["']?canonical|http-equiv\s*=\s*["']?refresh"""))
+    some = pages.filter(F.col("url").isNotNull() & html.rlike(r"""(?i)canonical|http-equiv\s*=\s*["']?refresh"""))
     clean = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script\s*>", "")
     tags = F.regexp_extract_all(clean, F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), 1)
     one = some.select("url", F.explode(tags).alias("tag"))
-    canonical = F.when(F.col("tag").rlike(r"""(?i)rel\s*=\s*["']?canonical["'\s/>]"""), F.regexp_extract("tag", r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
-    refresh = F.when(F.col("tag").rlike(r"""(?i)http-equiv\s*=\s*["']?refresh["'\s/>]"""), F.regexp_extract("tag", r"""(?i)url\s*=\s*["']?([^"'\s>]+)""", 1))
-    to = one.select("url", F.coalesce(canonical, refresh).alias("to")).filter("to <> ''")
-    host = F.concat(F.lit("x://"), host_path(F.col("url"))[0])
-    full = F.when(F.instr("to", "://") > 0, F.col("to")).when(F.col("to").startswith("//"), F.concat(F.lit("x:"), "to")).when(F.col("to").startswith("/"), F.concat(host, "to"))
-    return to.select(_node(F.col("url")).alias("src"), _node(full).alias("dst")).filter("src is not null and dst is not null")
+    canonical = F.when(F.col("tag").rlike(CANONICAL), F.regexp_extract("tag", r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
+    refresh = F.when(F.col("tag").rlike(REFRESH), F.regexp_extract("tag", r"""(?i)url\s*=\s*["']?([^"'\s>]+)""", 1))
+    to = one.select("url", F.replace(F.coalesce(canonical, refresh), F.lit("&amp;"), F.lit("&")).alias("to")).filter("to <> ''")
+    return to.select(_node(F.col("url")).alias("src"), _node(resolve(F.col("url"), F.col("to"))).alias("dst")).filter("src is not null and dst is not null")
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
