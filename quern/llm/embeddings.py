@@ -19,61 +19,78 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, run_starts, runs
 from .components import connected_components
 
 #: Classes of one filter that a task compares at once.
-BLOCK = 2048
-#: Classes that a filter is meant to hold on average.
-TARGET = 1024
-
-
-def _tail(x: float) -> float:
-    return 0.5 * math.erfc(x / math.sqrt(2))
-
-
-def _height(p: float) -> float:
-    """The x that a standard normal exceeds with chance p."""
-    lo, hi = -8.0, 12.0
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if _tail(mid) > p else (lo, mid)
-    return lo
+BLOCK = 8192
+#: Classes that a filter holds on average, at most.
+TARGET = 4096
 
 
 class Filters:
     """Product codes for one dimension, with the cap height that gives the wanted recall.
 
     n: vectors that can meet.  Directions that share codewords are not independent, so several independently turned codes are
-    used and the recall is measured on random pairs at the cosine; the mean number of filters of a vector grows until it is
-    reached.  The number of directions follows n, so that a filter holds about ``TARGET`` vectors.
+    used, and the height is calibrated on random pairs at the cosine: it is the highest at which the wanted share of them has a
+    filter in common.  Of the numbers of codes and codewords whose filters hold ``TARGET`` vectors at most, those count that put
+    a vector into the fewest filters.
     """
 
-    def __init__(self, dim: int, n: int, cosine: float, recall: float = 0.99, blocks: int = 2, turns: int = 16, pairs: int = 4000, seed: int = 7):
-        self.blocks = max(1, min(blocks, dim))
+    def __init__(self, dim: int, n: int, cosine: float, recall: float = 0.99, blocks: int = 2, turns: tuple[int, ...] = (2, 4, 8, 16), pairs: int = 2000, seed: int = 7):
+        self.dim, self.blocks, self.seed = dim, max(1, min(blocks, dim)), seed
         rng = np.random.default_rng([seed, dim])
         a, z = rng.standard_normal((2, pairs, dim))
         a /= np.linalg.norm(a, axis=1, keepdims=True)
         z -= (z * a).sum(1, keepdims=True) * a
         z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
         b = cosine * a + math.sqrt(max(0.0, 1 - cosine * cosine)) * z if dim > 1 else a
-        mean = 8.0
-        while True:
-            self.words = max(4, math.ceil(max(16.0, n * mean / TARGET / turns) ** (1 / self.blocks)))
-            self.codes = self.words**self.blocks
-            share = mean / turns / self.codes
-            self.height = _height(share) / math.sqrt(dim) if share < 0.9 else -1.0
-            rng = np.random.default_rng([seed, dim, self.words])
-            self.cuts = [self._code(dim, rng) for _ in range(turns)]
-            found = 0
-            for at in range(0, pairs, 500):
-                rows, codes = zip(self.decode(a[at : at + 500]), self.decode(b[at : at + 500]), strict=True)
-                left, right = (r * (turns * self.codes) + c for r, c in zip(rows, codes, strict=True))
-                found += len(np.unique(np.intersect1d(left, right) // (turns * self.codes)))
-            if found >= recall * pairs or self.height < 0:
-                break
-            mean *= 1.2
+        best = None
+        for t in turns:
+            words = 2
+            while True:
+                self._make(t, words)
+                height, mean = self._calibrate(a, b, recall)
+                group = n * mean / (t * self.codes)
+                if group <= TARGET or self.codes >= 1 << 40:
+                    break
+                words = max(words + 1, math.ceil(words * min(4.0, (group / TARGET) ** (1 / self.blocks))))
+            if best is None or mean < best[0]:
+                best = (mean, t, words, height)
+        self.mean, t, words, height = best
+        self._make(t, words)
+        self.height = height
+
+    def _make(self, turns: int, words: int) -> None:
+        self.turns, self.words, self.codes = turns, words, words**self.blocks
+        rng = np.random.default_rng([self.seed, self.dim, turns, words])
+        self.cuts, self.height = [self._code(self.dim, rng) for _ in range(turns)], -2.0
+
+    def _calibrate(self, a: np.ndarray, b: np.ndarray, recall: float) -> tuple[float, float]:
+        """The highest cap at which this share of the pairs meets, and the mean number of filters of a vector there."""
+        low, high = -1.0, 1.0
+        if self.turns * self.codes * len(a) > 1 << 24:
+            a, b = a[:500], b[:500]
+            low = 0.1
+        for _ in range(14):
+            self.height = (low + high) / 2
+            if self._met(a, b)[0] >= recall:
+                low = self.height
+            else:
+                high = self.height
+        self.height = low
+        return low, self._met(a, b)[1]
+
+    def _met(self, a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
+        found = each = 0
+        span = self.turns * self.codes
+        for at in range(0, len(a), 500):
+            (i, c), (j, d) = self.decode(a[at : at + 500]), self.decode(b[at : at + 500])
+            found += len(np.unique(np.intersect1d(i * span + c, j * span + d, assume_unique=True) // span))
+            each += len(i)
+        return found / len(a), each / len(a)
 
     def _code(self, dim: int, rng: np.random.Generator) -> list[np.ndarray]:
         out, at = [], 0
@@ -154,19 +171,31 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     all zero or holds null or non-finite components links with nothing, nor does a row with a null id: such rows have no links
     and are their own component.  Rows with the same id but different vectors are one node of the components.  Equal vectors
     are found exactly, others when they share a filter; every link found has the cosine.  No rows give no rows.
+
+    A vector is shuffled once a filter, as it came in (single or double precision), with the filters before that one.
     """
-    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("emb"), F.col(label_col).cast("string").alias("label"))
+    kind = vectors.schema[vec_col].dataType
+    narrow = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    cell, single = ("float", np.dtype("<f4")) if narrow else ("double", np.dtype("<f8"))
+    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(f"array<{cell}>").alias("emb"), F.col(label_col).cast("string").alias("label"))
     odd = F.exists("emb", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     ok = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("emb").isNotNull() & ~odd & F.exists("emb", lambda x: x != 0)
     # -0.0 + 0.0 is 0.0, so that equal vectors have equal hashes.
-    v = v.withColumn("emb", F.when(ok, F.transform("emb", lambda x: x + F.lit(0.0))))
+    v = v.withColumn("emb", F.when(ok, F.transform("emb", lambda x: (x + F.lit(0.0).cast(cell)).cast(cell))))
     v = v.withColumns({"h1": F.when(F.col("emb").isNotNull(), F.xxhash64(F.lit(1), "label", "emb")), "h2": F.when(F.col("emb").isNotNull(), F.xxhash64(F.lit(2), "label", "emb"))})
     classes = v.filter("emb is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("emb").alias("emb"), F.first("label").alias("label"))
     classes = cut(classes.withColumn("dim", F.size("emb")))
     # The largest set of vectors that are compared with each other sets the codes of all.
     made = {r.dim: Filters(r.dim, r.n, cosine, recall) for r in classes.groupBy("label", "dim").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()}
+    keys, own = ["label", "dim", "filter"], ["h1", "h2", "rep", "mult"]
+
+    def units(x: np.ndarray) -> np.ndarray:
+        x = x.astype(np.float64)
+        x /= np.abs(x).max(1, keepdims=True)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows of one length with their vectors, and (row, filter) of the filters they exceed."""
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
@@ -174,26 +203,26 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                 for dim in np.unique(dims).tolist():
                     part = b.filter(pa.array(dims == dim))
                     x = part.column(part.schema.get_field_index("emb")).flatten().to_numpy().reshape(-1, dim)
-                    x = x / np.abs(x).max(1, keepdims=True)
-                    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                    row, code = made[dim].decode(unit)
-                    starts = np.searchsorted(row, np.arange(len(unit)))
-                    order = np.arange(len(row)) - starts[row]
-                    early = [code[r - o : r] for r, o in zip(range(len(row)), order.tolist(), strict=True)]
-                    offsets = np.append(0, np.cumsum(order)).astype(np.int32)
-                    flat = np.concatenate([*early, np.zeros(0, np.int64)])
-                    take = part.select(["h1", "h2", "rep", "mult", "label", "dim"]).take(pa.array(row))
-                    wide = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * dim), pa.array(unit[row].ravel()))
-                    yield pa.RecordBatch.from_arrays([*take.columns, wide, pa.array(code), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["h1", "h2", "rep", "mult", "label", "dim", "unit", "filter", "early"])
-
-    keys = ["label", "dim", "filter"]
-    keyed = classes.mapInArrow(decode, "h1 long, h2 long, rep long, mult long, label string, dim int, unit array<double>, filter long, early array<long>")
-    keyed = cut(keyed)
-    large = cut(keyed.groupBy(*keys).count().filter(F.col("count") > BLOCK))
-    ways = keyed.withColumns({"lo": F.lit(0).cast("long"), "hi": F.lit(0).cast("long"), "own": F.lit(0).cast("long")})
+                    yield part, x, *made[dim].decode(units(x))
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, _, row, code in decoded(batches):
+            yield pa.RecordBatch.from_arrays([*part.select(["label", "dim"]).take(pa.array(row)).columns, pa.array(code)], keys)
+
+    def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, x, row, code in decoded(batches):
+            starts = np.searchsorted(row, np.arange(len(x)))
+            early = [code[s:r].astype("<i8").tobytes() for r, s in enumerate(starts[row].tolist())]
+            data = np.ascontiguousarray(x, single)
+            vecs = [data[r].tobytes() for r in range(len(x))]
+            yield pa.RecordBatch.from_arrays([*part.select([*own, "label", "dim"]).take(pa.array(row)).columns, pa.array(code), pa.array([vecs[r] for r in row.tolist()], pa.binary()), pa.array(early, pa.binary())], [*own, *keys, "vec", "early"])
+
+    keyed = classes.mapInArrow(ship, "h1 long, h2 long, rep long, mult long, label string, dim int, filter long, vec binary, early binary")
+    large = cut(classes.select("label", "dim", "emb").mapInArrow(name, "label string, dim int, filter long").groupBy(*keys).count().filter(F.col("count") > BLOCK))
+    ways = keyed.withColumns({"lo": F.lit(0), "hi": F.lit(0), "own": F.lit(0)})
     if not large.isEmpty():
-        dealt = keyed.join(large, keys, "left").withColumn("blocks", F.coalesce(F.ceil(F.col("count") / BLOCK), F.lit(1)).cast("long")).drop("count")
-        dealt = dealt.withColumn("own", F.pmod("h1", F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        dealt = keyed.join(large, keys, "left").withColumn("blocks", F.coalesce(F.ceil(F.col("count") / BLOCK), F.lit(1)).cast("int")).drop("count")
+        dealt = dealt.withColumn("own", F.pmod("h1", F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         ways = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other", "blocks")
     group = [*keys, "lo", "hi"]
 
@@ -202,16 +231,16 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
             t = t.combine_chunks()
             at = run_starts([t.column(k).to_numpy() for k in group])
             out: dict[str, list] = {k: [] for k in ("h1", "h2", "n", "src", "dst")}
-            own, mult, rep = (t.column(k).to_numpy() for k in ("own", "mult", "rep"))
+            side, mult, rep = (t.column(k).to_numpy() for k in ("own", "mult", "rep"))
             h1, h2 = (t.column(k).to_numpy() for k in ("h1", "h2"))
             for a, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 if e - a < 2:
                     continue
                 part = t.slice(a, e - a)
                 dim, lo, hi = part.column("dim")[0].as_py(), part.column("lo")[0].as_py(), part.column("hi")[0].as_py()
-                x = part.column("unit").combine_chunks().flatten().to_numpy().reshape(-1, dim)
-                early = _bits([np.asarray(z, np.int64) for z in part.column("early").combine_chunks().to_numpy(zero_copy_only=False)])
-                n, forest = _links(x, mult[a:e], own[a:e] == lo, lo == hi, early, cosine)
+                x = units(np.frombuffer(b"".join(part.column("vec").to_pylist()), single).reshape(-1, dim))
+                early = _bits([np.frombuffer(z, "<i8") for z in part.column("early").to_pylist()])
+                n, forest = _links(x, mult[a:e], side[a:e] == lo, lo == hi, early, cosine)
                 some = np.flatnonzero(n)
                 out["h1"] += h1[a:e][some].tolist()
                 out["h2"] += h2[a:e][some].tolist()
@@ -226,9 +255,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     found = cut(ways.repartition(*group).sortWithinPartitions(*group).mapInArrow(verify, "h1 long, h2 long, n long, src long, dst long"))
     counts = found.filter("n is not null").groupBy("h1", "h2").agg(F.sum("n").alias("n"))
     # A repeated id ties its classes together: every row's id is linked to its class's smallest.
-    tied = v.filter("emb is not null").join(classes.select("h1", "h2", "rep", "mult").filter("mult > 1"), ["h1", "h2"]).filter("vec_id <> rep").select(F.col("vec_id").alias("src"), F.col("rep").alias("dst"))
+    known = classes.select("h1", "h2", "rep", "mult")
+    tied = v.filter("emb is not null").select("vec_id", "h1", "h2").join(known.filter("mult > 1"), ["h1", "h2"]).filter("vec_id <> rep").select(F.col("vec_id").alias("src"), F.col("rep").alias("dst"))
     of = connected_components(found.filter("src is not null").select("src", "dst").unionByName(tied))
-    links = classes.select("h1", "h2", "mult").join(counts, ["h1", "h2"], "left").select("h1", "h2", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    links = known.join(counts, ["h1", "h2"], "left").select("h1", "h2", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
     out = v.select("vec_id", "h1", "h2").join(links, ["h1", "h2"], "left").join(of, F.col("vec_id") == F.col("node"), "left")
     named = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), named.alias("component_id"), F.col("vec_id").eqNullSafe(named).alias("kept"))
