@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import scalar, similarity
+from .functions import scalar, similarity, tables
 from .operators import datamart, dml, match, mdm, profile, scd2
 from .plans import engine, pipeline, templates
 from .plans.store import Store
@@ -218,6 +218,13 @@ def _(spark, d):
     return load(spark, d, "customer").select("c_custkey", scalar.substr(c, -3, 4).alias("sub"), scalar.substr(c, 3, -1).alias("rest"), scalar.split_part(F.concat(F.lit("##"), c), "#", 1).alias("part"), scalar.to_int(b.cast("string")).alias("whole"), scalar.safe_divide(b, n).alias("per"), scalar.to_bool(n.cast("string")).alias("flag"), F.signum(b).cast("int").alias("sg"), scalar.trim_blank(F.concat(F.lit("\t "), "c_mktsegment", F.lit(" \t"))).alias("trimmed"))
 
 
+@_frame("fn_table_function", "SELECT c_custkey, CAST(i AS INT) AS pos, substr(c_name, i, 3) AS gram FROM (SELECT c_custkey, c_name, unnest(generate_series(1, length(c_name) - 2)) AS i FROM customer)")
+def _(spark, d):
+    register(spark, d, ("customer",))
+    tables.register_tables(spark)
+    return spark.sql("SELECT c_custkey, pos, gram FROM customer, LATERAL trigrams(c_name)")
+
+
 # Master data
 _SNAP2 = """SELECT c_custkey, c_name, CASE WHEN c_custkey % 10 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 10 = 1 THEN 1 ELSE 0 END AS is_deleted
   FROM customer WHERE c_custkey % 10 <> 2 UNION ALL SELECT c_custkey + 1000000, c_name, c_mktsegment, 0 FROM customer WHERE c_custkey % 10 = 3"""

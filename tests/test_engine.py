@@ -1,7 +1,9 @@
 """Operators of the engine on inline tables with known results."""
 
+import http.server
 import json
 import random
+import threading
 import time
 from datetime import datetime
 
@@ -15,7 +17,7 @@ from quern.operators import datamart, dml, match, mdm, profile, scd2
 from quern.plans import airflow, engine, pipeline, templates, triggers
 from quern.plans.statements import bind_positional, parse_statement
 from quern.plans.store import Conflict, Store
-from quern.sources import avro, connectors, files, remote
+from quern.sources import avro, connectors, files, pages, remote
 from quern.streaming import events
 
 
@@ -554,3 +556,42 @@ def test_anomaly_chunks_match_whole_partitions(spark):
         got = {x.id: x.z for x in profile.anomalies(df, ["g"], ["id"], "v", window=20, split=F.col("h"), chunk=chunk).collect()}
         assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-6
     assert sum(x.is_anomaly for x in profile.anomalies(df, ["g"], ["id"], "v", window=20).collect()) >= 5
+
+
+def test_paged_services(spark):
+    rows = [{"id": k, "s": None if k % 3 else f"t{k}", "x": {"y": k}} for k in range(95)]
+    posted = []
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = dict(p.split("=") for p in self.path.split("?")[1].split("&"))
+            at, n = int(q["offset"]), int(q["limit"])
+            self.reply({"data": rows[at : at + n]})
+
+        def do_POST(self):
+            posted.extend(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.reply({})
+
+        def reply(self, body):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}/r"
+        spark.dataSource.register(pages.PagedJson)
+        read = lambda total: spark.read.format("quern_pages").schema("id long, s string, x string").options(url=url, total=total, page_size=10, pages_per_task=3, data_path="data").load()
+        df = read(95)
+        assert df.rdd.getNumPartitions() == 4
+        assert sorted(tuple(r) for r in df.collect()) == [(r["id"], r["s"], json.dumps(r["x"])) for r in rows]
+        with pytest.raises(Exception):
+            read(120).collect()
+        df.select("id", "s").write.format("quern_pages").mode("append").options(url=url, batch=7).save()
+        assert sorted(r["id"] for r in posted) == list(range(95))
+    finally:
+        server.shutdown()
