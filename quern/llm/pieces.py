@@ -13,6 +13,7 @@ the Viterbi steps are numpy operations over all chunks of one length.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -67,9 +68,43 @@ def double_array(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return base[:last], check[:last], value[:last]
 
 
+#: Fixed values of the model file: kinds of models and of pieces.
+_UNIGRAM, _MERGES = 1, 2
+_NORMAL, _USER, _BYTE = 1, 4, 6
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of a message's fields in the protocol-buffer wire format."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            out |= (byte & 0x7F) << shift
+            if byte < 0x80:
+                return out
+            shift += 7
+
+    while at < len(data):
+        key = number()
+        kind = key & 7
+        if kind == 0:
+            yield key >> 3, number()
+            continue
+        size = number() if kind == 2 else {1: 8, 5: 4}[kind]
+        yield key >> 3, data[at : at + size]
+        at += size
+
+
 @dataclass
 class Pieces:
-    """A vocabulary: text pieces with scores and ids, and the ids of the 256 byte pieces."""
+    """A vocabulary: text pieces with scores and ids, and the ids of the 256 byte pieces.
+
+    dummy: a space is put before texts; squeeze: spaces at the ends and after a space are taken away.
+    """
 
     pieces: list[bytes]
     scores: np.ndarray
@@ -77,6 +112,8 @@ class Pieces:
     byte_ids: np.ndarray
     size: int
     trie: tuple[np.ndarray, np.ndarray, np.ndarray] = field(default=None)
+    dummy: bool = True
+    squeeze: bool = False
 
     def __post_init__(self):
         for p in self.pieces:
@@ -89,26 +126,47 @@ class Pieces:
 
     @staticmethod
     def load(path: str) -> Pieces:
-        """Reads a SentencePiece model file.
+        """Reads a SentencePiece model file, whose own settings say what kind it is and how texts are prepared.
 
         Scores of a unigram model are taken as they are.  A model of merges has ranks instead of scores; its pieces get the log
-        of a Zipf frequency, -ln(rank + 1), which is a rule and trains nothing.
+        of a Zipf frequency, -ln(rank + 1), which is a rule and trains nothing.  Files with other kinds, user-defined pieces, a
+        character map, markers after words, or without byte pieces are refused, as their texts would be encoded otherwise.
         """
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        plain, raw, ids, byte_ids = [], [], [], np.full(256, -1, np.int32)
-        for i in range(sp.get_piece_size()):
-            if sp.is_byte(i):
-                byte_ids[int(sp.id_to_piece(i)[3:5], 16)] = i
-            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-                plain.append(sp.id_to_piece(i).encode())
-                raw.append(sp.get_score(i))
-                ids.append(i)
+        with open(path, "rb") as f:
+            return Pieces.parse(f.read())
+
+    @staticmethod
+    def parse(data: bytes) -> Pieces:
+        parts = list(_fields(data))
+        trainer, normal = ({k: v for k, v in _fields(dict(parts).get(f, b""))} for f in (2, 3))
+        plain, raw, ids, byte_ids, size = [], [], [], np.full(256, -1, np.int32), 0
+        for field_number, message in parts:
+            if field_number != 1:
+                continue
+            one = dict(_fields(message))
+            kind = one.get(3, _NORMAL)
+            if kind == _BYTE:
+                byte_ids[int(one[1][3:5], 16)] = size
+            elif kind == _NORMAL:
+                plain.append(one[1])
+                raw.append(struct.unpack("<f", one.get(2, bytes(4)))[0])
+                ids.append(size)
+            elif kind == _USER:
+                raise ValueError("user-defined pieces are not supported")
+            size += 1
+        kind = trainer.get(3, _UNIGRAM)
+        if kind not in (_UNIGRAM, _MERGES) or normal.get(2) or trainer.get(24) or (byte_ids < 0).any() or not normal.get(5, 1):
+            raise ValueError("the file's settings are not supported")
         scores = np.array(raw, float)
-        if len(scores) > 1 and np.allclose(np.diff(np.sort(scores)), 1.0):
+        if kind == _MERGES:
             scores = -np.log(scores.max() - scores + 1.0) - np.log(len(scores))
-        return Pieces(plain, scores, np.array(ids, np.int32), byte_ids, sp.get_piece_size())
+        return Pieces(plain, scores, np.array(ids, np.int32), byte_ids, size, dummy=bool(normal.get(3, 1)), squeeze=bool(normal.get(4, 1)))
+
+    def prepared(self, text: str) -> str:
+        """The text as it is encoded: extra spaces taken away where the file says so, and a space put before it."""
+        if self.squeeze:
+            text = re.sub(" +", " ", text).strip(" ")
+        return " " + text if self.dummy and text else text
 
     def _viterbi(self, texts: list[bytes], blocked: list[list[int]]) -> list[list[int]]:
         """The ids of texts of one byte length; ``blocked``: where a marker of the text itself starts."""
@@ -188,7 +246,7 @@ class Pieces:
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids in self.encode_chunks(_CHUNK.findall(" " + text)) for i in ids] if text else []
+        return [i for ids in self.encode_chunks(_CHUNK.findall(self.prepared(text))) for i in ids]
 
     def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes of all ids, one after the other, with starts and sizes; ids that stand for no text have none."""
@@ -204,7 +262,7 @@ class Pieces:
     def decode(self, ids: list[int]) -> str:
         flat, starts, sizes = self.table()
         got = np.array(ids, np.int64)
-        return flat[ragged(starts[got], sizes[got])].tobytes().decode("utf-8", "replace")[1:]
+        return flat[ragged(starts[got], sizes[got])].tobytes().decode("utf-8", "replace")[self.dummy :]
 
 
 def _leading(piece: bytes) -> bool:
@@ -223,7 +281,7 @@ def encode_texts(docs: DataFrame, vocabulary: Pieces, id_col: str = "doc_id", te
         memo = WordMemo(shared.value.encode_chunks)
         for whole in batches:
             for b in slices(whole, "text", 2_000_000):
-                chunks = [_CHUNK.findall(" " + t) if t else [] for t in b.column(1).to_pylist()]
+                chunks = [_CHUNK.findall(shared.value.prepared(t)) if t else [] for t in b.column(1).to_numpy(zero_copy_only=False)]
                 offsets = np.append(0, np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks))))
                 ids, sizes = memo.ids(pa.array([c for row in chunks for c in row], pa.string()))
                 bounds = np.append(0, np.cumsum(sums(sizes, offsets))).astype(np.int32)
@@ -235,7 +293,7 @@ def encode_texts(docs: DataFrame, vocabulary: Pieces, id_col: str = "doc_id", te
 def decode_texts(coded: DataFrame, vocabulary: Pieces, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, text) from (doc_id, ids).  Null ids give null; no ids give the empty text; broken bytes give U+FFFD."""
     bound_batches(coded.sparkSession)
-    shared = coded.sparkSession.sparkContext.broadcast(vocabulary.table())
+    shared, skip = coded.sparkSession.sparkContext.broadcast(vocabulary.table()), int(vocabulary.dummy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, starts, sizes = shared.value
@@ -247,7 +305,7 @@ def decode_texts(coded: DataFrame, vocabulary: Pieces, id_col: str = "doc_id", i
             out = []
             for a, e, ok in zip(offsets[:-1].tolist(), offsets[1:].tolist(), some.tolist(), strict=True):
                 ids = got[a:e]
-                out.append(flat[ragged(starts[ids], sizes[ids])].tobytes().decode("utf-8", "replace")[1:] if ok else None)
+                out.append(flat[ragged(starts[ids], sizes[ids])].tobytes().decode("utf-8", "replace")[skip:] if ok else None)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(out, pa.string())], ["doc_id", "text"])
 
     return coded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")

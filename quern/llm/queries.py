@@ -52,7 +52,7 @@ def piece_vocabulary() -> pieces.Pieces:
 def piece_digest(docs: DataFrame, vocabulary: pieces.Pieces) -> DataFrame:
     """doc_id, ids, n_pieces, ids_crc32 (of the ids as little-endian 32-bit integers) and the crc32 of the decoded text."""
     coded = pieces.encode_texts(docs, vocabulary)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary.table())
+    shared, skip = docs.sparkSession.sparkContext.broadcast(vocabulary.table()), int(vocabulary.dummy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .wordmemo import ragged
@@ -64,7 +64,7 @@ def piece_digest(docs: DataFrame, vocabulary: pieces.Pieces) -> DataFrame:
             for a, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 ids = got[a:e]
                 crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                text.append(zlib.crc32(flat[ragged(starts[ids], sizes[ids])][1:].tobytes()))
+                text.append(zlib.crc32(flat[ragged(starts[ids], sizes[ids])][skip:].tobytes()))
             yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(text, pa.int64())], ["doc_id", "ids", "n_pieces", "ids_crc32", "decoded_crc32"])
 
     return coded.mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, ids_crc32 long, decoded_crc32 long")
