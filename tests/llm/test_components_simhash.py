@@ -112,11 +112,34 @@ def test_thresholds_are_a_least_cost_pigeonhole():
     assert sum(r[t + 1] for r, t in zip(costs, got)) == min(costs[0][a] + costs[1][b] + costs[2][c] for a, b, c in every)
 
 
-@pytest.mark.parametrize("radius", [4, 10, 16])
-def test_partitions_reach_the_radius_at_any_size(radius):
-    for n in (0, 1, 1_000, 51_000_000, 60_000_000, 10**10, 10**15):
-        got = simhash.allocate([[float(4**k) for k in range(simhash.MOST + 2)]] * simhash.partitions(n, radius), radius)
-        assert sum(t + 1 for t in got) == radius + 1
+def keys_each(n, radius):
+    """Partitions, and keys of a fingerprint of random bits."""
+    cost = simhash.weighed(n, radius)
+    parts = min(cost, key=cost.get)
+    groups = [list(range(64))[i::parts] for i in range(parts)]
+    got = simhash.allocate(simhash._costs(n, np.full(64, 0.5), groups, radius), radius)
+    assert sum(t + 1 for t in got) == radius + 1
+    return parts, sum(simhash._probes(len(g) / 2, t) for g, t in zip(groups, got) if t >= 0)
+
+
+@pytest.mark.parametrize(("radius", "most"), [(4, 160), (10, 16_000)])
+def test_partitions_reach_the_radius_at_any_size(radius, most):
+    keys = [keys_each(n, radius) for n in (1_000, 10**5, 320_000, 10**6, 10**7, 51_000_000, 60_000_000, 10**8, 10**9, 10**10, 10**12)]
+    assert [p for p, _ in keys] == sorted((p for p, _ in keys), reverse=True) and [k for _, k in keys] == sorted(k for _, k in keys)
+    assert keys[-1][1] <= most and all(keys_each(n, radius) for n in (0, 1, 2))
+
+
+def test_pairs_keep_within_the_wide_radius():
+    """Fingerprints of both halves at a similarity of 0.8 stay far within what is compared."""
+    rng, bits = np.random.default_rng(6), []
+    for _ in range(400):
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, 94)]
+        other = words[:84] + [f"o{x}" for x in rng.integers(0, 1 << 40, 10)]
+        a, b = (set(simhash.shingles(" ".join(t), 5).tolist()) for t in (words, other))
+        assert 0.79 < len(a & b) / len(a | b) < 0.81
+        bits.append(sum((x ^ y).bit_count() for x, y in zip(*(simhash.halves(" ".join(t), 5, looks=2) for t in (words, other)), strict=True)))
+    # The mean is 19.4 and the deviation 4.1, so 38 bits are 4.6 deviations above it.
+    assert abs(np.mean(bits) - 19.4) < 1 and np.std(bits) < 4.6 and max(bits) < 36
 
 
 @pytest.mark.parametrize("shingles", [1_000_000, 3_000])

@@ -1,38 +1,89 @@
+import re
 import zlib
 
 import numpy as np
 import pytest
-from helpers import SF, awkward
+from helpers import SF, awkward, roots
 
 import corpus_pipeline
-from quern.llm import language, quality, queries
+from quern.llm import language, mixing, quality, queries
 from quern.llm.common import table
 
 
-def test_models_are_distributions():
-    counts = {"a": {"   x": 3, "  xy": 2, " xyz": 2, "xyzx": 1}, "b": {"   y": 2, "  yy": 5}}
-    m = language.kneser_ney(counts)
-    # Over the alphabet, the probabilities after a history sum to at most one (the rest is for unseen characters).
-    def p(history, c, k):
-        back, codes = 0.0, history + c
-        for order in range(4, 0, -1):
-            keys, logs = m.grams[order - 1]
-            h = np.uint64(language._gram_hash(codes[-order:]))
+def plain_kneser_ney(counts, alphabet):
+    """p(character | history) by the interpolated definition, from the counts of one language's longest n-grams."""
+    levels = {4: dict(counts)}
+    for k in (3, 2, 1):
+        levels[k] = {}
+        for g in levels[k + 1]:
+            levels[k][g[1:]] = levels[k].get(g[1:], 0) + 1
+
+    def p(history, c):
+        if len(history) + 1 > 4:
+            history = history[-3:]
+        k = len(history) + 1
+        seen = levels[k]
+        ones, twos = (sum(v == w for v in seen.values()) for w in (1, 2))
+        d = min(max(ones / (ones + 2 * twos) if ones else 0.5, 0.05), 0.95)
+        lower = p(history[1:], c) if k > 1 else 1 / (len(alphabet) + 1)
+        after = {g: v for g, v in seen.items() if g[:-1] == history}
+        total = sum(after.values())
+        if not total:
+            return lower
+        return max(after.get(history + c, 0) - d, 0) / total + d * len(after) / total * lower
+
+    return p
+
+
+def model_p(m, history, c, k):
+    """The probability that the stored tables give, by backing off."""
+    back, codes = 0.0, history + c
+    for order in range(4, 0, -1):
+        keys, logs = m.grams[order - 1]
+        h = np.uint64(language._gram_hash(codes[-order:]))
+        at = np.searchsorted(keys, h)
+        if at < len(keys) and keys[at] == h:
+            return np.exp(logs[at][k] + back)
+        if order > 1:
+            keys, logs = m.back[order - 2]
+            h = np.uint64(language._gram_hash(codes[-order:-1]))
             at = np.searchsorted(keys, h)
             if at < len(keys) and keys[at] == h:
-                return np.exp(logs[at][k] + back)
-            if order > 1:
-                keys, logs = m.back[order - 2]
-                h = np.uint64(language._gram_hash(codes[-order:-1]))
-                at = np.searchsorted(keys, h)
-                if at < len(keys) and keys[at] == h:
-                    back += logs[at][k]
-        return np.exp(m.floor[k] + back)
-
-    for k in range(2):
-        for history in ("   ", "  x", " xy", "xyz", "zzz"):
-            s = sum(p(history, c, k) for c in "xyz") + p(history, "q", k)
-            assert 0.5 < s <= 1 + 1e-5
+                back += logs[at][k]
+    return np.exp(m.floor[k] + back)
+
+
+def test_models_are_kneser_ney():
+    rng, counts = np.random.default_rng(3), {}
+    for lang, letters in (("a", "xyz "), ("b", "yzw "), ("c", "x ")):
+        text, counts[lang] = "   " + "".join(rng.choice(list(letters), 300)), {}
+        for i in range(len(text) - 3):
+            counts[lang][text[i : i + 4]] = counts[lang].get(text[i : i + 4], 0) + 1
+    m, alphabet = language.kneser_ney(counts), "xyzw "
+    for k, lang in enumerate("abc"):
+        p = plain_kneser_ney(counts[lang], alphabet)
+        for history in ("   ", "  x", " xy", "xyz", "zzz", "www", "w x", "qqq"):
+            got = [model_p(m, history, c, k) for c in alphabet + "q"]
+            assert np.allclose(got, [p(history, c) for c in alphabet + "q"], rtol=1e-4)
+            # With the unseen characters, whose mass stands for one more, the probabilities sum to one.
+            assert abs(sum(got) - 1) < 1e-4
+
+
+def test_predictions_match_a_walk_over_characters(spark):
+    docs = table(spark, SF, "documents")
+    m, rows = queries.language_model(docs), docs.limit(40).collect()
+    got = {r.doc_id: r for r in language.identify(docs, m).collect()}
+    for r in rows:
+        codes = language._codes(r.text or "").tobytes().decode("utf-32-le")
+        if len(codes) < 4:
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        whole_text = len(codes) <= 400
+        codes = codes if whole_text else codes[: codes.rindex(" ", 0, 400) + 1]
+        bits = [-sum(np.log2(model_p(m, codes[i - 3 : i], codes[i], k)) for i in range(3, len(codes))) / (len(codes) - 3) for k in range(len(m.langs))]
+        if whole_text:
+            assert got[r.doc_id].lang_pred == m.langs[int(np.argmin(bits))] and abs(got[r.doc_id].bits - min(bits)) < 1e-3
+        assert np.allclose(m.entropies([codes[3:]])[0][0], bits, atol=1e-3)
 
 
 def test_long_texts_are_scored_in_parts(spark, monkeypatch):
@@ -165,6 +216,43 @@ def test_quality_keeps_good_and_drops_bad(spark):
     assert sum(not r.kept for r in bad) >= 0.7 * len(bad)
 
 
+def plain_features(text):
+    """The trees' features, from words and lines."""
+    n, chars, symbols, dups, repeats = plain_statistics(text)
+    text = text or ""
+    words = [w for w in re.split("[\\x20\\x09-\\x0D]+", text) if w]
+    lines = sum(1 for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r"))
+    c, w, has = max(chars, 1), max(n, 1), lambda kinds: sum(x in kinds for x in text)
+    return [np.log1p(n), chars / w, symbols / c, dups / max(lines, 1), repeats / w, has("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / c, has("0123456789") / c, has("!?,;:.\"'()-") / c, n / max(lines, 1), len(set(words)) / w, min(max((len(x.encode()) for x in words), default=0), 1000), has(".!?") / w]
+
+
+def test_whole_query_matches_plain_rules_and_walked_trees(spark):
+    docs = table(spark, SF, "documents")
+    t = quality.fit_quality(docs, table(spark, SF, "labels"))
+    got = {r.doc_id: r for r in queries.op9_quality_rules(spark, SF).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        base, x, score = plain_statistics(r.text), plain_features(r.text), t.prior
+        for node in t.roots:
+            while t.feature[node] >= 0:
+                node = t.left[node] if x[t.feature[node]] <= t.cut[node] else t.right[node]
+            score += t.value[node]
+        failed = base[0] < 20 or 100 * base[4] > 30 * base[0]
+        q = got[r.doc_id]
+        assert [q.n_words, q.word_chars, q.n_symbols, q.n_dup_lines, q.n_repeat_words] == base and q.base_failed == failed
+        assert q.kept == (not failed and score >= t.threshold) or abs(score - t.threshold) < 1e-9
+
+
+def test_threshold_comes_from_rows_the_trees_have_not_seen():
+    rng = np.random.default_rng(2)
+    x, y = rng.random((4000, 4)), (rng.random(4000) < 0.7).astype(float)
+    t = quality.fit_trees(x, y, [0] * 4, trees=60, keep=0.9)
+    held = np.random.default_rng(1).permutation(4000) % 5 == 0
+    assert abs((t.score(x[held & (y == 1)]) >= t.threshold).mean() - 0.9) < 0.01 or t.threshold == 0
+    assert quality.fit_trees(x[:60], y[:60], [0] * 4) is not None
+
+
 def test_awkward_quality(spark):
     docs = awkward(spark)
     labels = spark.createDataFrame([(1, 1), (1, 0), (3, 0), (None, 1), (6, None)], "doc_id long, quality int")
@@ -188,7 +276,35 @@ def test_stages_take_awkward_documents(spark, tmp_path):
             out.write.parquet(f"{tmp_path}/{k}{name}")
 
 
-def test_pipeline_runs_and_keeps_its_order(spark):
-    rows = corpus_pipeline.run(spark, SF).collect()
-    docs = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
-    assert rows and all(zlib.crc32(docs[r.doc_id].encode()) == r.decoded_crc32 and r.n_pieces == len(r.ids) for r in rows)
+def test_pipeline_matches_stages_by_brute_force(spark):
+    docs = table(spark, SF, "documents")
+    rows = docs.collect()
+    model = queries.language_model(docs)
+    kept = [r for r, bad in zip(rows, language._predict(model, [r.text for r in rows])[3]) if not bad]
+    now = corpus_pipeline.identify_language(spark, docs, SF)
+    assert sorted(r.doc_id for r in now.collect()) == sorted(r.doc_id for r in kept)
+    trees = quality.fit_quality(now, table(spark, SF, "labels"))
+    good = []
+    for r in kept:
+        base = plain_statistics(r.text)
+        if base[0] >= 20 and 100 * base[4] <= 30 * base[0] and trees.score(np.array([plain_features(r.text)]))[0] >= trees.threshold:
+            good.append(r)
+    now = corpus_pipeline.apply_quality(spark, now, SF)
+    assert sorted(r.doc_id for r in now.collect()) == sorted(r.doc_id for r in good)
+    sets = []
+    for r in good:
+        w = [x for x in re.split("[\\x20\\x09-\\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r.text)) if x]
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    of = roots(range(len(good)), [(i, j) for i in range(len(good)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    least = {}
+    for i, r in enumerate(good):
+        least[of[i]] = min(least.get(of[i], r.doc_id), r.doc_id)
+    now = corpus_pipeline.drop_near_duplicates(spark, now, SF)
+    assert sorted(r.doc_id for r in now.collect()) == sorted(least.values())
+    copies = {r.doc_id: r.copies for r in mixing.mix(now).collect()}
+    mixed = [r.doc_id for r in corpus_pipeline.mix_sources(spark, now, SF).collect()]
+    assert {d: mixed.count(d) for d in copies} == copies
+    texts, vocabulary = {r.doc_id: r.text for r in rows}, queries.piece_vocabulary()
+    out = corpus_pipeline.run(spark, SF).collect()
+    assert sorted(r.doc_id for r in out) == sorted(mixed)
+    assert all(r.ids == vocabulary.encode(texts[r.doc_id]) and r.n_pieces == len(r.ids) and r.decoded_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in out)

@@ -50,6 +50,38 @@ def test_mix_reaches_targets_and_agrees(spark, monkeypatch, block):
         assert size == source_size and abs(sum(taken) - target) <= 2 * largest
 
 
+def test_every_outcome_keeps_the_totals():
+    """All outcomes of small flights and landings against all subsets: totals as near as two documents allow."""
+    rng = np.random.default_rng(8)
+    for trial in range(30):
+        size, p = rng.integers(1, 60, 6), rng.random(6)
+        subsets = [np.array([k >> i & 1 for i in range(6)]) for k in range(64)]
+        fits = {tuple(s) for s in subsets if abs(s.sum() - p.sum()) < 2 and abs(s @ size - p @ size) <= 2 * size.max()}
+        for k in range(60):
+            got = mixing.land(size, mixing.fly(size, p, np.random.default_rng([trial, k])), np.random.default_rng([trial, k, 1]))
+            assert tuple(got.astype(int)) in fits
+
+
+@pytest.mark.parametrize("block", [20_000, 12])
+def test_mix_balances_documents_and_words_in_each_block(spark, monkeypatch, block):
+    monkeypatch.setattr(mixing, "BLOCK", block)
+    docs = table(spark, SF, "documents")
+    by = {}
+    for r in mixing.mix(docs).collect():
+        by.setdefault(r.source, []).append((r["size"], r.copies, r.target / r.source_size if r["size"] else 0.0))
+    for rows in by.values():
+        assert all(int(rate + 1e-9) <= copies <= int(rate + 1e-9) + 1 for _, copies, rate in rows)
+        # Only the last two documents of a source are settled by a draw.
+        assert abs(sum(c for _, c, _ in rows) - sum(rate for _, _, rate in rows)) < 2 + 1e-6
+        assert abs(sum(s * c for s, c, _ in rows) - sum(s * rate for s, _, rate in rows)) <= 2 * max(s for s, _, _ in rows)
+
+
+def test_too_many_sources_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SOURCES", 3)
+    with pytest.raises(ValueError):
+        mixing.mix(spark.createDataFrame([(k, "a b", str(k)) for k in range(4)], "doc_id long, text string, source string"))
+
+
 _words: dict = {}
 
 
