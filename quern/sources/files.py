@@ -75,13 +75,14 @@ def split_csv(text: str, delimiter: str = ",") -> list[list[tuple[str, bool]]]:
     return [r for r in rows if r != [("", False)]]
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, strict: bool = False, encoding: str = "UTF-8", nulls: tuple[str, ...] = ()) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, strict: bool = False, encoding: str = "UTF-8", nulls: tuple[str, ...] = (), lines: bool = False) -> DataFrame:
     """A CSV file with a header as nullable text columns.
 
     The delimiter is the more frequent of ``,`` and ``;`` in the header unless it is given.  The fast way is Spark's reader.  The
     strict way tells an unquoted empty field (null) from a quoted one (empty text), pads short rows with nulls, and fails as a
     whole on bad quoting or long rows; a file is one task there, as only its start tells where quotes stand, and may have 2 GB at
-    most (the size of a binary value).
+    most (the size of a binary value).  With ``lines`` a record is a line, so files of any size are split over tasks; a line break
+    in quotes is an error then, and lines that equal the header are left out.
     """
     head = spark.read.option("encoding", encoding).text(path).first()
     first = head[0].lstrip("﻿") if head else ""
@@ -90,16 +91,24 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, stric
         return spark.read.csv(path, header=True, sep=delimiter, quote='"', escape='"', multiLine=True, encoding=encoding)
     names = [v for v, _ in split_csv(first, delimiter)[0]] if first else []
 
+    def table(rows: list[list[tuple[str, bool]]]) -> pd.DataFrame:
+        if any(len(r) > len(names) for r in rows):
+            raise ValueError("a row has more fields than the header")
+        out = [[None if (not q and (v == "" or v.lower() in nulls)) else v for v, q in r] + [None] * (len(names) - len(r)) for r in rows]
+        return pd.DataFrame(out, columns=names, dtype=object)
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for data in pdf.content:
-                rows = split_csv(bytes(data).decode(encoding).lstrip("﻿"), delimiter)[1:]
-                if any(len(r) > len(names) for r in rows):
-                    raise ValueError("a row has more fields than the header")
-                out = [[None if (not q and (v == "" or v.lower() in nulls)) else v for v, q in r] + [None] * (len(names) - len(r)) for r in rows]
-                yield pd.DataFrame(out, columns=names, dtype=object)
+                yield table(split_csv(bytes(data).decode(encoding).lstrip("﻿"), delimiter)[1:])
+
+    def run_lines(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield table([r for x in pdf.value if x.lstrip("﻿") != first for r in split_csv(x, delimiter)])
 
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    if lines:
+        return spark.read.option("encoding", encoding).text(path).filter("value <> ''").mapInPandas(run_lines, schema)
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
 
 

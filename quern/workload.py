@@ -505,6 +505,13 @@ def _(spark, d):
     return files.read_csv(spark, path, ",", strict=True)
 
 
+@_frame("csv_lines", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, nullif(c_mktsegment, 'BUILDING') AS c_mktsegment FROM customer")
+def _(spark, d):
+    path = shared(spark)
+    files.write_csv(load(spark, d, "customer").selectExpr("c_custkey", "c_name", "nullif(c_mktsegment, 'BUILDING') AS c_mktsegment"), path)
+    return files.read_csv(spark, path, strict=True, lines=True)
+
+
 @_frame("parquet_roundtrip", "SELECT * FROM part")
 def _(spark, d):
     path = shared(spark)

@@ -424,6 +424,12 @@ def test_csv_contract(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id;name;note\n1;;""\n2;"x;""y""\nz"\n3;null;q\n', encoding="utf-8")
     got = files.read_csv(spark, str(tmp_path / "a.csv"), strict=True, nulls=("null",))
     assert [tuple(r) for r in got.collect()] == [("1", None, ""), ("2", 'x;"y"\nz', None), ("3", None, "q")]
+    (tmp_path / "l.csv").write_text('a,b\n1,\n"","x,""y"\n\n3\n', encoding="utf-8")
+    for lines in (True, False):
+        got = files.read_csv(spark, str(tmp_path / "l.csv"), strict=True, lines=lines)
+        assert sorted((tuple(r) for r in got.collect()), key=repr) == [("", 'x,"y'), ("1", None), ("3", None)]
+    with pytest.raises(Exception):
+        files.read_csv(spark, str(tmp_path / "a.csv"), strict=True, lines=True).collect()
     for bad in ('a,b\n1,2,3\n', 'a,b\n"x"y,1\n', 'a,b\n"x,1\n', 'a,b\nx"y,1\n'):
         (tmp_path / "bad.csv").write_text(bad)
         with pytest.raises(Exception):
