@@ -85,12 +85,15 @@ class Engine:
         return s.read.parquet(*[f"{self.database.path}/{f}" for f in self.database.state()[1][name]])
 
     def information_schema(self) -> None:
-        """Views information_schema_tables and information_schema_columns of the tables as they are now."""
+        """Views information_schema_tables, information_schema_columns, pg_class and pg_namespace of the tables as they are now."""
         schemas = {n: self._frame(self.spark, n).schema for n in self.tables()}
         t = [("quern", "public", n, "BASE TABLE") for n in schemas]
         c = [("quern", "public", n, f.name, k, f.dataType.simpleString(), "YES" if f.nullable else "NO") for n, s in schemas.items() for k, f in enumerate(s.fields, 1)]
         self.spark.createDataFrame(t, "table_catalog string, table_schema string, table_name string, table_type string").createOrReplaceTempView("information_schema_tables")
         self.spark.createDataFrame(c, "table_catalog string, table_schema string, table_name string, column_name string, ordinal_position int, data_type string, is_nullable string").createOrReplaceTempView("information_schema_columns")
+        # The numbers of the schemas, and of the first table.
+        self.spark.createDataFrame([(11, "pg_catalog", 10), (2200, "public", 10)], "oid bigint, nspname string, nspowner bigint").createOrReplaceTempView("pg_namespace")
+        self.spark.createDataFrame([(16384 + k, n, 2200, "r") for k, n in enumerate(schemas)], "oid bigint, relname string, relnamespace bigint, relkind string").createOrReplaceTempView("pg_class")
 
     # Ingest
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..operators.dml import Database
 from ..operators.match import MatchRule, match
 from ..operators.scd2 import Scd2, apply_scd2
-from ..sources.connectors import open_connector
+from ..sources.connectors import Connections, Connector, open_connector
 from .store import Store
 from .templates import fill_vars, render
 
@@ -42,7 +42,7 @@ class Step:
     """One step of a pipeline.
 
     sql: a query, or a template with ``params``; fn: a callable from the frames of its dependencies (or of its own query);
-    source: a callable or a connector's settings (``connector``, ``entity`` and its own); cursor: a column whose largest value so
+    source: a callable or a connector's settings (``connector`` or ``connection``, ``entity`` and its own); cursor: a column whose largest value so
     far is remembered, so that only rows above it are read; match: rules; scd2: a history kept in ``target``; sink: a callable or a
     connector's settings, with ``mode`` append or overwrite, or ``key`` for an upsert; target: the name of the result.
     """
@@ -88,6 +88,7 @@ class Pipeline:
     log: list[tuple[str, str]] = field(default_factory=list)
     database: Database | None = None
     state: Store | None = None
+    connections: Connections | None = None
 
     @staticmethod
     def from_dict(spec: Mapping[str, object], functions: Mapping[str, Callable] | None = None, **kw) -> Pipeline:
@@ -200,20 +201,28 @@ class Pipeline:
             step.sink(df)
         elif step.sink:
             settings = dict(step.sink)
-            kind, entity, key = settings.pop("connector"), settings.pop("entity", None), tuple(settings.pop("key", ()))
-            open_connector(spark, kind, **settings).write(df, entity, mode=step.mode, key=key)
+            entity, key = settings.pop("entity", None), tuple(settings.pop("key", ()))
+            self._open(spark, settings).write(df, entity, mode=step.mode, key=key)
         elif step.target and self.database:
             self.database.write(step.target, df, "overwrite" if step.scd2 else step.mode)
             df = self.database.read(step.target)
         return df
 
+    def _open(self, spark: SparkSession, settings: dict) -> Connector:
+        """The connector of a named connection, or of a kind with settings of its own."""
+        if "connection" in settings:
+            if not self.connections:
+                raise ValueError("the pipeline has no connections")
+            return self.connections.open(settings.pop("connection"), **settings)
+        return open_connector(spark, settings.pop("connector"), **settings)
+
     def _read(self, spark: SparkSession, step: Step, cursors: dict) -> DataFrame:
         if callable(step.source):
             df = step.source(spark)
         else:
             settings = dict(step.source)
-            kind, entity = settings.pop("connector"), settings.pop("entity", None)
-            df = open_connector(spark, kind, **settings).read(entity)
+            entity = settings.pop("entity", None)
+            df = self._open(spark, settings).read(entity)
         if step.cursor:
             df, top = incremental(df, step.cursor, cursors.get(step.id))
             if top is not None:
@@ -225,6 +234,33 @@ class Pipeline:
         return apply_scd2(source, known, step.scd2, F.lit(_clock(now)).cast("timestamp_ntz"))
 
 
+class Specs:
+    """Pipelines and templates kept as YAML in a store."""
+
+    def __init__(self, store: Store):
+        self.store = store
+
+    def save(self, name: str, text: str) -> int:
+        """Keeps a pipeline's text, which may hold ``{{ vars }}``; the number of its version."""
+        Pipeline.from_yaml(text)
+        return self.store.write(f"spec-{name}", text)
+
+    def names(self) -> list[str]:
+        return [n.removeprefix("spec-") for n in self.store.names() if n.startswith("spec-")]
+
+    def text(self, name: str) -> str:
+        _, text = self.store.read(f"spec-{name}")
+        if text is None:
+            raise KeyError(f"no pipeline {name}")
+        return text
+
+    def load(self, name: str, values: Mapping[str, object] | None = None, **kw) -> Pipeline:
+        return Pipeline.from_yaml(self.text(name), values, **kw)
+
+    def delete(self, name: str) -> bool:
+        return self.store.delete(f"spec-{name}")
+
+
 def _clock(seconds: float) -> str:
     return datetime.fromtimestamp(seconds, UTC).strftime("%Y-%m-%d %H:%M:%S")
 

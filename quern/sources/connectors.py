@@ -6,10 +6,13 @@ be reached.  New kinds are added with ``register_connector``.
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.store import Store
 from . import files, remote
 
 
@@ -123,6 +126,13 @@ class Database(Connector):
     def read(self, entity: str | None = None) -> DataFrame:
         return self.jdbc.read(self.spark, entity, partition=self.partition)
 
+    def changes(self, slot: str, most: int = 100_000) -> DataFrame:
+        """(lsn, xid, data) that wait in a logical slot, without taking them; ``confirm`` takes what was applied."""
+        return self.spark.read.format("jdbc").options(url=self.jdbc.url, dbtable=f"({remote.slot_query(slot, most)}) q", **dict(self.jdbc.properties)).load()
+
+    def confirm(self, slot: str, lsn: str) -> None:
+        self.jdbc.execute(self.spark, [remote.confirm_statement(slot, lsn)])
+
     def write(self, df: DataFrame, entity: str | None = None, mode: str = "append", key: Sequence[str] = ()) -> None:
         if key:
             self.jdbc.upsert(df, entity, list(key))
@@ -199,7 +209,17 @@ def _no_key(key: Sequence[str]) -> None:
         raise ValueError("files have no keys; upsert into a table instead")
 
 
-CONNECTORS: dict[str, Callable[..., Connector]] = {"csv": Csv, "parquet": Parquet, "xml": Xml, "jdbc": Database, "kafka": Kafka, "json_http": JsonHttp, "soap": Soap, "eai": Eai}
+class XmlHttp(JsonHttp):
+    """row_tag: the element of a row, by default the most frequent child of the root; the driver fetches one document."""
+
+    def read(self, entity: str | None = None) -> DataFrame:
+        return remote.read_xml_http(self.spark, self._at(entity), self.settings.get("row_tag"), self.fetch)
+
+    def write(self, df: DataFrame, entity: str | None = None, mode: str = "append", key: Sequence[str] = ()) -> None:
+        remote.post_soap(df, self._at(entity), self.settings.get("root_tag", "rows"), send=self.fetch, envelope=False)
+
+
+CONNECTORS: dict[str, Callable[..., Connector]] = {"csv": Csv, "parquet": Parquet, "xml": Xml, "jdbc": Database, "kafka": Kafka, "json_http": JsonHttp, "xml_http": XmlHttp, "soap": Soap, "eai": Eai}
 for _dialect in ("postgresql", "greenplum", "mssql", "oracle"):
     CONNECTORS[_dialect] = lambda spark, url, _d=_dialect, **kw: Database(spark, url, _d, **kw)
 
@@ -212,3 +232,28 @@ def open_connector(spark: SparkSession, kind: str, **settings) -> Connector:
     if kind not in CONNECTORS:
         raise ValueError(f"unknown connector {kind}; there are {sorted(CONNECTORS)}")
     return CONNECTORS[kind](spark, **settings)
+
+
+class Connections:
+    """Named settings of connectors, kept in a store.  ``${NAME}`` in a value is the environment's, so that secrets aren't kept."""
+
+    def __init__(self, spark: SparkSession, store: Store):
+        self.spark, self.store = spark, store
+
+    def save(self, name: str, kind: str, **settings) -> None:
+        if kind not in CONNECTORS:
+            raise ValueError(f"unknown connector {kind}")
+        self.store.write(f"connection-{name}", {"kind": kind, "settings": settings})
+
+    def names(self) -> list[str]:
+        return [n.removeprefix("connection-") for n in self.store.names() if n.startswith("connection-")]
+
+    def delete(self, name: str) -> bool:
+        return self.store.delete(f"connection-{name}")
+
+    def open(self, name: str, **more) -> Connector:
+        _, found = self.store.read(f"connection-{name}")
+        if not found:
+            raise KeyError(f"no connection {name}")
+        fill = lambda v: re.sub(r"\$\{(\w+)\}", lambda m: os.environ[m[1]], v) if isinstance(v, str) else v
+        return open_connector(self.spark, found["kind"], **{k: fill(v) for k, v in (found["settings"] | more).items()})

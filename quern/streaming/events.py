@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_trigger: int = 100) -> DataFrame:
@@ -93,3 +95,26 @@ def consume(stream: DataFrame, checkpoint: str, apply: Callable[[DataFrame], Non
     A batch whose commit was lost is handed over again (at least once), so ``apply`` should be an upsert.
     """
     return stream.writeStream.foreachBatch(lambda df, _: apply(df)).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+class Progress(StreamingQueryListener):
+    """Keeps the latest progress of a session's streams (a ring of bounded size) and tells callbacks of each."""
+
+    def __init__(self, most: int = 3_600):
+        self.seen: deque[dict] = deque(maxlen=most)
+        self.listeners: list[Callable[[dict], None]] = []
+
+    def _tell(self, what: dict) -> None:
+        self.seen.append(what)
+        for f in self.listeners:
+            f(what)
+
+    def onQueryStarted(self, event) -> None:
+        self._tell({"event": "started", "id": str(event.id)})
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self._tell({"event": "progress", "id": str(p.id), "batch": p.batchId, "rows": p.numInputRows, "per_second": p.processedRowsPerSecond})
+
+    def onQueryTerminated(self, event) -> None:
+        self._tell({"event": "failed" if event.exception else "ended", "id": str(event.id)})

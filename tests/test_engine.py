@@ -601,3 +601,61 @@ def test_paged_services(spark):
         assert sorted(r["id"] for r in posted) == list(range(95))
     finally:
         server.shutdown()
+
+
+def test_connections_and_specs(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "st"))
+    monkeypatch.setenv("QUERN_TEST_DIR", str(tmp_path / "in"))
+    spark.createDataFrame([(1, "a"), (2, "b")], "id int, s string").write.parquet(str(tmp_path / "in"))
+    c = connectors.Connections(spark, store)
+    c.save("lake", "parquet", path="${QUERN_TEST_DIR}")
+    assert c.names() == ["lake"] and c.open("lake").read().count() == 2 and "QUERN_TEST_DIR" in str(store.read("connection-lake"))
+    specs = pipeline.Specs(store)
+    specs.save("copy", "name: copy\nvars: {least: 1}\nsteps:\n- {id: a, source: {connection: lake}}\n- {id: b, sql: 'SELECT * FROM a WHERE id > {{ least }}', deps: [a], sink: {connector: csv, path: " + str(tmp_path / "out") + "}}\n")
+    assert specs.names() == ["copy"] and specs.load("copy", {"least": 0}, connections=c).run(spark).count() == 2
+    specs.load("copy", connections=c).run(spark)
+    assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "out")).collect()] == [("2", "b")]
+    with pytest.raises(ValueError):
+        specs.load("copy").run(spark)
+    assert specs.delete("copy") and c.delete("lake")
+    for bad in (lambda: c.open("lake"), lambda: specs.text("copy")):
+        with pytest.raises(KeyError):
+            bad()
+    with pytest.raises(ValueError):
+        c.save("x", "nope")
+
+
+def test_slots_xml_services_and_catalog_numbers(spark, tmp_path):
+    assert "peek_changes('it''s', NULL, 5)" in remote.slot_query("it's", 5) and "'0/1'::pg_lsn" in remote.confirm_statement("s", "0/1")
+    out = str(tmp_path / "sent")
+
+    def send(url, body, headers):
+        if body:
+            with open(out, "a") as f:
+                f.write(body.decode())
+        return b"<r><i><a>1</a></i><i><a>2</a><b>x</b></i></r>"
+
+    c = connectors.open_connector(spark, "xml_http", url="u", fetch=send)
+    assert [tuple(r) for r in c.read().collect()] == [("1", None), ("2", "x")] and c.ping()[0]
+    c.write(spark.createDataFrame([(1, "<")], "a int, b string"))
+    assert open(out).read() == '<?xml version="1.0" encoding="UTF-8"?><rows><row><a>1</a><b>&lt;</b></row></rows>'
+    e = engine.Engine(spark, database=dml.Database(spark, str(tmp_path / "db")))
+    e.database.write("cat_t", spark.range(1))
+    e.information_schema()
+    assert [tuple(r) for r in e.sql("SELECT relname, nspname FROM pg_class JOIN pg_namespace n ON relnamespace = n.oid").collect()] == [("cat_t", "public")]
+
+
+def test_stream_progress_is_told(spark, tmp_path):
+    p, told = events.Progress(), []
+    p.listeners.append(told.append)
+    spark.streams.addListener(p)
+    try:
+        spark.range(3).write.parquet(str(tmp_path / "in"))
+        events.run_available(events.file_stream(spark, str(tmp_path / "in"), "id long"), str(tmp_path / "c"), lambda df, k: df.count())
+        for _ in range(100):
+            if told and told[-1]["event"] == "ended":
+                break
+            time.sleep(0.1)
+        assert [t["event"] for t in told][0] == "started" and told[-1]["event"] == "ended" and sum(t.get("rows", 0) for t in told) == 3
+    finally:
+        spark.streams.removeListener(p)
