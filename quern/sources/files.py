@@ -75,18 +75,30 @@ def split_csv(text: str, delimiter: str = ",") -> list[list[tuple[str, bool]]]:
     return [r for r in rows if r != [("", False)]]
 
 
+#: The character sets that Spark's own readers know.
+SPARK_CHARSETS = ("utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32")
+
+
+def _first_line(spark: SparkSession, path: str, encoding: str, most: int = 1 << 20) -> str:
+    """The first line of the first file that has bytes."""
+    head = spark.read.format("binaryFile").load(path).filter("length > 0").orderBy("path").select(F.substring("content", 1, most).alias("head")).first()
+    return bytes(head[0]).decode(encoding, "ignore").lstrip("\ufeff").split("\n")[0].rstrip("\r") if head else ""
+
+
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, strict: bool = False, encoding: str = "UTF-8", nulls: tuple[str, ...] = (), lines: bool = False) -> DataFrame:
-    """A CSV file with a header as nullable text columns.
+    """CSV files with a header (of up to a megabyte) as nullable text columns.
 
+    Encodings that Spark's readers don't know, such as code pages, are read the strict way, a file as one task.
     The delimiter is the more frequent of ``,`` and ``;`` in the header unless it is given.  The fast way is Spark's reader.  The
     strict way tells an unquoted empty field (null) from a quoted one (empty text), pads short rows with nulls, and fails as a
     whole on bad quoting or long rows; a file is one task there, as only its start tells where quotes stand, and may have 2 GB at
     most (the size of a binary value).  With ``lines`` a record is a line, so files of any size are split over tasks; a line break
     in quotes is an error then, and lines that equal the header are left out.
     """
-    head = spark.read.option("encoding", encoding).text(path).first()
-    first = head[0].lstrip("﻿") if head else ""
+    first = _first_line(spark, path, encoding)
     delimiter = delimiter or (";" if first.count(";") > first.count(",") else ",")
+    if encoding.lower() not in SPARK_CHARSETS:
+        strict, lines = True, False
     if not strict:
         return spark.read.csv(path, header=True, sep=delimiter, quote='"', escape='"', multiLine=True, encoding=encoding)
     names = [v for v, _ in split_csv(first, delimiter)[0]] if first else []
@@ -108,7 +120,9 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, stric
 
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     if lines:
-        return spark.read.option("encoding", encoding).text(path).filter("value <> ''").mapInPandas(run_lines, schema)
+        if encoding.lower() not in ("utf-8", "us-ascii"):
+            raise ValueError("files are split by lines in UTF-8 only")
+        return spark.read.text(path).filter("value <> ''").mapInPandas(run_lines, schema)
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
 
 

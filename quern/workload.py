@@ -6,16 +6,20 @@ DataFrame API or by an operator.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar, similarity, tables
 from .operators import datamart, dml, match, mdm, profile, scd2
-from .plans import engine, pipeline, templates
+from .plans import engine, pipeline, templates, triggers
 from .plans.store import Store
 from .session import load, register
 from .sources import connectors, files, remote
@@ -604,3 +608,182 @@ def _(spark, d):
     slot = c.select(F.concat(F.lit("A/"), F.hex("c_custkey")).alias("lsn"), data.alias("data"))
     changes = events.parse_changes(slot, "public.cust", ["c_custkey", "c_mktsegment"]).withColumn("c_custkey", F.col("c_custkey").cast("bigint"))
     return events.apply_changes(c, changes, ["c_custkey"])
+
+
+def _plain(path: str) -> str:
+    """The shared folder as a path for open(), where it is a file system's."""
+    return path.removeprefix("file:").replace("//", "/")
+
+
+# Services, triggers and the query surface; services are stood in for by functions that answer from a table
+def _service(spark, d, shape):
+    """A fetch function over the nations, ten a page; ``shape`` makes a page's body from its rows."""
+    rows = [r.asDict() for r in load(spark, d, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()]
+
+    def fetch(url, body, headers):
+        numbers = [int(n) for n in re.findall(r"(?:offset=|StartRowNum=|<start>)(\d+)", url + (body or b"").decode())]
+        return shape(rows[numbers[0] : numbers[0] + 10])
+
+    return fetch
+
+
+_NATIONS = "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation"
+_frame("source_json_http", _NATIONS)(lambda s, d: connectors.open_connector(s, "json_http", url="http://nations", data_path="data.rows", page_size=10, fetch=_service(s, d, lambda rows: json.dumps({"data": {"rows": rows}}).encode())).read())
+_frame("source_eai", _NATIONS)(lambda s, d: connectors.open_connector(s, "eai", url="http://nations", page_size=10, fetch=_service(s, d, lambda rows: json.dumps({"items": rows}).encode())).read())
+_frame("source_soap", _NATIONS)(
+    lambda s, d: connectors.open_connector(s, "soap", url="http://nations", template="<q><start>{StartRow}</start></q>", row_tag="row", page_size=10, fetch=_service(s, d, lambda rows: remote.soap_envelope(rows, "Nations").encode())).read()
+)
+
+
+@_frame("sink_http", "SELECT n_nationkey, n_name FROM nation")
+def _(spark, d):
+    """Rows posted as JSON arrays, which the receiver keeps one a line in files of its own."""
+    path = _plain(shared(spark))
+    os.makedirs(path)
+
+    def send(url, body, headers):
+        with open(f"{path}/{uuid.uuid4().hex}.json", "wb") as f:
+            f.write(body)
+        return b"{}"
+
+    connectors.open_connector(spark, "json_http", url="http://nations", fetch=send).write(load(spark, d, "nation").select("n_nationkey", "n_name"))
+    return spark.read.schema("n_nationkey int, n_name string").option("multiLine", True).json(path)
+
+
+@_frame("csv_encoding", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, 'страна, при море ' || n_name AS n_name FROM nation")
+def _(spark, d):
+    """A file in a code page, which is detected."""
+    path = _plain(shared(spark))
+    os.makedirs(path)
+    with open(f"{path}/nation.csv", "w", encoding="cp1251") as f:
+        f.writelines(["n_nationkey,n_name\n", *(f'{r[0]},"страна, при море {r[1]}"\n' for r in load(spark, d, "nation").select("n_nationkey", "n_name").collect())])
+    e = engine.Engine(spark, database=dml.Database(spark, f"{path}-db"))
+    e.ingest_csv("nat", path)
+    return e.sql("SELECT * FROM nat")
+
+
+@_frame("agg_approx_within", "SELECT TRUE AS parts, TRUE AS median")
+def _(spark, d):
+    """Estimates within five hundredths of the exact values."""
+    li = load(spark, d, "lineitem")
+    near = lambda a, b: F.abs(a - b) <= 0.05 * b
+    return li.agg(near(F.approx_count_distinct("l_partkey", 0.02), F.count_distinct("l_partkey")).alias("parts"), near(F.percentile_approx("l_extendedprice", 0.5), F.percentile("l_extendedprice", 0.5)).alias("median"))
+
+
+@_frame("page_cap", "SELECT o_orderkey, TRUE AS truncated FROM orders ORDER BY o_orderkey LIMIT 20")
+def _(spark, d):
+    e = engine.Engine(spark)
+    e.register("orders", f"{d}/orders.parquet")
+    rows, more = e.page("SELECT o_orderkey FROM orders ORDER BY o_orderkey", 20)
+    return spark.createDataFrame([(r["o_orderkey"], more) for r in rows], "o_orderkey bigint, truncated boolean")
+
+
+@_frame("acl_tables", "SELECT * FROM (VALUES ('nation', TRUE), ('orders', FALSE), ('region', FALSE)) AS t(name, allowed)")
+def _(spark, d):
+    """What a role may select from; a table without a grant does not exist for it."""
+    e = engine.Engine(spark, engine.Policy(grants=(("clerk", "nat*", frozenset({"select"})), ("clerk", "reg*", frozenset({"insert"})))))
+    rows = []
+    for t in ("nation", "orders", "region"):
+        e.register(t, f"{d}/{t}.parquet")
+        try:
+            rows.append((t, e.sql(f"SELECT * FROM {t}", principal=engine.Principal("c", "clerk")).limit(1).count() == 1))
+        except AnalysisException:
+            rows.append((t, False))
+    return spark.createDataFrame(rows, "name string, allowed boolean")
+
+
+@_frame("arrow_export", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment")
+def _(spark, d):
+    e = engine.Engine(spark)
+    e.register("customer", f"{d}/customer.parquet")
+    return spark.createDataFrame(e.arrow("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment"))
+
+
+@_frame("api_tables", "SELECT 'nation' AS name, name AS column_name FROM pragma_table_info('nation') UNION ALL SELECT 'region', name FROM pragma_table_info('region')")
+def _(spark, d):
+    e = engine.Engine(spark)
+    for t in ("nation", "region", "part"):
+        e.register(t, f"{d}/{t}.parquet")
+    e.drop("part")
+    return spark.createDataFrame([(t, c) for t in e.tables() for c, _ in e.schema(t)], "name string, column_name string")
+
+
+@_frame("connector_describe", "SELECT 'customer.parquet' AS entity, name AS column_name FROM pragma_table_info('customer')")
+def _(spark, d):
+    c = connectors.open_connector(spark, "parquet", path=d)
+    entity = next(e for e in c.entities() if e.startswith("customer"))
+    return spark.createDataFrame([(entity, n) for n, _ in c.describe(entity)], "entity string, column_name string")
+
+
+@_frame("pipeline_retry", "SELECT n_name FROM nation WHERE n_regionkey = 2")
+def _(spark, d):
+    """A step that fails twice with a passing error."""
+    tries = []
+
+    def source(s):
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("connection reset")
+        return load(s, d, "nation")
+
+    steps = [pipeline.Step("nat", source=source, retries=3), pipeline.Step("out", sql="SELECT n_name FROM nat WHERE n_regionkey = {region}", deps=("nat",), params={"region": 2})]
+    return pipeline.Pipeline("retry", steps).run(spark, wait=lambda seconds: None)
+
+
+@_frame("trigger_runs", "SELECT * FROM (VALUES (600, 'nightly'), (600, 'poll'), (660, 'files'), (900, 'nightly'), (900, 'poll')) AS t(moment, name)")
+def _(spark, d):
+    """What cron, interval and file triggers start as the clock goes on."""
+    path = shared(spark)
+    runner = triggers.Runner(spark, Store(spark, f"{path}/state"))
+    one = lambda name: pipeline.Pipeline(name, [pipeline.Step("x", sql="SELECT 1 AS one")])
+    runner.add(one("nightly"), triggers.Trigger("nightly", "cron", "*/5 * * * *"))
+    runner.add(one("poll"), triggers.Trigger("poll", "interval", "300"))
+    runner.add(one("files"), triggers.Trigger("files", "file", f"{path}/in/*.parquet"))
+    rows = []
+    for at in (600, 660, 720, 900):
+        if at == 660:
+            load(spark, d, "region").coalesce(1).write.parquet(f"{path}/in")
+        rows += [(at, name) for name in runner.tick(float(at))]
+    return spark.createDataFrame(rows, "moment int, name string")
+
+
+@_frame("datamart_on_write", "SELECT c_mktsegment, count(*) AS n FROM (SELECT c_mktsegment FROM customer UNION ALL SELECT 'NEW') GROUP BY c_mktsegment")
+def _(spark, d):
+    """An insert through the engine refreshes the marts of its table."""
+    path = shared(spark)
+    db = dml.Database(spark, f"{path}/db")
+    db.write("mart_customer", load(spark, d, "customer").select("c_custkey", "c_mktsegment"))
+    e, runner = engine.Engine(spark, database=db), triggers.Runner(spark, Store(spark, f"{path}/state"))
+    runner.marts["segments"] = datamart.Datamart("segments", "SELECT c_mktsegment, count(*) AS n FROM mart_customer GROUP BY c_mktsegment", f"{path}/mart", "on_write", sources=("mart_customer",), stale=False)
+    e.written.append(runner.table_written)
+    e.execute("INSERT INTO mart_customer VALUES (-1, 'NEW')")
+    return dml.Table(spark, f"{path}/mart").read()
+
+
+@_frame("connection_pipeline", "SELECT r_name, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
+def _(spark, d):
+    """A kept pipeline over a named connection, run from the stores."""
+    store = Store(spark, f"{shared(spark)}/state")
+    lake = connectors.Connections(spark, store)
+    lake.save("lake", "parquet", path=d)
+    specs = pipeline.Specs(store)
+    specs.save("count", "name: count\nsteps:\n- {id: r, source: {connection: lake, entity: region.parquet}}\n- {id: n, source: {connection: lake, entity: nation.parquet}}\n- {id: c, sql: 'SELECT r_name, count(*) AS n FROM r JOIN n ON n_regionkey = r_regionkey GROUP BY r_name', deps: [r, n]}\n")
+    return specs.load("count", connections=lake).run(spark)
+
+
+@_frame("kafka_avro", "SELECT event_id AS kafka_offset, user_id AS id, CASE WHEN user_id % 2 = 0 THEN event_type END AS kind FROM events")
+def _(spark, d):
+    """Avro values made from the events by built-in functions: numbers of seven bits a byte, a union with null, text."""
+    low = lambda n, shift: F.shiftright(n, shift).bitwiseAND(127)
+    two = F.col("user_id") * 2
+
+    def byte(n):
+        return F.unhex(F.lpad(F.hex(n), 2, "0"))
+
+    # user_id stays below 2 ** 20, so its zigzag number has three bytes here, the first two with the mark that more follow.
+    number = F.concat(byte(low(two, 0) + 128), byte(low(two, 7) + 128), byte(low(two, 14)))
+    text = F.encode("event_type", "UTF-8")
+    kind = F.when(F.col("user_id") % 2 == 0, F.concat(F.unhex(F.lit("02")), byte(F.length(text).cast("long") * 2), text)).otherwise(F.unhex(F.lit("00")))
+    messages = load(spark, d, "events").select(F.col("event_id").alias("offset"), F.concat(F.unhex(F.lit("0000000007")), number, kind).alias("value"))
+    schema = {"type": "record", "name": "E", "fields": [{"name": "id", "type": "long"}, {"name": "kind", "type": ["null", "string"]}]}
+    return remote.parse_messages(messages, json.dumps(schema), "avro")

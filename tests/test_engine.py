@@ -236,7 +236,8 @@ def test_statements(spark, tmp_path):
 def test_ingest_results_and_catalog(spark, tmp_path):
     e = engine.Engine(spark, database=dml.Database(spark, str(tmp_path / "db")))
     (tmp_path / "a.csv").write_bytes("id;имя\n1;привет мир\n2;\n".encode("cp1251"))
-    assert e.ingest_csv("in_t", str(tmp_path / "a.csv")) == 2
+    assert e.ingest_csv("in_t", str(tmp_path / "a.csv")) == 2 and e.sql("SELECT * FROM in_t").columns == ["id", "имя"]
+    assert files.read_csv(spark, str(tmp_path / "a.csv"), encoding="cp1251").count() == 2
     (tmp_path / "b.csv").write_text('id\n""\n')
     assert e.ingest_csv("in_t", str(tmp_path / "b.csv")) == 1
     assert sorted((tuple(r) for r in e.sql("SELECT * FROM in_t").collect()), key=repr) == [("", None), ("1", "привет мир"), ("2", None)]
