@@ -21,7 +21,7 @@ from .functions import scalar, similarity, tables
 from .operators import datamart, dml, match, mdm, profile, scd2
 from .plans import engine, pipeline, templates, triggers
 from .plans.store import Store
-from .session import load, register
+from .session import TABLES, load, register
 from .sources import connectors, files, remote
 from .streaming import events
 
@@ -30,8 +30,11 @@ ORACLE: dict[str, str] = {}
 
 
 def _sql(name: str, text: str, duck: str | None = None) -> None:
+    words = set(re.findall(r"\w+", text))
+    named = tuple(t for t in TABLES if t in words)
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register(spark, sf_dir)
+        register(spark, sf_dir, named)
         return spark.sql(text)
 
     run.__name__ = name
