@@ -272,22 +272,23 @@ def _leading(piece: bytes) -> bool:
     return MARK not in piece
 
 
+def encode_batches(batches: Iterator[pa.RecordBatch], vocabulary: Pieces) -> Iterator[pa.RecordBatch]:
+    """Batches (doc_id, ids) of batches (doc_id, text), in slices of bounded size."""
+    memo = WordMemo(vocabulary.encode_chunks)
+    for whole in batches:
+        for b in slices(whole, "text", 2_000_000):
+            chunks = [_CHUNK.findall(vocabulary.prepared(t)) if t else [] for t in b.column(1).to_numpy(zero_copy_only=False)]
+            offsets = np.append(0, np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks))))
+            ids, sizes = memo.ids(pa.array([c for row in chunks for c in row], pa.string()))
+            bounds = np.append(0, np.cumsum(sums(sizes, offsets))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
+
+
 def encode_texts(docs: DataFrame, vocabulary: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids), one row per input row, whole texts.  Null and empty texts have no ids.  Vocabularies have a fixed size."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordMemo(shared.value.encode_chunks)
-        for whole in batches:
-            for b in slices(whole, "text", 2_000_000):
-                chunks = [_CHUNK.findall(shared.value.prepared(t)) if t else [] for t in b.column(1).to_numpy(zero_copy_only=False)]
-                offsets = np.append(0, np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks))))
-                ids, sizes = memo.ids(pa.array([c for row in chunks for c in row], pa.string()))
-                bounds = np.append(0, np.cumsum(sums(sizes, offsets))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda batches: encode_batches(batches, shared.value), "doc_id long, ids array<int>")
 
 
 def decode_texts(coded: DataFrame, vocabulary: Pieces, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, embeddings, language, licenses, mixing, pieces, quality, simhash, tokens, urls
-from .common import shared_dir, table
+from .common import bound_batches, shared_dir, table
 
 #: (verdict, host, path)
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -50,24 +50,27 @@ def piece_vocabulary() -> pieces.Pieces:
 
 
 def piece_digest(docs: DataFrame, vocabulary: pieces.Pieces) -> DataFrame:
-    """doc_id, ids, n_pieces, ids_crc32 (of the ids as little-endian 32-bit integers) and the crc32 of the decoded text."""
-    coded = pieces.encode_texts(docs, vocabulary)
-    shared, skip = docs.sparkSession.sparkContext.broadcast(vocabulary.table()), int(vocabulary.dummy)
+    """doc_id, ids, n_pieces, ids_crc32 (of the ids as little-endian 32-bit integers) and the crc32 of the decoded text.
+
+    The operator's batches are digested by the worker that made them.
+    """
+    bound_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, vocabulary.table()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .wordmemo import ragged
 
-        flat, starts, sizes = shared.value
-        for b in batches:
+        known, (flat, starts, sizes) = shared.value
+        for b in pieces.encode_batches(batches, known):
             lists, crc, text = b.column(1), [], []
             offsets, got = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             for a, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 ids = got[a:e]
                 crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                text.append(zlib.crc32(flat[ragged(starts[ids], sizes[ids])][skip:].tobytes()))
+                text.append(zlib.crc32(flat[ragged(starts[ids], sizes[ids])][int(known.dummy) :].tobytes()))
             yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(text, pa.int64())], ["doc_id", "ids", "n_pieces", "ids_crc32", "decoded_crc32"])
 
-    return coded.mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, ids_crc32 long, decoded_crc32 long")
+    return docs.select(F.col("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, ids_crc32 long, decoded_crc32 long")
 
 
 def language_model(docs: DataFrame) -> language.Model | None:

@@ -28,7 +28,7 @@ class WordMemo:
     forgotten but those of the texts at hand, among which are the frequent ones.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], most: int = 400_000, longest: int = 48, room: int = 4_000_000):
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], most: int = 300_000, longest: int = 48, room: int = 4_000_000):
         self.encode, self.most, self.longest, self.room = encode, most, longest, room
         self.known: dict[str, int] = {}
         self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
