@@ -22,6 +22,8 @@ FEATURES: tuple[tuple[str, int], ...] = (
     ("log_words", 0), ("word_length", 0), ("symbol_share", -1), ("dup_line_share", -1), ("repeat_share", -1), ("upper_share", 0),
     ("digit_share", -1), ("punct_share", 0), ("line_words", 0), ("distinct_share", 1), ("longest_word", 0), ("end_share", 0),
 )
+#: Rows of class 1 that set the threshold, at least.
+LEAST = 40
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 _BYTES = np.arange(256)
@@ -105,10 +107,16 @@ def fit_trees(x: np.ndarray, y: np.ndarray, monotone: list[int], trees: int = 40
     """Boosted trees for log loss; None without both classes.
 
     A split on a constrained feature must order its children's values, and the middle between them bounds both subtrees, so
-    whole trees are monotone.  The threshold keeps at least the share ``keep`` of the rows of class 1.
+    whole trees are monotone.  The trees learn from four fifths of the rows; the threshold keeps at least the share ``keep`` of the
+    other fifth's rows of class 1, which they have not seen.  With fewer than ``LEAST`` such rows all rows do both.
     """
     if not len(y) or y.min() == y.max():
         return None
+    held = np.random.default_rng(1).permutation(len(y)) % 5 == 0
+    if y[held].sum() >= LEAST and y[~held].min() < y[~held].max():
+        unseen, x, y = x[held & (y == 1)], x[~held], y[~held]
+    else:
+        unseen = x[y == 1]
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(edges)], 1)
     rate_1 = y.mean()
@@ -152,9 +160,10 @@ def fit_trees(x: np.ndarray, y: np.ndarray, monotone: list[int], trees: int = 40
         roots.append(grow(np.arange(len(y)), y - p, p * (1 - p), 0, -4.0, 4.0))
         made = Trees(*map(np.array, zip(*nodes, strict=True)), np.array(roots[-1:]), depth, 0.0, 0.0)
         score += made.score(x)
-    good = np.sort(score[y == 1])
-    least = float(good[int((1 - keep) * len(good))])
-    return Trees(*map(np.array, zip(*nodes, strict=True)), np.array(roots), depth, prior, min(0.0, least))
+    out = Trees(*map(np.array, zip(*nodes, strict=True)), np.array(roots), depth, prior, 0.0)
+    good = np.sort(out.score(unseen))
+    out.threshold = min(0.0, float(good[int((1 - keep) * len(good))]))
+    return out
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = 10_000, seed: int = 5) -> Trees | None:
