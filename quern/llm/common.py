@@ -39,6 +39,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def few(df: DataFrame, most: int, what: str) -> list:
+    """The rows of a table that is small by its meaning; more than ``most`` are an error, before they reach the driver."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what}")
+    return rows
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -53,7 +61,10 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, by: str, salts: int =
 
 
 def bound_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
-    """Lowers the rows in an Arrow batch, for operators whose rows hold whole texts."""
+    """Lowers the rows in an Arrow batch, for operators whose rows hold whole texts.
+
+    The setting is the session's and stays: Spark reads it when a plan is run, which may be long after the operator was called.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(rows))

@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, run_starts, runs
+from .common import cut, few, run_starts, runs
 from .components import connected_components
 
 #: Classes of one filter that a task compares at once.
 BLOCK = 8192
+#: Different lengths of vectors, at most; more are an error.
+DIMS = 1_000
 #: Classes that a filter holds on average, at most.
 TARGET = 4096
 
@@ -186,7 +188,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     classes = v.filter("emb is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("emb").alias("emb"), F.first("label").alias("label"))
     classes = cut(classes.withColumn("dim", F.size("emb")))
     # The largest set of vectors that are compared with each other sets the codes of all.
-    made = {r.dim: Filters(r.dim, r.n, cosine, recall) for r in classes.groupBy("label", "dim").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()}
+    made = {r.dim: Filters(r.dim, r.n, cosine, recall) for r in few(classes.groupBy("label", "dim").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n")), DIMS, "lengths of vectors")}
     keys, own = ["label", "dim", "filter"], ["h1", "h2", "rep", "mult"]
 
     def units(x: np.ndarray) -> np.ndarray:

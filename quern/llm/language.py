@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, slices
+from .common import bound_batches, few, slices
 
 ORDER = 4
 #: Characters that are scored at once, so that memory does not follow the length of a text.
 PLACES = 1 << 18
 #: Rows of a language that calibrate its limit, at least; a language with too few gives all of its rows to both ends, in folds.
 CALIBRATE = 100
+#: Languages that models are made for, at most; more are an error.
+LANGUAGES = 2_000
 #: Folds of such languages.
 FOLDS = 5
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -191,14 +193,14 @@ def fit_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     random.  Only counts of n-grams and one number a sampled row reach the driver.
     """
     known = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(key_col), F.lit(seed)).alias("draw")).filter("lang is not null and text is not null")
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    sizes = {r.lang: r["count"] for r in few(known.groupBy("lang").count(), LANGUAGES, "languages")}
     if not sizes:
         return None
     # Twice the standard deviation above the floor, as rows are drawn independently.
     trained, tested = 0.8 * rows / len(sizes), max(CALIBRATE + 2 * CALIBRATE**0.5, 0.2 * rows / len(sizes))
-    few = [k for k, n in sizes.items() if n < trained + tested]
+    short = [k for k, n in sizes.items() if n < trained + tested]
     places = lambda m: F.coalesce(*[F.when(F.col("lang") == k, F.lit(int(1_000_000 * m / n) + 1)) for k, n in sizes.items()])
-    spot, scarce = F.pmod("draw", F.lit(1_000_000)), F.col("lang").isin(few)
+    spot, scarce = F.pmod("draw", F.lit(1_000_000)), F.col("lang").isin(short)
     part = F.when(scarce, F.pmod(F.shiftright("draw", 32), F.lit(FOLDS))).when(spot < places(tested), -1).when(spot < places(tested) + places(trained), -2)
     # part: a fold of a scarce language, -1 for rows that calibrate, -2 for rows that give n-grams.
     sample = known.withColumn("part", part.cast("long")).filter("part is not null").select("text", "lang", "part")

@@ -16,12 +16,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, few
 
 #: Documents of a source that fly together in one task.
 BLOCK = 20_000
 
 
+#: Sources of a mix, at most; more are an error.
+SOURCES = 100_000
+
+
 def targets(sizes: list[float], weights: list[float], share: float, most: float) -> list[float]:
     """Splits ``share`` times the total by weight; no target is above ``most`` times its size, the excess is shared again."""
     total, free, out = share * sum(sizes), set(range(len(sizes))), [0.0] * len(sizes)
@@ -92,7 +96,7 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     Weights repeat over the sources in code-point order, null last.  One row a source reaches the driver: sources are what a
     mix is written for, not what grows with the rows.
     """
-    rows = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+    rows = few(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")), SOURCES, "sources")
     rows.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-8", "surrogatepass")))
     got = targets([float(r["size"]) for r in rows], [float(weights[i % len(weights)]) for i in range(len(rows))], share, most)
     out = [(r.source, int(r["size"]), t, t / r["size"] if r["size"] else 0.0, int(r.n)) for r, t in zip(rows, got, strict=True)]

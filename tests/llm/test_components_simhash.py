@@ -138,13 +138,14 @@ def test_pairs_keep_within_the_wide_radius():
         a, b = (set(simhash.shingles(" ".join(t), 5).tolist()) for t in (words, other))
         assert 0.79 < len(a & b) / len(a | b) < 0.81
         bits.append(sum((x ^ y).bit_count() for x, y in zip(*(simhash.halves(" ".join(t), 5, looks=2) for t in (words, other)), strict=True)))
-    # The mean is 19.4 and the deviation 4.1, so 38 bits are 4.6 deviations above it.
+    # The mean is 19.4 and the deviation 4.1, so 40 bits are 5 deviations above it.
     assert abs(np.mean(bits) - 19.4) < 1 and np.std(bits) < 4.6 and max(bits) < 36
 
 
 @pytest.mark.parametrize("shingles", [1_000_000, 3_000])
 def test_verified_duplicates_match_all_pairs(spark, monkeypatch, shingles):
     monkeypatch.setattr(simhash, "SHINGLES", shingles)
+    monkeypatch.setattr(simhash, "MOST_SHINGLES", 2 * shingles)
     docs = table(spark, SF, "documents")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     fp, sets = [plain_halves(t, 5) for _, t in rows], [set(simhash.shingles(t, 5).tolist()) for _, t in rows]
@@ -167,17 +168,51 @@ def test_verified_duplicates_of_awkward_rows(spark):
     assert simhash.verified_duplicates(awkward(spark).limit(0)).count() == 0
 
 
+def planted(bands, each, seed=3):
+    """Pairs of texts of 60 to 400 words whose second one has words replaced at random places or at the end, and their similarities."""
+    rng, texts, likeness = np.random.default_rng(seed), [], []
+    for band in bands:
+        for k in range(each):
+            n = int(rng.integers(60, 400))
+            words = [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+            gone = max(1, round((n - 4) * (1 - band) / (1 + band)))
+            other = [*words[: n - gone], *(f"o{x}" for x in rng.integers(0, 1 << 40, gone))]
+            if k % 2:
+                other = list(words)
+                for i in rng.choice(n, max(1, gone // 5), replace=False):
+                    other[i] = f"p{rng.integers(0, 1 << 40)}"
+            texts += [" ".join(words), " ".join(other)]
+            a, b = (set(simhash.shingles(t, 5).tolist()) for t in texts[-2:])
+            likeness.append(len(a & b) / len(a | b))
+    return texts, np.array(likeness)
+
+
 def test_every_lone_pair_at_the_similarity_is_found(spark):
-    rng, rows = np.random.default_rng(3), []
-    for k in range(1500):
-        words = [f"w{x}" for x in rng.integers(0, 1 << 40, 94)]
-        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: 88 - k % 6] + [f"o{x}" for x in rng.integers(0, 1 << 40, 6 + k % 6)]))]
+    texts, likeness = planted((0.78, 0.81, 0.84, 0.87, 0.91, 0.96), 500)
+    got = {r.doc_id: r.component_id for r in simhash.verified_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 0.95), (0.95, 1.0)):
+        assert ((likeness >= low) & (likeness < high)).sum() > 200
+    assert got == {i: i - 1 if i % 2 and likeness[i // 2] >= 0.8 else i for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("block", [2, 7, 40])
+def test_frequent_keys_are_dealt_out_in_blocks(spark, monkeypatch, block):
+    """Groups far above a block, over many partitions, against all pairs."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "SHINGLES", 500)
+    monkeypatch.setattr(simhash, "MOST_SHINGLES", 900)
+    rng, rows = np.random.default_rng(9), []
+    base = [[f"w{x}" for x in rng.integers(0, 1 << 40, 60)] for _ in range(4)]
+    shared = [f"s{x}" for x in range(40)]
+    for k in range(160):
+        words = list(base[k % 4])
+        for i in rng.choice(60, k % 3, replace=False):
+            words[i] = f"x{rng.integers(0, 1 << 40)}"
+        rows.append((k, " ".join(words if k % 5 else shared + [f"y{x}" for x in rng.integers(0, 1 << 40, 30)])))
     sets = [set(simhash.shingles(t, 5).tolist()) for _, t in rows]
-    likeness = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, len(rows), 2)]
-    alike = {2 * k for k, x in enumerate(likeness) if x >= 0.8}
-    assert len(alike) > 500 and min(x for x in likeness if x >= 0.8) < 0.85
-    got = {r.doc_id: r.component_id for r in simhash.verified_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {i: i - 1 if i % 2 and i - 1 in alike else i for i, _ in rows}
+    of = roots(range(160), [(i, j) for i in range(160) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    got = {r.doc_id: r.component_id for r in simhash.verified_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(9)).collect()}
+    assert got == of and len(set(of.values())) < 80
 
 
 @pytest.mark.parametrize("size", [5, 40, 1000])

@@ -153,3 +153,28 @@ def test_awkward_vectors(spark):
     want = [(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), *[(k, 0, k, True) for k in range(3, 11)], (11, 1, 11, True), (12, 1, 11, False), (13, 0, 13, True), (None, 0, None, True)]
     assert got == want
     assert embeddings.near_vectors(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("dim", "n"), [(64, 300), (64, 6_000), (64, 200_000), (8, 5_000), (2, 100), (1, 10)])
+def test_filters_meet_their_recall_and_size(dim, n):
+    f = embeddings.Filters(dim, n, 0.93)
+    rng = np.random.default_rng(12)
+    a, z = rng.standard_normal((2, 1500, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z -= (z * a).sum(1, keepdims=True) * a
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    b = 0.93 * a + (1 - 0.93**2) ** 0.5 * z if dim > 1 else a
+    assert f._met(a, b)[0] >= 0.975
+    assert n * f.mean / (f.turns * f.codes) <= embeddings.TARGET and f.mean < 30
+    # Decoding finds exactly the directions whose inner product reaches the height.
+    if f.codes <= 4_096:
+        row, code = f.decode(a[:50])
+        want = set()
+        for t, cuts in enumerate(f.cuts):
+            dots = a[:50] @ cuts[0]
+            for c in cuts[1:]:
+                dots = (dots[:, :, None] + (a[:50] @ c)[:, None, :]).reshape(50, -1)
+            i, j = np.nonzero(dots >= f.height - 1e-12)
+            want |= set(zip(i.tolist(), (j + t * f.codes).tolist()))
+        got = set(zip(row.tolist(), code.tolist()))
+        assert got <= want and len(want) - len(got) <= 2
