@@ -32,8 +32,9 @@ BITS = 64
 BLOCK = 32_768
 #: In groups of up to so many fingerprints those without a neighbour are set aside before the search.
 SMALL = 256
-#: Shingles of one coarse group that a task holds twice at most; larger groups are dealt out by pairs of blocks.
-SHINGLES = 1_000_000
+#: Coarse groups of more shingles than the first are dealt out by pairs of blocks: up to ``SPREAD`` blocks as long as a block has
+#: fewer than the second, which a task holds twice at most.
+SHINGLES, MOST_SHINGLES, SPREAD = 50_000, 4_000_000, 4
 #: The largest threshold of a partition.
 MOST = 4
 #: Cost of a probe key (emitted, shuffled, sorted) in units of one verified candidate pair.
@@ -154,30 +155,63 @@ def allocate(costs: list[list[float]], radius: int) -> list[int]:
     return best[radius + 1][1]
 
 
-def partitions(n: int, radius: int) -> int:
-    """Number of partitions for n fingerprints: about as wide as the binary logarithm of n, and enough for the radius at the largest threshold."""
-    return max(2, math.ceil((radius + 1) / (MOST + 1)), min(radius + 1, round(BITS / max(8.0, math.log2(max(n, 2))))))
+def _probes(ones: float, t: int) -> int:
+    """Keys of a value with about so many set bits: up to t of them cleared."""
+    return sum(math.comb(max(round(ones), t), k) for k in range(t + 1))
 
 
-def plan(fps: DataFrame, radius: int, parts: int | None = None) -> tuple[list[list[int]], list[int]]:
-    """Bit partitions and their thresholds for these distinct fingerprints.
+def _costs(n: float, rate: np.ndarray, groups: list[list[int]], radius: int, same: dict[int, float] | None = None) -> list[list[float]]:
+    """The cost of each threshold from -1 on in each partition, in verified pairs.
 
-    The number of partitions follows the number of fingerprints.
+    same: pairs of equal values by partition; by default those of independent bits.  Values that differ in up to t bits either way
+    meet, which is at most 2 t bits.
     """
-    n, together = _bit_statistics(fps)
-    parts = parts or partitions(n, radius)
-    groups = group_bits(n, together, parts)
-    sizes = _keyed(fps.select("fp"), groups, [0] * parts).groupBy("key").count()
-    same = {r.part: float(r.pairs) for r in sizes.groupBy(F.shiftright("key", 32).alias("part")).agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("pairs")).collect()}
-    rate, costs = np.diag(together) / max(n, 1), []
+    out = []
     for i, bits in enumerate(groups):
         most = min(radius, MOST, len(bits))
         ball, ones = _ball(rate[bits], 2 * most), rate[bits].sum()
-        costs.append([0.0])
-        for t in range(most + 1):
-            probes = sum(math.comb(max(round(ones), t), k) for k in range(t + 1))
-            costs[-1].append(same.get(i, 0.0) * ball[t] / max(ball[0], 1e-30) + PROBE_COST * n * probes)
-    return groups, allocate(costs, radius)
+        ball = np.append(ball, np.full(2 * most + 1 - len(ball), ball[-1]))
+        equal = n * (n - 1) / 2 * ball[0] if same is None else same.get(i, 0.0)
+        out.append([0.0, *(equal * ball[2 * t] / max(ball[0], 1e-30) + PROBE_COST * n * _probes(ones, t) for t in range(most + 1))])
+    return out
+
+
+def weighed(n: float, radius: int, rate: np.ndarray | None = None) -> dict[int, float]:
+    """The cost of every number of partitions for n fingerprints with these rates of set bits, as if bits were independent.
+
+    Every number that can hold the radius at the largest threshold is weighed with its best thresholds, so the least cost rises
+    smoothly with n: few fingerprints meet on many short values, many on few long ones with more keys each.
+    """
+    rate, cost = np.full(BITS, 0.5) if rate is None else rate, {}
+    for parts in range(math.ceil((radius + 1) / (MOST + 1)), radius + 2):
+        groups = [list(range(BITS))[i::parts] for i in range(parts)]
+        # Keys hold a partition's value in 32 bits.
+        if max(map(len, groups)) <= 32:
+            rows = _costs(n, rate, groups, radius)
+            cost[parts] = sum(r[t + 1] for r, t in zip(rows, allocate(rows, radius), strict=True))
+    return cost
+
+
+def plan(fps: DataFrame, radius: int, parts: int | None = None) -> tuple[list[list[int]], list[int]]:
+    """Bit partitions and their thresholds of least cost for these distinct fingerprints.
+
+    Of the numbers of partitions that cost little for independent bits, the up to three best are weighed again with the measured
+    pairs of equal values, of which correlated bits have more.
+    """
+    n, together = _bit_statistics(fps)
+    rate, cost = np.diag(together) / max(n, 1), {parts: 0.0} if parts else weighed(n, radius)
+    likely = [p for p in sorted(cost, key=cost.get)[:3] if cost[p] <= 10 * min(cost.values())]
+    best = None
+    for p in likely:
+        groups = group_bits(n, together, p)
+        sizes = _keyed(fps.select("fp"), groups, [0] * p).groupBy("key").count()
+        same = {r.part: float(r.pairs) for r in sizes.groupBy(F.shiftright("key", 32).alias("part")).agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("pairs")).collect()}
+        rows = _costs(n, rate, groups, radius, same)
+        thresholds = allocate(rows, radius)
+        total = sum(r[t + 1] for r, t in zip(rows, thresholds, strict=True))
+        if best is None or total < best[0]:
+            best = (total, groups, thresholds)
+    return best[1], best[2]
 
 
 def _pack(fp: np.ndarray, bits: list[int]) -> np.ndarray:
@@ -263,12 +297,13 @@ def _forest(x: np.ndarray, radius: int, wide: int = 2 * BITS, similarity: float
     return out
 
 
-def _star_links(keyed: DataFrame, counted: DataFrame, parts_of: list[str], radius: int, wide: int, similarity: float = 0.0) -> DataFrame:
+def _star_links(keyed: DataFrame, large: DataFrame, parts_of: list[str], radius: int, wide: int, similarity: float = 0.0) -> DataFrame:
     """(src, dst): stars over the close ones of every ``key``'s group.  Large groups are dealt out by pairs of blocks.
 
-    ``counted`` has all keys, or none where no group can be large.  The columns are ``fp``, perhaps ``other``, and perhaps ``size`` and a name ``rep``, in this order.
+    ``large`` has the keys of groups above ``BLOCK`` with a count, which may be higher than the group's.  The columns are ``fp``,
+    perhaps ``other``, and perhaps ``size`` and a name ``rep``, in this order.
     """
-    large = cut(counted.groupBy("key").count().filter(F.col("count") > BLOCK))
+    large = cut(large)
     ways, names = keyed, ["key"]
     if not large.isEmpty():
         dealt = keyed.join(large, "key", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("count") / BLOCK), F.lit(1)).cast("long"))
@@ -303,7 +338,8 @@ def links(fps: DataFrame, radius: int = 4, parts: int | None = None, wide: int =
         return fps.select(F.col("fp").alias("src"), F.col("fp").alias("dst")).filter(F.lit(False))
     groups, thresholds = plan(fps, radius, parts)
     keyed = _keyed(fps, groups, thresholds)
-    return _star_links(keyed, keyed, [c for c in ("fp", "other") if c in fps.columns], radius, wide)
+    large = keyed.groupBy("key").count().filter(F.col("count") > BLOCK)
+    return _star_links(keyed, large, [c for c in ("fp", "other") if c in fps.columns], radius, wide)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
@@ -383,7 +419,7 @@ def _common_shingles(texts: DataFrame, n: int, words: int, seed: int, docs: int
 
 
 def _similar_texts(texts: DataFrame, words: int, wide: int, similarity: float, seed: int) -> DataFrame:
-    """(node, component) of the texts (rep, text) that have a similar one.
+    """(node, component) of the texts (rep, text) that have a similar one; the table comes from a checkpoint.
 
     Candidates share one of the first shingles of their sets (prefix filter: no pair of the similarity is missed), have sizes that
     allow it and differ in at most ``wide`` bits of two 64-bit fingerprints.  Each key's group gives stars; in the coarse
@@ -392,11 +428,18 @@ def _similar_texts(texts: DataFrame, words: int, wide: int, similarity: float, s
     bound_batches(texts.sparkSession)
     n = texts.select("rep").count()
     common = _common_shingles(texts, n, words, seed)
+    # A key of more than BLOCK texts is in so many texts of one partition at least; only such keys are shuffled to be counted.
+    parts = max(1, texts.rdd.getNumPartitions())
+    least = max(1, BLOCK // parts)
 
-    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.uint64)]
         for whole in batches:
             for b in slices(whole, "text"):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *(_prefix(shingles(t.as_py(), words, seed), common, similarity) for t in b.column(0))]).view(np.int64))], ["key"])
+                held.append(np.concatenate([np.zeros(0, np.uint64), *(_prefix(shingles(t.as_py(), words, seed), common, similarity) for t in b.column(0))]))
+        keys, count = np.unique(np.concatenate(held), return_counts=True)
+        some = count >= least
+        yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(count[some].astype(np.int64))], ["key", "n"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -418,13 +461,17 @@ def _similar_texts(texts: DataFrame, words: int, wide: int, similarity: float, s
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps[:, 0].copy()), pa.array(fps[:, 1].copy()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))], ["rep", "fp", "other", "sets"])
 
     keyed = texts.select("rep", "text").mapInArrow(keys, "rep long, fp long, other long, size long, key long")
-    counted = texts.select("text").mapInArrow(only, "key long") if n > BLOCK else keyed.select("key").limit(0)
-    close = cut(_star_links(keyed, counted, ["fp", "other", "size", "rep"], BITS, wide, similarity))
+    large = texts.select(F.col("rep").alias("key"), F.lit(0).cast("long").alias("count")).limit(0)
+    if n > BLOCK:
+        # Partitions that tell nothing of a key have less than ``least`` texts of it each.
+        told = texts.select("text").mapInArrow(frequent, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("partitions"))
+        large = told.select("key", (F.col("n") + (parts - F.col("partitions")) * (least - 1)).alias("count")).filter(F.col("count") > BLOCK)
+    close = cut(_star_links(keyed, large, ["fp", "other", "size", "rep"], BITS, wide, similarity))
     members = cut(connected_components(close).select(F.col("node").alias("rep"), F.col("component").alias("coarse")))
     measured = cut(texts.join(members.select("rep"), "rep", "left_semi").select("rep", "text").mapInArrow(measure, "rep long, fp long, other long, sets array<long>"))
     rows = measured.join(members, "rep")
     total = rows.groupBy("coarse").agg(F.sum(F.size("sets") + 1).alias("total"))
-    dealt = salted_join(rows, total, "coarse", "rep").withColumn("blocks", F.ceil(F.col("total") / SHINGLES).cast("long")).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
+    dealt = salted_join(rows, total, "coarse", "rep").withColumn("blocks", F.greatest(F.least(F.ceil(F.col("total") / SHINGLES), F.lit(SPREAD)), F.ceil(F.col("total") / MOST_SHINGLES)).cast("long")).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
     dealt = dealt.withColumn("against", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     names = ["coarse", "lo", "hi"]
     dealt = dealt.select("coarse", F.least("own", "against").alias("lo"), F.greatest("own", "against").alias("hi"), "rep", "fp", "other", "sets")
@@ -446,7 +493,7 @@ def _similar_texts(texts: DataFrame, words: int, wide: int, similarity: float, s
     return connected_components(found)
 
 
-def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, wide: int = 44, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, wide: int = 40, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """(doc_id, component_id) of near-duplicates that are verified on the texts' shingle sets.
 
     A link is a pair whose sets of word shingles have at least this Jaccard similarity; texts without words are like each other.
@@ -461,18 +508,18 @@ def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return exact.join(named, "digest").select("doc_id", "component_id")
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, wide: int = 44, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, wide: int = 40, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """One row of each group of near-duplicate rows: of the smallest id, of its texts the one of the smallest digest.
 
-    Rows take part by their texts, so ids may repeat or be null; a null id stays only where its group has no other.
+    Rows take part by their texts, so ids may repeat or be null; a null id stays only where its group has no other.  Of rows that
+    share id and text any one stays.  Texts are shuffled once to be made distinct; what is dropped then are rows of numbers.
     """
-    d = docs.withColumn("digest__", _digest(F.col(text_col)))
-    digests = cut(d.groupBy("digest__").agg(F.min(id_col).alias("id__"), F.first(text_col).alias("text")).withColumn("rep", F.monotonically_increasing_id()))
-    of = _similar_texts(digests.select("rep", "text"), words, wide, similarity, seed).select(F.col("node").alias("rep"), "component")
-    order = F.struct(F.col("id__").isNull().alias("none__"), "id__", "digest__")
-    named = digests.drop("text").join(of, "rep", "left").groupBy(F.coalesce("component", "rep").alias("component")).agg(F.min(order).alias("x"))
-    kept = cut(named.select("x.digest__", "x.id__"))
-    out = d.join(kept, "digest__").filter(F.col(id_col).eqNullSafe(F.col("id__")))
-    if not d.groupBy("digest__", id_col).count().filter("count > 1").isEmpty():
-        out = out.dropDuplicates(["digest__"])
-    return out.select(*docs.columns)
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col))
+    whole = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("row")
+    digests = cut(docs.groupBy(_digest(F.col(text_col)).alias("digest")).agg(whole).withColumn("rep", F.monotonically_increasing_id()))
+    of = _similar_texts(digests.select("rep", F.col("row").getField(text_col).alias("text")), words, wide, similarity, seed).select(F.col("node").alias("rep"), "component")
+    ident = F.col("row").getField(id_col)
+    members = of.join(digests.select("rep", F.struct(ident.isNull().alias("none"), ident.alias("id"), "digest").alias("order")), "rep")
+    stays = members.groupBy("component").agg(F.min_by("rep", "order").alias("rep"))
+    gone = cut(of.select("rep").join(stays.select("rep"), "rep", "left_anti"))
+    return digests.join(gone, "rep", "left_anti").select("row.*")
