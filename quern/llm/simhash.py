@@ -35,6 +35,8 @@ SMALL = 256
 #: Coarse groups of more shingles than the first are dealt out by pairs of blocks: up to ``SPREAD`` blocks as long as a block has
 #: fewer than the second, which a task holds twice at most.
 SHINGLES, MOST_SHINGLES, SPREAD = 50_000, 4_000_000, 4
+#: Bits in which fingerprints of five-word shingles may differ to be found by probing: 29 keys each at 200,000 texts, 179 at 10^7.
+RADIUS = 8
 #: The largest threshold of a partition.
 MOST = 4
 #: Cost of a probe key (emitted, shuffled, sorted) in units of one verified candidate pair.
@@ -363,14 +365,21 @@ def shingles(text: str | None, words: int, seed: int = 42) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(j, seed) for j in joined], np.uint64))
 
 
-def _similar(fps: np.ndarray, sets: np.ndarray, sizes: np.ndarray, wide: int, least: float) -> list[tuple[int, np.ndarray]]:
-    """Spanning-forest links (position, positions) of pairs within ``wide`` bits of both halves whose sets have the Jaccard similarity."""
+def _similar(fps: np.ndarray, sets: np.ndarray, sizes: np.ndarray, labels: np.ndarray, wide: int, least: float) -> list[tuple[int, np.ndarray]]:
+    """Spanning-forest links (position, positions) of pairs within ``wide`` bits of both halves whose sets have the Jaccard similarity.
+
+    Those of one label are linked already: they are followed, but neither compared nor given.
+    """
     starts, codes = np.cumsum(sizes) - sizes, np.unique(sets, return_inverse=True)[1]
     mark, out, left = np.zeros(int(codes.max(initial=-1)) + 1, bool), [], np.arange(fps.shape[1])
     while len(left) > 1:
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             x = queue.pop()
+            same = labels[left] == labels[x]
+            if same.any():
+                queue.extend(left[same].tolist())
+                left = left[~same]
             own = codes[starts[x] : starts[x] + sizes[x]]
             near = np.flatnonzero((np.bitwise_count(fps[:, left] ^ fps[:, x : x + 1]).sum(0) <= wide) & (np.minimum(sizes[left], sizes[x]) >= least * np.maximum(sizes[left], sizes[x]) - 1e-9))
             if not len(near):
@@ -418,12 +427,11 @@ def _common_shingles(texts: DataFrame, n: int, words: int, seed: int, docs: int
     return np.sort(got.h.to_numpy(np.int64).view(np.uint64))
 
 
-def _similar_texts(texts: DataFrame, words: int, wide: int, similarity: float, seed: int) -> DataFrame:
-    """(node, component) of the texts (rep, text) that have a similar one; the table comes from a checkpoint.
+def _prefix_links(texts: DataFrame, words: int, wide: int, similarity: float, seed: int) -> DataFrame:
+    """(src, dst) whose components hold every pair of texts (rep, text) of the similarity, and others; texts come from a checkpoint.
 
-    Candidates share one of the first shingles of their sets (prefix filter: no pair of the similarity is missed), have sizes that
-    allow it and differ in at most ``wide`` bits of two 64-bit fingerprints.  Each key's group gives stars; in the coarse
-    components of these, shingle sets are compared breadth first in blocks, so no pairs are written out.
+    Linked texts share one of the first shingles of their sets (prefix filter: no pair of the similarity is missed), have sizes that
+    allow it and differ in at most ``wide`` bits of two 64-bit fingerprints.  Each key's group gives stars.
     """
     bound_batches(texts.sparkSession)
     n = texts.select("rep").count()
@@ -452,6 +460,24 @@ def _similar_texts(texts: DataFrame, words: int, wide: int, similarity: float, s
                 size = np.array([len(x) for x in sets], np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(fps[row, 0]), pa.array(fps[row, 1]), pa.array(size[row]), pa.array(np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64))], ["rep", "fp", "other", "size", "key"])
 
+    keyed = texts.select("rep", "text").mapInArrow(keys, "rep long, fp long, other long, size long, key long")
+    large = texts.select(F.col("rep").alias("key"), F.lit(0).cast("long").alias("count")).limit(0)
+    if n > BLOCK:
+        # Partitions that tell nothing of a key have less than ``least`` texts of it each.
+        told = texts.select("text").mapInArrow(frequent, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("partitions"))
+        large = told.select("key", (F.col("n") + (parts - F.col("partitions")) * (least - 1)).alias("count")).filter(F.col("count") > BLOCK)
+    return _star_links(keyed, large, ["fp", "other", "size", "rep"], BITS, wide, similarity)
+
+
+def _undecided(members: DataFrame) -> DataFrame:
+    """The rows (rep, coarse, label) of coarse groups that hold more than one label."""
+    several = members.groupBy("coarse").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most").select("coarse")
+    return cut(salted_join(members, several, "coarse", "rep"))
+
+
+def _measured(texts: DataFrame, reps: DataFrame, words: int, seed: int) -> DataFrame:
+    """(rep, fp, other, sets) of these texts: both fingerprints and all distinct shingles."""
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [t.as_py() for t in b.column(1)]
@@ -460,40 +486,55 @@ def _similar_texts(texts: DataFrame, words: int, wide: int, similarity: float, s
             bounds = np.append(0, np.cumsum(np.fromiter(map(len, sets), np.int64, len(sets)))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps[:, 0].copy()), pa.array(fps[:, 1].copy()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))], ["rep", "fp", "other", "sets"])
 
-    keyed = texts.select("rep", "text").mapInArrow(keys, "rep long, fp long, other long, size long, key long")
-    large = texts.select(F.col("rep").alias("key"), F.lit(0).cast("long").alias("count")).limit(0)
-    if n > BLOCK:
-        # Partitions that tell nothing of a key have less than ``least`` texts of it each.
-        told = texts.select("text").mapInArrow(frequent, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("partitions"))
-        large = told.select("key", (F.col("n") + (parts - F.col("partitions")) * (least - 1)).alias("count")).filter(F.col("count") > BLOCK)
-    close = cut(_star_links(keyed, large, ["fp", "other", "size", "rep"], BITS, wide, similarity))
-    members = cut(connected_components(close).select(F.col("node").alias("rep"), F.col("component").alias("coarse")))
-    measured = cut(texts.join(members.select("rep"), "rep", "left_semi").select("rep", "text").mapInArrow(measure, "rep long, fp long, other long, sets array<long>"))
+    return cut(texts.join(reps, "rep", "left_semi").select("rep", "text").mapInArrow(measure, "rep long, fp long, other long, sets array<long>"))
+
+
+def _verified(measured: DataFrame, members: DataFrame, wide: int, similarity: float) -> DataFrame:
+    """(src, dst): links of pairs of the similarity between the labels of a coarse group, breadth first in blocks, not all pairs."""
     rows = measured.join(members, "rep")
     total = rows.groupBy("coarse").agg(F.sum(F.size("sets") + 1).alias("total"))
     dealt = salted_join(rows, total, "coarse", "rep").withColumn("blocks", F.greatest(F.least(F.ceil(F.col("total") / SHINGLES), F.lit(SPREAD)), F.ceil(F.col("total") / MOST_SHINGLES)).cast("long")).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
     dealt = dealt.withColumn("against", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     names = ["coarse", "lo", "hi"]
-    dealt = dealt.select("coarse", F.least("own", "against").alias("lo"), F.greatest("own", "against").alias("hi"), "rep", "fp", "other", "sets")
+    dealt = dealt.select("coarse", F.least("own", "against").alias("lo"), F.greatest("own", "against").alias("hi"), "rep", "label", "fp", "other", "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, names):
             t = t.combine_chunks()
             at = run_starts([t.column(k).to_numpy() for k in names])
-            rep, fps, sets = t.column("rep").to_numpy(), np.stack([t.column(c).to_numpy() for c in ("fp", "other")]).view(np.uint64), t.column("sets").combine_chunks()
+            rep, label = (t.column(c).to_numpy() for c in ("rep", "label"))
+            fps, sets = np.stack([t.column(c).to_numpy() for c in ("fp", "other")]).view(np.uint64), t.column("sets").combine_chunks()
             offsets, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
             src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                for x, ys in _similar(fps[:, a:e], flat[offsets[a] : offsets[e]], np.diff(offsets[a : e + 1]), wide, similarity):
+                for x, ys in _similar(fps[:, a:e], flat[offsets[a] : offsets[e]], np.diff(offsets[a : e + 1]), label[a:e], wide, similarity):
                     src.append(np.full(len(ys), rep[a + x]))
                     dst.append(rep[a + ys])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], ["src", "dst"])
 
-    found = dealt.repartition(*names).sortWithinPartitions(*names).mapInArrow(compare, "src long, dst long")
-    return connected_components(found)
+    return dealt.repartition(*names).sortWithinPartitions(*names).mapInArrow(compare, "src long, dst long")
 
 
-def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, wide: int = 40, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+def _similar_texts(texts: DataFrame, words: int, radius: int, wide: int, similarity: float, seed: int) -> DataFrame:
+    """(node, component) of the texts (rep, text) that have a similar one; the table comes from a checkpoint.
+
+    The pigeonhole search gives components of fingerprints within the radius, in which shingle sets are compared exactly; what is
+    alike gets a label.  A fingerprint can't promise a similarity, so the pairs beyond the radius are looked for by the prefix
+    filter, and compared only where its components hold more than one label.
+    """
+    probed = cut(near_duplicates(texts, "rep", "text", words, radius, seed).select(F.col("doc_id").alias("rep"), F.col("component_id").alias("coarse"), F.col("doc_id").alias("label")))
+    probed = _undecided(probed)
+    measured = _measured(texts, probed.select("rep"), words, seed)
+    known = connected_components(_verified(measured, probed, wide, similarity))
+    close = connected_components(_prefix_links(texts, words, wide, similarity, seed)).select(F.col("node").alias("rep"), F.col("component").alias("coarse"))
+    rest = close.join(known.select(F.col("node").alias("rep"), F.col("component").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    rest = _undecided(rest)
+    new = _measured(texts, rest.select("rep").join(probed.select("rep"), "rep", "left_anti"), words, seed)
+    found = _verified(measured.unionByName(new), rest, wide, similarity)
+    return connected_components(found.unionByName(known.select(F.col("node").alias("src"), F.col("component").alias("dst"))))
+
+
+def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = RADIUS, wide: int = 40, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """(doc_id, component_id) of near-duplicates that are verified on the texts' shingle sets.
 
     A link is a pair whose sets of word shingles have at least this Jaccard similarity; texts without words are like each other.
@@ -503,21 +544,22 @@ def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     exact = cut(d.select("doc_id", _digest(F.col("text")).alias("digest")).groupBy("doc_id").agg(F.min("digest").alias("digest")))
     reps = exact.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     texts = d.join(reps.select(F.col("rep").alias("doc_id"), "digest"), "doc_id").filter(_digest(F.col("text")) == F.col("digest")).dropDuplicates(["doc_id"])
-    of = _similar_texts(cut(texts.select(F.col("doc_id").alias("rep"), "text")), words, wide, similarity, seed).select(F.col("node").alias("rep"), "component")
+    of = _similar_texts(cut(texts.select(F.col("doc_id").alias("rep"), "text")), words, radius, wide, similarity, seed).select(F.col("node").alias("rep"), "component")
     named = reps.join(of, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return exact.join(named, "digest").select("doc_id", "component_id")
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, wide: int = 40, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = RADIUS, wide: int = 40, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """One row of each group of near-duplicate rows: of the smallest id, of its texts the one of the smallest digest.
 
+    Fingerprints are probed within the radius and what they link is verified on shingle sets; an exact search finds the rest.
     Rows take part by their texts, so ids may repeat or be null; a null id stays only where its group has no other.  Of rows that
     share id and text any one stays.  Texts are shuffled once to be made distinct; what is dropped then are rows of numbers.
     """
     order = F.struct(F.col(id_col).isNull(), F.col(id_col))
     whole = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("row")
     digests = cut(docs.groupBy(_digest(F.col(text_col)).alias("digest")).agg(whole).withColumn("rep", F.monotonically_increasing_id()))
-    of = _similar_texts(digests.select("rep", F.col("row").getField(text_col).alias("text")), words, wide, similarity, seed).select(F.col("node").alias("rep"), "component")
+    of = _similar_texts(digests.select("rep", F.col("row").getField(text_col).alias("text")), words, radius, wide, similarity, seed).select(F.col("node").alias("rep"), "component")
     ident = F.col("row").getField(id_col)
     members = of.join(digests.select("rep", F.struct(ident.isNull().alias("none"), ident.alias("id"), "digest").alias("order")), "rep")
     stays = members.groupBy("component").agg(F.min_by("rep", "order").alias("rep"))

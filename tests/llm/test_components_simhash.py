@@ -233,3 +233,44 @@ def test_rows_of_repeated_and_null_ids_are_compared_by_text(spark):
     got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect()]
     assert sorted((r[:2] for r in got if r[1]), key=repr) == sorted([(7, one), (7, two), (3, three), (None, "words of no other row")], key=repr)
     assert len(got) == 5
+
+
+def by_hand(texts, similarity=0.8, within=None):
+    """Smallest position reachable by links of similar texts; with ``within`` only inside components of fingerprints so close."""
+    sets, fp = [set(simhash.shingles(t, 5).tolist()) for t in texts], [plain_fingerprint(t, 5) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    coarse = roots(range(len(texts)), [(i, j) for i, j in pairs if (fp[i] ^ fp[j]).bit_count() <= within]) if within is not None else dict.fromkeys(range(len(texts)))
+    return roots(range(len(texts)), [(i, j) for i, j in pairs if coarse[i] == coarse[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])])
+
+
+def test_the_pipeline_probes_fingerprints_and_verifies(spark, monkeypatch):
+    """What the pigeonhole search links is in the result without the search for the rest, and the rest is added to it."""
+    texts, plans, plan = planted((0.8, 0.84, 0.9, 0.97), 30, seed=8)[0], [], simhash.plan
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    monkeypatch.setattr(simhash, "plan", lambda *a: plans.append(plan(*a)) or plans[-1])
+    kept = lambda: {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert kept() == set(by_hand(texts).values())
+    assert [sum(t + 1 for t in thresholds) for _, thresholds in plans] == [simhash.RADIUS + 1]
+    none = spark.createDataFrame([], "src long, dst long")
+    monkeypatch.setattr(simhash, "_prefix_links", lambda *a: none)
+    probed = set(by_hand(texts, within=simhash.RADIUS).values())
+    assert kept() == probed and len(set(by_hand(texts).values())) < len(probed) < len(texts) - 30
+
+
+@pytest.mark.parametrize("radius", [2, 8])
+def test_rest_joins_what_probing_labelled(spark, monkeypatch, radius):
+    """Chains of near copies, of which probing links some and the exact search the others, in groups of many blocks."""
+    monkeypatch.setattr(simhash, "SHINGLES", 300)
+    monkeypatch.setattr(simhash, "MOST_SHINGLES", 600)
+    rng, texts = np.random.default_rng(12), []
+    for _ in range(6):
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, 120)]
+        for _ in range(20):
+            texts.append(" ".join(words))
+            words = list(words)
+            for i in rng.choice(120, rng.integers(1, 4), replace=False):
+                words[i] = f"x{rng.integers(0, 1 << 40)}"
+    want = by_hand(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    assert {r.doc_id: r.component_id for r in simhash.verified_duplicates(docs, radius=radius).collect()} == want
+    assert len(set(by_hand(texts, within=radius).values())) > len(set(want.values())) > 3
