@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 from collections.abc import Iterator
 
@@ -53,6 +54,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextlib.contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """DataFrames made inside free their shuffles' files as soon as an action on them ends, not when the driver collects garbage.
+
+    For operators of many steps that hand on checkpoints.  The session's setting is put back; it decides no result.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def salted_join(many: DataFrame, one: DataFrame, key: str, by: str, salts: int = 8) -> DataFrame:
     """An inner join of many rows with one row a key, in which a hot key's rows spread over ``salts`` tasks by a hash of ``by``."""
     salt = F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")

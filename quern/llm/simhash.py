@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, run_starts, runs, salted_join, slices
+from .common import bound_batches, brief_shuffles, cut, run_starts, runs, salted_join, slices
 from .components import connected_components
 from .wordmemo import ragged, sums
 
@@ -540,13 +540,14 @@ def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A link is a pair whose sets of word shingles have at least this Jaccard similarity; texts without words are like each other.
     One row for every distinct id that is not null; of an id's texts the one of the smallest digest is compared.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    exact = cut(d.select("doc_id", _digest(F.col("text")).alias("digest")).groupBy("doc_id").agg(F.min("digest").alias("digest")))
-    reps = exact.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    texts = d.join(reps.select(F.col("rep").alias("doc_id"), "digest"), "doc_id").filter(_digest(F.col("text")) == F.col("digest")).dropDuplicates(["doc_id"])
-    of = _similar_texts(cut(texts.select(F.col("doc_id").alias("rep"), "text")), words, radius, wide, similarity, seed).select(F.col("node").alias("rep"), "component")
-    named = reps.join(of, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    return exact.join(named, "digest").select("doc_id", "component_id")
+    with brief_shuffles(docs.sparkSession):
+        d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
+        exact = cut(d.select("doc_id", _digest(F.col("text")).alias("digest")).groupBy("doc_id").agg(F.min("digest").alias("digest")))
+        reps = exact.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+        texts = d.join(reps.select(F.col("rep").alias("doc_id"), "digest"), "doc_id").filter(_digest(F.col("text")) == F.col("digest")).dropDuplicates(["doc_id"])
+        of = _similar_texts(cut(texts.select(F.col("doc_id").alias("rep"), "text")), words, radius, wide, similarity, seed).select(F.col("node").alias("rep"), "component")
+        named = reps.join(of, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+        return exact.join(named, "digest").select("doc_id", "component_id")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = RADIUS, wide: int = 40, similarity: float = 0.8, seed: int = 42) -> DataFrame:
@@ -558,10 +559,11 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     order = F.struct(F.col(id_col).isNull(), F.col(id_col))
     whole = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("row")
-    digests = cut(docs.groupBy(_digest(F.col(text_col)).alias("digest")).agg(whole).withColumn("rep", F.monotonically_increasing_id()))
-    of = _similar_texts(digests.select("rep", F.col("row").getField(text_col).alias("text")), words, radius, wide, similarity, seed).select(F.col("node").alias("rep"), "component")
-    ident = F.col("row").getField(id_col)
-    members = of.join(digests.select("rep", F.struct(ident.isNull().alias("none"), ident.alias("id"), "digest").alias("order")), "rep")
-    stays = members.groupBy("component").agg(F.min_by("rep", "order").alias("rep"))
-    gone = cut(of.select("rep").join(stays.select("rep"), "rep", "left_anti"))
-    return digests.join(gone, "rep", "left_anti").select("row.*")
+    with brief_shuffles(docs.sparkSession):
+        digests = cut(docs.groupBy(_digest(F.col(text_col)).alias("digest")).agg(whole).withColumn("rep", F.monotonically_increasing_id()))
+        of = _similar_texts(digests.select("rep", F.col("row").getField(text_col).alias("text")), words, radius, wide, similarity, seed).select(F.col("node").alias("rep"), "component")
+        ident = F.col("row").getField(id_col)
+        members = of.join(digests.select("rep", F.struct(ident.isNull().alias("none"), ident.alias("id"), "digest").alias("order")), "rep")
+        stays = members.groupBy("component").agg(F.min_by("rep", "order").alias("rep"))
+        gone = cut(of.select("rep").join(stays.select("rep"), "rep", "left_anti"))
+        return digests.join(gone, "rep", "left_anti").select("row.*")

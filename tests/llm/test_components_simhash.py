@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -274,3 +275,22 @@ def test_rest_joins_what_probing_labelled(spark, monkeypatch, radius):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
     assert {r.doc_id: r.component_id for r in simhash.verified_duplicates(docs, radius=radius).collect()} == want
     assert len(set(by_hand(texts, within=radius).values())) > len(set(want.values())) > 3
+
+
+def shuffle_files(spark):
+    got = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    return {x for x in got if "/shuffle_" in x}
+
+
+def test_steps_free_their_shuffles(spark):
+    r = random.Random(11)
+    texts = [" ".join(r.choice("abcdefghij") * 3 + str(r.randrange(40)) for _ in range(60)) for _ in range(60)]
+    docs = spark.createDataFrame([(2 * i + k, t + tail) for i, t in enumerate(texts) for k, tail in enumerate(("", " x"))], "doc_id long, text string")
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(key), shuffle_files(spark)
+    got = simhash.drop_copies(docs)
+    until = time.monotonic() + 5
+    while (left := shuffle_files(spark) - before) and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not left and spark.conf.get(key) == setting
+    assert sorted(x.doc_id for x in got.collect()) == list(range(0, 120, 2))
