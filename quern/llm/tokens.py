@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, slices
-from .wordmemo import WordMemo, sums
+from .wordmemo import WordTable, sums
 
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 64 << 10, 1_000
 #: Bytes of text that make a file at most, roughly.
@@ -30,8 +30,11 @@ FILE_BYTES = 128 << 20
 #: The parts of the tokenizer for which ``word_encoder`` knows a quicker way.
 _LOWER = r'Sequence(normalizers=[NFC(), Replace(pattern=Regex("\s+"), content=" "), Lowercase()])'
 _UNITS = r"""Sequence(pretokenizers=[Split(pattern=Regex("'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), behavior=Removed, invert=True), ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])"""
-#: Words of these letters, with one closing mark at most, are one or two units for a lower-casing byte-level tokenizer.
-_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Words of these letters are one unit for a lower-casing byte-level tokenizer; no normalisation makes them anything but letters.
+_LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+_PLAIN = re.compile(f"{_LETTER}+")
+#: Runs of these marks are a unit of their own behind a letter.  No special token holds one of them.
+_CLOSING = f"({_LETTER})([.,!?;:#*$%&]+)(\\s|$)"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -59,22 +62,19 @@ def word_encoder(tokenizer_json: str):
     if not known:
         return whole, False
     tokenize, letters, plain = t.model.tokenize, _byte_letters(), _PLAIN.fullmatch
-    closing = set(".,!?;:")
-    marks = {m: whole([m])[0] for m in closing} | {"": []}
 
     def quick(words: list[str]) -> list[list[int]]:
         out: list = [None] * len(words)
         rest = []
         for i, w in enumerate(words):
-            if w.isascii() and w.isalpha():
-                out[i] = [x.id for x in tokenize(w.lower())]
-                continue
-            core, mark = (w[:-1], w[-1]) if w[-1:] in closing else (w, "")
-            if core.isalpha() and (core.isascii() or plain(core)):
-                core = core.lower()
-                out[i] = [x.id for x in tokenize(core if core.isascii() else core.translate(letters))] + marks[mark]
-            else:
-                rest.append(i)
+            if w.isalpha():
+                if w.isascii():
+                    out[i] = [x.id for x in tokenize(w.lower())]
+                    continue
+                if plain(w):
+                    out[i] = [x.id for x in tokenize(w.lower().translate(letters))]
+                    continue
+            rest.append(i)
         for i, ids in zip(rest, whole([words[i] for i in rest]), strict=True):
             out[i] = ids
         return out
@@ -83,20 +83,20 @@ def word_encoder(tokenizer_json: str):
 
 
 @functools.lru_cache(maxsize=1)
-def _memo(tokenizer_json: str) -> tuple[WordMemo, bool]:
+def _memo(tokenizer_json: str) -> tuple[WordTable, bool]:
     """A Python worker keeps the tokenizer and its words from task to task."""
     words, plain = word_encoder(tokenizer_json)
-    return WordMemo(words), plain
+    return WordTable(words), plain
 
 
 def apart(texts: pa.Array) -> pa.Array:
-    """Texts in ASCII lower case, a closing mark between a letter and white space set apart: fewer distinct words, equal ids.
+    """Texts in ASCII lower case, closing marks between a letter and white space set apart: fewer distinct words, equal ids.
 
     Texts with what may be a special token keep their case.
     """
     if not pc.any(pc.match_substring(texts, "<|")).as_py():
         texts = pc.ascii_lower(texts)
-    return pc.replace_substring_regex(texts, r"(\pL)([.,!?;:])(\s|$)", r"\1 \2\3")
+    return pc.replace_substring_regex(texts, _CLOSING, r"\1 \2\3")
 
 
 def encode(docs: DataFrame, tokenizer_json: str, end_id: int, text_col: str = "text") -> DataFrame:

@@ -222,3 +222,37 @@ def test_word_memory_forgets_without_a_change_of_results():
         assert ids.tolist() == [i for w in encode(words) for i in w] and sizes.tolist() == [len(w) + 1 for w in words]
         assert len(memo.known) <= 90
     assert memo.ids(pa.array([], pa.string()))[0].tolist() == []
+
+
+def test_closing_marks_behind_any_letter_encode_alike():
+    t, (words, _) = Tokenizer.from_file(PATH), tokens.word_encoder(Path(PATH).read_text())
+    # The first ones are letters that normalisation turns into a letter and a combining mark.
+    texts = [f"x{c}{m} y" for c in "İक़ড়ਖ਼שׁགྷKΩaZéÿßяشあ" for m in (".", "###", ",&&&", "!?", "$$$'s")]
+    texts += ["<|endoftext|>. a###", "a <|startoftext|>&&& b%%%", "x|> y##|> <|endoftext|>", "a.## b,** c!", "d&&& e$$$\x0bf%%%"]
+    for x in texts:
+        got = [i for ids in words(pa.compute.ascii_split_whitespace(tokens.apart(pa.array([x]))).flatten().to_pylist()) for i in ids]
+        assert got == t.encode(x, add_special_tokens=False).ids, x
+
+
+def test_runs_of_marks_are_no_words_of_their_own_letters():
+    lists = pa.compute.ascii_split_whitespace(tokens.apart(pa.array(["Word### word.%%% word,&&&\tword!! word$$$\nword**"])))
+    assert sorted(set(lists.flatten().to_pylist())) == ["!!", "###", "$$$", "**", ",&&&", ".%%%", "word"]
+
+
+def test_word_table_forgets_rare_words_without_a_change_of_results():
+    asked = []
+
+    def encode(words):
+        asked.extend(words)
+        return [[len(w), *map(ord, w)] for w in words]
+
+    table, rng = wordmemo.WordTable(encode, most=30, longest=5, room=200), np.random.default_rng(1)
+    for k in range(60):
+        words = ["x" * int(n) for n in rng.integers(0, 9, 40)] + [f"w{i}" for i in rng.integers(0, 10 + 20 * k, 20)]
+        ids, sizes = table.ids(pa.array(words).slice(k % 3))
+        want = [[len(w), *map(ord, w)] for w in words[k % 3 :]]
+        assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
+        assert len(table.known) <= 60 and max(map(len, table.known.to_pylist())) <= 5
+    # Words of every batch are asked for once; words longer than is remembered, each time.
+    assert asked.count("xxxx") == 1 and asked.count("xxxxxx") > 30
+    assert table.ids(pa.array([], pa.string()))[0].tolist() == []
