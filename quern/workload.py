@@ -389,7 +389,7 @@ def _(spark, d):
 
 @_frame("jdbc_upsert", "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN upper(n_name) || '!' ELSE n_name END AS n_name FROM nation WHERE n_regionkey <> 3 UNION ALL SELECT n_nationkey + 1000, n_name FROM nation WHERE n_regionkey = 3")
 def _(spark, d):
-    """Keyed writes to a database that Spark's own driver holds in memory (for a local master)."""
+    """Keyed writes to a database that Spark's own driver holds in memory."""
     db = connectors.open_connector(spark, "jdbc", url=f"jdbc:derby:memory:q{uuid.uuid4().hex};create=true")
     n = load(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
     db.write(n.filter("n_regionkey <> 3").select("n_nationkey", "n_name"), "nations", mode="overwrite")
