@@ -68,22 +68,36 @@ def apply_scd2(source: DataFrame, history: DataFrame | None, spec: Scd2, now: da
     if history is None:
         made |= {spec.version: F.lit(1).cast("bigint")} if spec.version else {}
         return src.filter("not __gone").withColumns(made).select(*spec.key, *payload, *meta)
-    latest = Window.partitionBy(*spec.key).orderBy(F.col(spec.valid_from).desc_nulls_last(), F.col(spec.valid_to).desc_nulls_first())
-    cur = history.withColumn("__rank", F.row_number().over(latest)).filter("__rank = 1")
-    same = F.col(f"__old_{spec.hash}") == F.col("__hash") if spec.hash and spec.hash in history.columns else F.lit(True)
-    if not (spec.hash and spec.hash in history.columns):
-        for c in watched:
-            same = same & F.col(c).eqNullSafe(F.col(f"__old_{c}"))
-    kept = list(dict.fromkeys([*watched, *([spec.hash] if spec.hash else []), *([spec.version] if spec.version else [])]))
-    old = cur.select(*[F.col(k).alias(f"__key_{k}") for k in spec.key], *[F.col(c).alias(f"__old_{c}") for c in kept if c in history.columns], F.lit(True).alias("__known"))
-    on = [F.col(k) == F.col(f"__key_{k}") for k in spec.key]
-    judged = src.join(old, on, "left").withColumn("__new", F.col("__known").isNull()).withColumn("__changed", ~F.col("__new") & ~F.coalesce(same, F.lit(False)))
-    closing = judged.filter("not __new and (__gone or __changed)").select(*spec.key, F.lit(True).alias("__close"))
-    opened = F.col(spec.valid_to).isNull() & F.col("__close").isNotNull()
-    closed = history.join(closing, list(spec.key), "left").withColumn("__hit", opened)
-    changes = {spec.valid_to: F.when(F.col("__hit"), now).otherwise(F.col(spec.valid_to))}
-    changes |= {spec.current: F.col(spec.current) & ~F.col("__hit")} if spec.current else {}
-    closed = closed.withColumns(changes).select(*history.columns)
-    made |= {spec.version: F.coalesce(F.col(f"__old_{spec.version}"), F.lit(0)).cast("bigint") + 1} if spec.version else {}
-    fresh = judged.filter("not __gone and (__new or __changed)").withColumns(made)
-    return closed.unionByName(fresh.select(*[c for c in history.columns if c in fresh.columns]), allowMissingColumns=True)
+    # Both sides meet in one shuffle on the key: joins would read a history twice, and a chain of them as often as two to its length.
+    kept = list(dict.fromkeys([*watched, *([spec.hash] if spec.hash else []), *([spec.version] if spec.version else []), spec.valid_from, spec.valid_to]))
+    keys = [f"__key_{k}" for k in spec.key]
+    new = src.select(*[F.col(k).alias(n) for k, n in zip(spec.key, keys, strict=True)], F.struct(*src.columns).alias("__src"))
+    known = history.select(*[F.col(k).alias(n) for k, n in zip(spec.key, keys, strict=True)], F.struct(*history.columns).alias("__known"))
+    met = known.unionByName(new, allowMissingColumns=True)
+    of = lambda side, c: F.col(side).getField(c)
+    latest = Window.partitionBy(*keys).orderBy(of("__known", spec.valid_from).desc_nulls_last(), of("__known", spec.valid_to).desc_nulls_first())
+    latest = latest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    old = F.when(F.col("__known").isNotNull(), F.struct(*[of("__known", c).alias(c) for c in kept if c in history.columns]))
+    now_is = F.when(F.col("__src").isNotNull(), F.struct(*[of("__src", c).alias(c) for c in (*watched, "__gone", "__hash")]))
+    # Null keys meet nothing.
+    whole = F.lit(True)
+    for n in keys:
+        whole = whole & F.col(n).isNotNull()
+    met = met.withColumns({"__old": F.when(whole, F.first(old, ignorenulls=True).over(latest)), "__is": F.when(whole, F.first(now_is, ignorenulls=True).over(latest))})
+    hashed = spec.hash and spec.hash in history.columns
+    same = of("__old", spec.hash) == F.coalesce(of("__src", "__hash"), of("__is", "__hash")) if hashed else F.lit(True)
+    for c in () if hashed else watched:
+        same = same & F.when(F.col("__src").isNotNull(), of("__src", c)).otherwise(of("__is", c)).eqNullSafe(of("__old", c))
+    fresh = F.col("__src").isNotNull()
+    changed = ~F.coalesce(same, F.lit(False))
+    opens = fresh & ~of("__src", "__gone") & (F.col("__old").isNull() | changed)
+    hit = ~fresh & F.col("__is").isNotNull() & of("__known", spec.valid_to).isNull() & (of("__is", "__gone") | changed)
+    judged = met.withColumn("__hit", hit).filter(~fresh | opens)
+    changes = {spec.valid_to: F.when(F.col("__hit"), now).otherwise(of("__known", spec.valid_to))}
+    changes |= {spec.current: of("__known", spec.current) & ~F.col("__hit")} if spec.current else {}
+    made = {spec.valid_from: of("__src", "__start"), spec.valid_to: F.lit(None).cast("timestamp_ntz")}
+    made |= {spec.current: F.lit(True)} if spec.current else {}
+    made |= {spec.hash: of("__src", "__hash")} if spec.hash else {}
+    made |= {spec.version: F.coalesce(of("__old", spec.version), F.lit(0)).cast("bigint") + 1} if spec.version else {}
+    start_of = lambda c: made[c] if c in made else of("__src", c) if c in source.columns else F.lit(None)
+    return judged.select(*[F.when(fresh, start_of(c)).otherwise(changes.get(c, of("__known", c))).alias(c) for c in history.columns])

@@ -110,6 +110,15 @@ def rows(spark, *r):
     return spark.createDataFrame(list(r), "id string, city string, gone int")
 
 
+def test_scd2_chain_reads_each_side_once(spark):
+    h = scd2.apply_scd2(rows(spark, ("1", "A", 0)), None, SPEC, at(1))
+    for day, city in ((2, "B"), (3, "B"), (4, "C")):
+        h = scd2.apply_scd2(rows(spark, ("1", city, 0), ("2", None, 0)), h, SPEC, at(day))
+    plan = h._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 4
+    assert sorted((r.id, r.city, r.v, r.is_current) for r in h.collect()) == [("1", "A", 1, False), ("1", "B", 2, False), ("1", "C", 3, True), ("2", None, 1, True)]
+
+
 def test_scd2_runs(spark):
     count = lambda h: (h.count(), h.filter("is_current").count(), h.filter("valid_to is not null").count())
     h = scd2.apply_scd2(rows(spark, ("1", "A", 0), ("2", "B", 0), ("3", None, 0)), None, SPEC, at(1))
