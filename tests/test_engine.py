@@ -110,6 +110,41 @@ def rows(spark, *r):
     return spark.createDataFrame(list(r), "id string, city string, gone int")
 
 
+def test_texts_of_a_block_are_compared_once(spark, monkeypatch):
+    monkeypatch.setattr(match, "CHUNK", 7)
+    monkeypatch.setattr(match, "BLOCK", 40)
+    r = random.Random(5)
+    rows = [(k, r.choice(["x", "y", None]), r.choice(["ab", "abc", "abd", "zbcd", "", None])) for k in range(200)]
+    df = spark.createDataFrame(rows, "id int, k string, t string")
+    compared = spark.sparkContext.accumulator(0)
+
+    def measure(a, b):
+        compared.add(len(a))
+        return a.fillna("").str.len() + b.fillna("").str.len()
+
+    spy = F.pandas_udf(measure, "double")
+    got = sorted(map(tuple, match.pairs(df, "id", ["k"], "t", match.Metric(lambda a, b: spy(a("t"), b("t")))).collect()))
+    want = sorted((a[0], b[0], float(len(a[2] or "") + len(b[2] or ""))) for a in rows for b in rows if a[1] and a[1] == b[1] and a[0] < b[0])
+    assert got == want and compared.value < len(want) / 10
+    alone = match.pairs(df, "id", ["k"]).select("a_id", "b_id").collect()
+    assert sorted(map(tuple, alone)) == [w[:2] for w in want]
+
+
+def test_filters_before_metrics_lose_nothing(spark):
+    """One edit by shared variants, trigrams by bits; doubles of a text are compared for all their ids."""
+    r = random.Random(6)
+    rows = [(k, "b", "".join(r.choices("é12", k=r.randrange(0, 7)))) for k in range(150)]
+    df = spark.createDataFrame(rows, "id int, k string, t string")
+    rules = [match.MatchRule(f"l{op}{n}", "id", ("k",), ("t",), "levenshtein", op, n, "none") for op, n in (("<", 2), ("<=", 1), ("<=", 0), ("<", 0.5), ("<=", 2))]
+    rules += [match.MatchRule(f"w{op}{n}", "id", ("k",), ("t",), "word_similarity", op, n, "none") for op, n in ((">=", 0.75), (">", 0.5), ("<", 0.5))]
+    df.createOrReplaceTempView("texts")
+    scalar.register_functions(spark)
+    all_pairs = spark.sql("SELECT a.id, b.id AS other, CAST(levenshtein(a.t, b.t) AS DOUBLE) AS l, word_similarity(a.t, b.t) AS w FROM texts a JOIN texts b ON a.id < b.id").collect()
+    holds = {">=": float.__ge__, ">": float.__gt__, "<": float.__lt__, "<=": float.__le__}
+    want = [(p.id, p.other, u.name, p[u.name[0]]) for u in rules for p in all_pairs if holds[u.operator](p[u.name[0]], float(u.threshold))]
+    assert sorted(map(tuple, match.match(df, rules).collect())) == sorted(want)
+
+
 def test_scd2_chain_reads_each_side_once(spark):
     h = scd2.apply_scd2(rows(spark, ("1", "A", 0)), None, SPEC, at(1))
     for day, city in ((2, "B"), (3, "B"), (4, "C")):
