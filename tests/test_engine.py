@@ -11,7 +11,7 @@ import pytest
 import yaml
 from pyspark.sql import functions as F
 
-from quern.functions import scalar
+from quern.functions import scalar, tables
 from quern.functions.similarity import jaro_winkler_batch, jaro_winkler_text
 from quern.operators import datamart, dml, match, mdm, profile, scd2
 from quern.plans import airflow, engine, pipeline, templates, triggers
@@ -145,6 +145,22 @@ def test_filters_before_metrics_lose_nothing(spark):
     assert sorted(map(tuple, match.match(df, rules).collect())) == sorted(want)
 
 
+def test_exact_median(spark):
+    r = random.Random(7)
+    for values in ([], [None], [3.0], [1.0, 2.0], [2.0, 2.0, 9.0, None], [r.choice([1.0, 2.0, 5.0]) for _ in range(50)], [float(i * 7919 % 150_001) for i in range(150_001)], [float(i * 7919 % 120_000) for i in range(120_000)], [4.0] * 110_000):
+        df = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
+        assert profile.exact_median(df, "x").collect() == df.agg(F.percentile("x", 0.5)).collect()
+
+
+def test_trigrams_stay_in_the_engine(spark):
+    tables.register_tables(spark)
+    df = spark.createDataFrame([(1, "añbc"), (2, "ab"), (3, None), (4, ""), (5, "xyz")], "id int, t string")
+    df.createOrReplaceTempView("named")
+    got = spark.sql("SELECT id, pos, gram FROM named, LATERAL trigrams(t)")
+    assert sorted(map(tuple, got.collect())) == [(1, 1, "añb"), (1, 2, "ñbc"), (5, 1, "xyz")]
+    assert "Python" not in got._jdf.queryExecution().toString() and got.dtypes[1:] == [("pos", "int"), ("gram", "string")]
+
+
 def test_scd2_chain_reads_each_side_once(spark):
     h = scd2.apply_scd2(rows(spark, ("1", "A", 0)), None, SPEC, at(1))
     for day, city in ((2, "B"), (3, "B"), (4, "C")):
