@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +27,7 @@ def detect_encoding(data: bytes) -> str:
 
 def sniff_encoding(spark: SparkSession, path: str, most: int = 1 << 20) -> str:
     """The encoding of the first file, by its first ``most`` bytes (without a character that the cut may have split)."""
-    head = spark.read.format("binaryFile").load(path).orderBy("path").select(F.substring("content", 1, most).alias("head")).first()
-    data = bytes(head[0]) if head else b""
+    data = head(spark, path, most)
     if len(data) == most:
         data = data[: data.rfind(b"\n") + 1] or data
     return detect_encoding(data)
@@ -79,20 +79,125 @@ def split_csv(text: str, delimiter: str = ",") -> list[list[tuple[str, bool]]]:
 SPARK_CHARSETS = ("utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32")
 
 
+def _first_file(spark: SparkSession, path: str) -> tuple[str, int] | None:
+    """The first file that has bytes, and their number; contents are not read."""
+    found = spark.read.format("binaryFile").load(path).filter("length > 0").select("path", "length").orderBy("path").first()
+    return (found[0], found[1]) if found else None
+
+
+def head(spark: SparkSession, path: str, most: int = 1 << 20) -> bytes:
+    """The first ``most`` bytes of the first file that has bytes."""
+    found = _first_file(spark, path)
+    if not found:
+        return b""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(found[0])
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(found[1], most)))
+    finally:
+        stream.close()
+
+
 def _first_line(spark: SparkSession, path: str, encoding: str, most: int = 1 << 20) -> str:
     """The first line of the first file that has bytes."""
-    head = spark.read.format("binaryFile").load(path).filter("length > 0").orderBy("path").select(F.substring("content", 1, most).alias("head")).first()
-    return bytes(head[0]).decode(encoding, "ignore").lstrip("\ufeff").split("\n")[0].rstrip("\r") if head else ""
+    return head(spark, path, most).decode(encoding, "ignore").lstrip("\ufeff").split("\n")[0].rstrip("\r")
+
+
+def _records(spark: SparkSession, path: str, table: Callable[[bytes, bool], pd.DataFrame], schema: T.StructType) -> DataFrame:
+    """Files read in splits by line feeds, of which those in quotes are told by the quotes before.
+
+    One pass counts the quotes of each split; the driver adds them up, so each split knows whether it starts in quotes.  A split
+    gives the records that start and end in it, and hands what is left at its ends to one that joins the ends of a record.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value"))
+    quotes = F.length("value") - F.length(F.translate(F.decode("value", "iso-8859-1"), '"', ""))
+    counts = raw.groupBy("file", "start").agg(F.sum(quotes).alias("n")).orderBy("file", "start").collect()
+    odd: dict[tuple[str, int], bool] = {}
+    for i, r in enumerate(counts):
+        odd[r.file, r.start] = i > 0 and counts[i - 1].file == r.file and odd[r.file, counts[i - 1].start] != bool(counts[i - 1].n % 2)
+    first = {}
+    for r in counts:
+        first.setdefault(r.file, r.start)
+
+    def cut(parts: Iterator[pd.DataFrame], ends: bool) -> Iterator[tuple[str, int, int, bytes]]:
+        """(file, start, kind, bytes): whole records in groups (kind 1), or the ends of a split (0: before, 2: after, 3: all of it)."""
+        key, inside, begun, held, whole, size = None, False, False, [], [], 0
+
+        def end():
+            if key and held and ends:
+                yield (*key, 2 if begun else 3, b"\n".join(held))
+
+        for pdf in parts:
+            for file, start, value in zip(pdf["file"], pdf["start"], pdf["value"]):
+                now = (file, int(start))
+                if now != key:
+                    if whole and not ends:
+                        yield (*key, 1, b"\n".join(whole))
+                    yield from end()
+                    key, inside, held, whole, size = now, odd[now], [], [], 0
+                    begun = not inside
+                value = bytes(value)
+                inside ^= bool(value.count(b'"') % 2)
+                held.append(value)
+                if not inside:
+                    if not begun:
+                        if ends:
+                            yield (*key, 0, b"\n".join(held))
+                    elif not ends:
+                        whole += held
+                        size += sum(map(len, held))
+                    begun, held = True, []
+                    if size > 1 << 22:
+                        yield (*key, 1, b"\n".join(whole))
+                        whole, size = [], 0
+        if whole and not ends:
+            yield (*key, 1, b"\n".join(whole))
+        yield from end()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = set()
+        for file, start, _, data in cut(parts, False):
+            yield table(data, first[file] == start and (file, start) not in seen)
+            seen.add((file, start))
+
+    def run_ends(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in cut(parts, True):
+            yield pd.DataFrame([x], columns=["file", "start", "kind", "data"])
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        held, out = [], []
+        for _, _, kind, data in sorted(pdf.itertuples(index=False, name=None)):
+            if kind == 2 or (kind == 3 and not held):
+                held = [bytes(data)]
+                continue
+            held.append(bytes(data))
+            if kind == 0:
+                out.append(b"\n".join(held))
+                held = []
+        if held:
+            out.append(b"\n".join(held))
+        return pd.concat([table(x, False) for x in out] or [table(b"", False)])
+
+    whole = raw.mapInPandas(run, schema)
+    if len(counts) == len(first):
+        # Each file is one split: only a quoted field without an end is left over, which is an error.
+        open_files = [r.file for r in counts if r.n % 2]
+        if open_files:
+            raise ValueError(f"a quoted field has no end in {open_files[0]}")
+        return whole
+    ends = raw.mapInPandas(run_ends, "file string, start bigint, kind int, data binary")
+    return whole.unionByName(ends.groupBy("file").applyInPandas(join, schema))
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, strict: bool = False, encoding: str = "UTF-8", nulls: tuple[str, ...] = (), lines: bool = False) -> DataFrame:
     """CSV files with a header (of up to a megabyte) as nullable text columns.
 
-    Encodings that Spark's readers don't know, such as code pages, are read the strict way, a file as one task.
+    Encodings that Spark's readers don't know, such as code pages, are read the strict way.
     The delimiter is the more frequent of ``,`` and ``;`` in the header unless it is given.  The fast way is Spark's reader.  The
     strict way tells an unquoted empty field (null) from a quoted one (empty text), pads short rows with nulls, and fails as a
-    whole on bad quoting or long rows; a file is one task there, as only its start tells where quotes stand, and may have 2 GB at
-    most (the size of a binary value).  With ``lines`` a record is a line, so files of any size are split over tasks; a line break
+    whole on bad quoting or long rows; files are split there, after a pass that counts quotes; in encodings of wide characters a
+    file is one task and may have 2 GB at most (the size of a binary value).  With ``lines`` a record is a line, so files of any size are split over tasks; a line break
     in quotes is an error then, and lines that equal the header are left out.
     """
     first = _first_line(spark, path, encoding)
@@ -123,12 +228,15 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, stric
         if encoding.lower() not in ("utf-8", "us-ascii"):
             raise ValueError("files are split by lines in UTF-8 only")
         return spark.read.text(path).filter("value <> ''").mapInPandas(run_lines, schema)
+    if re.fullmatch(r"utf-?8(-sig)?|(us-)?ascii|iso-?8859.*|latin.*|(cp|windows-)125\d|cp866|koi8.*", encoding.lower()) and names:
+        # Quotes and line feeds are single bytes there, which no other character holds.
+        return _records(spark, path, lambda data, top: table(split_csv(data.decode(encoding).lstrip("\ufeff"), delimiter)[top:]), schema)
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     """CSV with a header, RFC 4180 quotes, null as nothing and the empty text in quotes."""
-    df.write.mode(mode).csv(path, header=True, quote='"', escape='"', nullValue="", emptyValue='""')
+    df.write.mode(mode).csv(path, header=True, quote='"', escape='"', nullValue="", emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
@@ -141,12 +249,12 @@ def guess_row_tag(spark: SparkSession, path: str) -> str:
     """The most frequent child of the root element in the first file's first megabyte."""
     from xml.etree import ElementTree
 
-    head = spark.read.format("binaryFile").load(path).orderBy("path").select(F.substring("content", 1, 1 << 20).alias("head")).first()
-    if not head:
+    data = head(spark, path)
+    if not data:
         raise ValueError(f"no XML in {path}")
     depth, found, parser = 0, {}, ElementTree.XMLPullParser(("start", "end"))
     try:
-        parser.feed(bytes(head[0]))
+        parser.feed(data)
         for event, e in parser.read_events():
             depth += 1 if event == "start" else -1
             if event == "start" and depth == 2:

@@ -481,6 +481,26 @@ def test_profile_and_checks(spark):
     assert got == {"n": 1, "u": 1, "r": 2, "x": 1, "c": 0}
 
 
+def test_strict_csv_is_split(spark, tmp_path):
+    r = random.Random(8)
+    rows = [(str(i), r.choice([None, "", 'q"', "é\n\n\"x\",\r\n" * r.randrange(1, 40), "plain"]), "z" * r.randrange(0, 30) or None) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id string, b string, c string")
+    files.write_csv(df.coalesce(2), str(tmp_path / "out"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("1k", "4k", "1m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            got = files.read_csv(spark, str(tmp_path / "out"), ",", strict=True)
+            assert sorted(map(tuple, got.collect()), key=repr) == sorted(rows, key=repr)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        assert files.read_csv(spark, str(tmp_path / "out"), ",", strict=True).rdd.getNumPartitions() > 20
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(files.head(spark, str(tmp_path / "out"), 5)) == 5
+
+
 def test_csv_contract(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id;name;note\n1;;""\n2;"x;""y""\nz"\n3;null;q\n', encoding="utf-8")
     got = files.read_csv(spark, str(tmp_path / "a.csv"), strict=True, nulls=("null",))
