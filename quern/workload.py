@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import scalar, similarity, tables
+from .functions import scalar, tables
 from .operators import datamart, dml, match, mdm, profile, scd2
 from .plans import engine, pipeline, templates, triggers
 from .plans.store import Store
